@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sunfold.llm import spm_chunks
+from sunfold.llm import simhash, spm_chunks
+from sunfold.llm.mixing import Mix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,8 +27,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_chunks.digests(spm_chunks.encode_decode(docs, piece_model()))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicate_components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
