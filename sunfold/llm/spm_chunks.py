@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -78,28 +79,38 @@ def _strings(values: list[str]) -> bytes:
     return _pack(pa.record_batch([pa.array(values, pa.string())], ["c"]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[str, list[pa.RecordBatch], list[bytes]]]:
-    """Consecutive rows with about `size` bytes of text. A block's name is a digest of its rows, so that both
+def _content(texts: pa.Array) -> bytes:
+    """A string array's lengths and bytes."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1]
+    return np.diff(at).tobytes() + (texts.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes() if texts.buffers()[2] else b"")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
+    """Consecutive rows with about `size` bytes of text. A block's name is a digest of its texts, so that both
     passes over the documents, and any task that is run again, give it the same name."""
-    rows, packed, held = [], [], 0
+    rows, held, name = [], 0, xxhash.xxh3_128()
     for batch in batches:
         for part in _slices(batch, text, size):
             rows.append(part)
-            packed.append(_pack(part))
+            name.update(_content(part[text]))
             held += part[text].nbytes
             if held >= size:
-                yield xxhash.xxh3_128_hexdigest(b"".join(packed)), rows, packed
-                rows, packed, held = [], [], 0
+                yield name.hexdigest(), rows
+                rows, held, name = [], 0, xxhash.xxh3_128()
     if rows:
-        yield xxhash.xxh3_128_hexdigest(b"".join(packed)), rows, packed
+        yield name.hexdigest(), rows
 
 
-def _by_part(texts: Iterator[list[str]], parts: int) -> list[list[str]]:
-    """The distinct chunks by the part of the table that segments them, each part's in order of first use."""
-    out: list[list[str]] = [[] for _ in range(parts)]
-    for c in dict.fromkeys(chain.from_iterable(texts)):
-        out[zlib.crc32(c.encode()) % parts].append(c)
-    return out
+def _parts_of(chunks: list[str], parts: int) -> np.ndarray:
+    """The part of the table that segments each chunk."""
+    return np.fromiter((zlib.crc32(c.encode()) % parts for c in chunks), np.int32, len(chunks))
+
+
+def _texts(rows: list[pa.RecordBatch], text: str) -> Iterator[str | None]:
+    for r in rows:
+        for at in range(0, r.num_rows, 500):
+            yield from r[text].slice(at, 500).to_pylist()
 
 
 _ROW = "block string, kind int, seq int, payload binary"
@@ -127,13 +138,17 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
     plain = docs.toDF(*names)
 
     def pack(batches):
-        for name, _, packed in _blocks(batches, at, size):
-            yield _rows([(name, _PIECES, i, p) for i, p in enumerate(packed)])
+        for name, rows in _blocks(batches, at, size):
+            for i, r in enumerate(rows):
+                yield _rows([(name, _PIECES, i, _pack(r))])
 
     def ask(batches):
-        for name, rows, _ in _blocks(batches, at, size):
-            found = _by_part((chunks_of(t) for r in rows for t in r[at].to_pylist()), parts)
-            if items := [(name, _IDS, i, _strings(cs)) for i, cs in enumerate(found) if cs]:
+        for name, rows in _blocks(batches, at, size):
+            chunks = list(dict.fromkeys(chain.from_iterable(map(chunks_of, _texts(rows, at)))))
+            by = [[] for _ in range(parts)]
+            for c, i in zip(chunks, _parts_of(chunks, parts).tolist(), strict=True):
+                by[i].append(c)
+            if items := [(name, _IDS, i, _strings(cs)) for i, cs in enumerate(by) if cs]:
                 yield _rows(items)
 
     def segment(batches):
@@ -159,16 +174,27 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
         sp = SentencePieceProcessor(model_proto=model)
 
         def finish(pieces: list[bytes], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-            tables = [_unpack(p) for p in pieces]
-            table: dict[str, list[int]] = {}
-            for i, cs in enumerate(_by_part((chunks_of(t) for x in tables for t in x[at].to_pylist()), parts)):
-                if cs:
-                    table.update(zip(cs, (np.frombuffer(b, np.int32).tolist() for b in _unpack(answers[i])["c"].to_pylist()), strict=True))
-            for x in tables:
-                for rows in x.to_batches(max_chunksize=2000):
-                    found = [list(chain.from_iterable(map(table.__getitem__, chunks_of(t)))) for t in rows[at].to_pylist()]
-                    back = sp.decode(found) if found else []
-                    yield pa.record_batch([*rows.columns, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], [*rows.schema.names, "ids", "decoded"])
+            rows = [b for p in pieces for b in _unpack(p).to_batches(max_chunksize=1000)]
+            number = defaultdict(count().__next__)  # distinct chunks in order of first use
+            uses = []
+            for r in rows:
+                words = [chunks_of(t) for t in r[at].to_pylist()]
+                uses.append((np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int32), np.array([len(w) for w in words])))
+            order = np.argsort(_parts_of(list(number), parts), kind="stable")
+            number.clear()
+            got = [_unpack(answers[i])["c"].combine_chunks() for i in sorted(answers)]
+            flat = np.concatenate([np.frombuffer(g.buffers()[2], np.int32) for g in got]) if got else np.empty(0, np.int32)
+            sizes = np.concatenate([np.diff(np.frombuffer(g.buffers()[1], np.int32)[: len(g) + 1]) // 4 for g in got]) if got else np.empty(0, np.int64)
+            size_of, start_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            size_of[order], start_of[order] = sizes, np.cumsum(sizes) - sizes
+            for r, (use, lengths) in zip(rows, uses, strict=True):
+                n = size_of[use]
+                ends = np.r_[0, np.cumsum(n)]
+                values = flat[np.repeat(start_of[use] - ends[:-1], n) + np.arange(ends[-1])]
+                at_doc = ends[np.r_[0, np.cumsum(lengths)]].astype(np.int32)
+                back = sp.decode([values[a:b].tolist() for a, b in zip(at_doc, at_doc[1:], strict=False)])
+                found = pa.ListArray.from_arrays(pa.array(at_doc), pa.array(values))
+                yield pa.record_batch([*r.columns, found, pa.array(back, pa.string())], [*r.schema.names, "ids", "decoded"])
 
         now, pieces, answers = None, [], {}
         for batch in batches:
