@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.llm import exact_dedup, line_dedup, simhash, spm_chunks
+from sunfold.llm import exact_dedup, html_blocks, line_dedup, simhash, spm_chunks
 from sunfold.llm.mixing import Mix
 
 
@@ -41,13 +41,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(docs)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract_main_text(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op7_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op7_line_dedup, op9_html, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
