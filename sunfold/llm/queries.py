@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.llm import exact_dedup, html_blocks, line_dedup, simhash, spm_chunks
+from sunfold.llm import exact_dedup, html_blocks, line_dedup, simhash, spm_chunks, syncmers
 from sunfold.llm.mixing import Mix
 
 
@@ -36,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(_read(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate_lines(docs)
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op7_line_dedup, op9_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op7_line_dedup, op9_html, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
