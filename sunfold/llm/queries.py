@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.llm import exact_dedup, html_blocks, line_dedup, simhash, spm_chunks, syncmers
+from sunfold.llm import exact_dedup, html_blocks, line_dedup, quality, simhash, spm_chunks, syncmers, toxicity
 from sunfold.llm.mixing import Mix
 
 
@@ -40,6 +40,20 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(_read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def ratings_grade() -> F.Column:
+    """Grades of the labels table: 0 poor, 1 good but toxic, 2 good."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality").isNotNull(), 2)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_grades(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ratings_grade(), 3)
+    return found.select("doc_id", "held_out", "expected_grade", F.col("tails")[0].alias("at_least_1"), F.col("tails")[1].alias("at_least_2"), "selected")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate_lines(docs)
@@ -56,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op7_line_dedup, op9_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op5_toxicity, op6_quality, op7_line_dedup, op9_html, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

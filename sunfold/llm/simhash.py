@@ -171,7 +171,7 @@ def links_within_three(prints: DataFrame, fingerprint: str = "fingerprint") -> D
             held = _forest(held)
             yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
-    points = prints.select(fingerprint).distinct().mapInArrow(emit, "point bigint, flipped smallint")
+    points = prints.select(fingerprint).distinct().repartition(parts).mapInArrow(emit, "point bigint, flipped smallint")
     met = points.repartition(parts, "point").sortWithinPartitions("point").mapInArrow(meet, "a bigint, b bigint")
     return met.distinct()
 
@@ -241,7 +241,7 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
                 held = held[:0]
         yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
-    points = classes.select("node", "fingerprint").mapInArrow(emit, "point bigint, node bigint")
+    points = classes.select("node", "fingerprint").repartition(parts).mapInArrow(emit, "point bigint, node bigint")
     met = points.repartition(parts, "point").sortWithinPartitions("point", "node").mapInArrow(meet, "a bigint, b bigint").distinct()
     left, right = (classes.select(F.col("node").alias(x), F.col("fingerprint").alias(f"{x}_print")) for x in ("a", "b"))
     apart = F.aggregate(F.zip_with("a_print", "b_print", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
