@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.llm import exact_dedup, html_blocks, line_dedup, quality, simhash, spm_chunks, syncmers, toxicity
+from sunfold.llm import exact_dedup, html_blocks, line_dedup, quality, secret_scan, simhash, spm_chunks, syncmers, toxicity
 from sunfold.llm.mixing import Mix
 
 
@@ -59,6 +59,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(docs)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_blocks.extract_main_text(_read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
@@ -70,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op5_toxicity, op6_quality, op7_line_dedup, op9_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op5_toxicity, op6_quality, op7_line_dedup, op8_secrets, op9_html, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
