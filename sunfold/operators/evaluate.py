@@ -163,8 +163,8 @@ def error_histogram(df: DataFrame, bins: int = 50, p: str = "prediction", t: str
 
 
 def error_ecdf(df: DataFrame, p: str = "prediction", t: str = "target", digits: int = 1) -> DataFrame:
-    """(error, share): share of absolute errors up to each of their values, rounded to `digits`: a row for each such value."""
-    counts = df.select(F.round(F.abs(F.col(p) - F.col(t)), digits).alias("error")).filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    """(error, share): share of absolute errors up to each of their values, cut to `digits`: a row for each such value."""
+    counts = df.select((F.floor(F.abs(F.col(p) - F.col(t)) * 10.0**digits) / 10.0**digits).alias("error")).filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy("error").rowsBetween(Window.unboundedPreceding, 0))  # over distinct rounded values
     return counts.select("error", (upto / F.sum("n").over(Window.partitionBy())).alias("share"))
 

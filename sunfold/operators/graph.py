@@ -97,13 +97,12 @@ def smallest_eigenvectors(lap: DataFrame, d: int, shift: float = 0.0, rounds: in
     nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
     start = F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(d)))
     now = _orthonormal(nodes.withColumn("f", start), d)
-    for i in range(rounds):
+    lap = cut(lap)
+    for _ in range(rounds):
         parts = lap.join(now, lap["dst"] == now["node"]).select("src", F.col("l"), "f")
         times = parts.groupBy("src").agg(*(F.sum(F.col("l") * F.col("f")[j]).alias(f"x{j}") for j in range(d)))
         new = times.join(now, times["src"] == now["node"]).select("node", F.array(*((2.0 + shift) * F.col("f")[j] - F.col(f"x{j}") for j in range(d))).alias("f"))
-        now = _orthonormal(new, d)
-        if i % 5 == 4:
-            now = cut(now)
+        now = _orthonormal(cut(new), d)  # cut, since the Gram matrix and the next round both read it
     return now
 
 

@@ -1,6 +1,6 @@
 """The registry of queries over the driver's tables and of the SQL that must agree with them.
 
-Doubles are rounded to six digits on both sides, since sums may be taken in any order."""
+Doubles are rounded to seven digits on both sides, since sums may be taken in any order."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ _W = "PARTITION BY series_id ORDER BY ts, row_id"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, 7) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def query(sql: str | None = None, doubles: str = "") -> Callable:
@@ -34,7 +34,7 @@ def query(sql: str | None = None, doubles: str = "") -> Callable:
         _QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
             names = doubles.split()
-            _SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in names)}) FROM ({sql})" if names else sql
+            _SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 7) + 0.0 AS {c}' for c in names)}) FROM ({sql})" if names else sql
         return f
 
     return add
@@ -393,12 +393,8 @@ def gaussian_smooth(spark, d):
 
 
 def _savgol() -> str:
-    rows = []
-    for off in range(-2, 3):
-        taps = " + ".join(f"{float(t)!r}::DOUBLE * nth{i}" for i, t in enumerate(smooth.savgol_taps(5, 2, off)))
-        rows.append(f"WHEN rn - mid = {off} THEN {taps}")
-    joins = " ".join(f"JOIN r t{i} ON t{i}.series_id = m.series_id AND t{i}.rn = m.mid + {i - 2}" for i in range(5))
-    return f"WITH {PV}, r AS (SELECT *, row_number() {_OVER} - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pv), m AS (SELECT *, least(greatest(rn, 2), n - 3) AS mid FROM r), v AS (SELECT m.row_id, m.rn, m.mid, {', '.join(f't{i}.power AS nth{i}' for i in range(5))} FROM m {joins}) SELECT row_id, CASE {' '.join(rows)} END AS smooth FROM v"
+    taps = ", ".join(f"({off}, {k - 2}, {float(t)!r}::DOUBLE)" for off in range(-2, 3) for k, t in enumerate(smooth.savgol_taps(5, 2, off)))
+    return f"WITH {PV}, r AS (SELECT *, row_number() {_OVER} - 1 AS rn, count(*) OVER (PARTITION BY series_id) AS n FROM pv), m AS (SELECT *, least(greatest(rn, 2), n - 3) AS mid FROM r), w AS (SELECT m.row_id, m.series_id, m.mid + t.k AS at, t.x FROM m JOIN (VALUES {taps}) t(off, k, x) ON t.off = m.rn - m.mid) SELECT w.row_id, sum(w.x * r.power) AS smooth FROM w JOIN r ON r.series_id = w.series_id AND r.rn = w.at GROUP BY w.row_id"
 
 
 @query(_savgol(), "smooth")
@@ -425,14 +421,13 @@ def causal_neighbourhood_stats(spark, d):
     return embed.neighbourhood(pv(spark, d)).select("row_id", "n", "mean", "std", "min", "max")
 
 
-_AMI = f"""WITH {PV}, l AS (SELECT series_id, k AS lag, power AS x, CASE k {' '.join(f'WHEN {k} THEN lead(power, {k}) {_OVER}' for k in range(1, 6))} END AS y FROM pv, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
-l2 AS (SELECT series_id, lag, power AS x, y FROM (SELECT series_id, ts, row_id, power, {', '.join(f'lead(power, {k}) {_OVER} AS y{k}' for k in range(1, 6))} FROM pv) UNPIVOT (y FOR lag IN (y1 AS 1, y2 AS 2, y3 AS 3, y4 AS 4, y5 AS 5))),
+_AMI = f"""WITH {PV}, leads AS (SELECT series_id, power AS x, {', '.join(f'lead(power, {k}) {_OVER} AS y{k}' for k in range(1, 6))} FROM pv),
+l2 AS ({' UNION ALL '.join(f'SELECT series_id, {k} AS lag, x, y{k} AS y FROM leads' for k in range(1, 6))}),
 f AS (SELECT *, count(*) OVER g AS n, min(x) OVER g AS xa, max(x) OVER g AS xb, min(y) OVER g AS ya, max(y) OVER g AS yb FROM l2 WHERE y IS NOT NULL WINDOW g AS (PARTITION BY series_id, lag)),
 c AS (SELECT series_id, lag, n, CAST(floor(sqrt(n)) AS BIGINT) AS bins, least(floor((x - xa) * floor(sqrt(n)) / (xb - xa)), floor(sqrt(n)) - 1) AS i, least(floor((y - ya) * floor(sqrt(n)) / (yb - ya)), floor(sqrt(n)) - 1) AS j FROM f),
 h AS (SELECT series_id, lag, n, bins, i, j, count(*) AS c FROM c GROUP BY ALL),
 p AS (SELECT *, sum(c) OVER (PARTITION BY series_id, lag, i) AS cx, sum(c) OVER (PARTITION BY series_id, lag, j) AS cy FROM h)
 SELECT series_id, CAST(lag AS INTEGER) AS lag, n, bins, sum(c / n::DOUBLE * ln((c / n::DOUBLE + 1e-12::DOUBLE) / (cx / n::DOUBLE * (cy / n::DOUBLE) + 1e-12::DOUBLE))) AS ami FROM p GROUP BY series_id, lag, n, bins"""
-_AMI = _AMI[: _AMI.index("l AS (")] + _AMI[_AMI.index("l2 AS (") :]
 
 
 @query(_AMI, "ami")
@@ -557,7 +552,7 @@ def error_histogram(spark, d):
     return evaluate.error_histogram(pred(spark, d))
 
 
-@query(f"WITH {PRED}, c AS (SELECT round(abs(prediction - target), 1) AS error, count(*) AS n FROM pred GROUP BY 1) SELECT error, sum(n) OVER (ORDER BY error) / sum(n) OVER ()::DOUBLE AS share FROM c", "error share")
+@query(f"WITH {PRED}, c AS (SELECT floor(abs(prediction - target) * 10.0::DOUBLE) / 10.0::DOUBLE AS error, count(*) AS n FROM pred GROUP BY 1) SELECT error, sum(n) OVER (ORDER BY error) / sum(n) OVER ()::DOUBLE AS share FROM c", "error share")
 def error_ecdf(spark, d):
     return evaluate.error_ecdf(pred(spark, d))
 
