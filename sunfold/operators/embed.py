@@ -153,7 +153,7 @@ def learn_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: i
     return w / w.sum() if np.isfinite(w).all() and w.sum() > 1e-8 else np.full(d, 1 / d)
 
 
-def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, series: str = SERIES) -> DataFrame:
+def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES) -> DataFrame:
     """df's keys with rn and weights (array): learnt at each row from the last `length` rows (24 to 48), to tell the next row's label."""
     length = min(48, max(24, length))
 
@@ -170,7 +170,7 @@ def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", l
             out = []
             for v in batch:
                 m = np.asarray(v, float).reshape(-1, d + 1)
-                out.append(learn_weights(m[:, :d], m[:, d], penalty).tolist() if len(m) >= 3 else equal)
+                out.append(learn_weights(m[:, :d], m[:, d], penalty, rounds).tolist() if len(m) >= 3 else equal)
             yield pd.Series(out)
 
     learnt = F.pandas_udf(learn, "array<double>")

@@ -652,7 +652,7 @@ def vmd_centre_frequencies(spark, d):
 def nca_weights(spark, d):
     names = ["power", "temperature", "humidity"]
     x = pv(spark, d)
-    return embed.mean_weights(embed.local_weights(x, names, length=24), names)
+    return embed.mean_weights(embed.local_weights(x, names, length=24, rounds=20), names)
 
 
 @query()
