@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from sunfold.runtime import cut, scratch_path
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STREAM = "spark.sql.streaming.stateStore."
+#: Settings of the stream: state in RocksDB, changes in the checkpoint folder, no disk space taken in advance by each of its many small stores.
+_STORE = {_STREAM + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _STREAM + "rocksdb.changelogCheckpointing.enabled": "true", _STREAM + "rocksdb.allowFAllocate": "false"}
 #: Digests met more than once that may be sent to every task, where their rows are looked up.
 MOST_SENT = 500_000
 
@@ -49,14 +50,16 @@ def stream_states(stream: DataFrame, folder: str, key: str = "doc_id", text: str
 
     best has the length, key and place (file, row) of the row that stays. A batch that is run again overwrites what it wrote."""
     spark = stream.sparkSession
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         state = _facts(stream, key, text, digest).groupBy("digest").agg(F.max(_rank()).alias("best"), F.count("*").alias("n"))
         write = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
         write.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/states/batch={i}")).start().awaitTermination()
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     states = spark.read.schema("digest string, best struct<length int, order bigint, key bigint, place struct<file string, row bigint>>, n bigint, batch bigint").parquet(f"{folder}/states")
     return states.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
 
