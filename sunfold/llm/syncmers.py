@@ -121,7 +121,7 @@ def _in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
         into = F.when((F.col("block") == b) & F.col("key").eqNullSafe(F.lit(heads[b][0])), F.lit(above)).otherwise(into) if len(before) <= 64 else into
     if len(before) > 64:
         tops = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(heads[b][0]).cast("bigint").alias("top"), F.lit(above).alias("above")) for b, above in before.items()))
-        into = F.filter(tops, lambda t: (t["b"] == F.col("block")) & t["top"].eqNullSafe(F.col("key")))[0]["above"]
+        into = F.get(F.filter(tops, lambda t: (t["b"] == F.col("block")) & t["top"].eqNullSafe(F.col("key"))), F.lit(0))["above"]
     copies = F.array(F.struct(F.col("block").alias("block"), F.lit(True).alias("own")), F.struct(into.alias("block"), F.lit(False).alias("own")))
     return rows.select("key", "text", F.explode(F.filter(copies, lambda c: c["block"].isNotNull())).alias("to")).select("to.block", "to.own", "key", "text")
 
