@@ -89,8 +89,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade, key: str, text: s
     return docs.join(F.broadcast(rows), docs[key] == rows["__key"]).select(F.col(text).alias("text"), "grade")
 
 
-def telling_terms(sample: DataFrame, grades: int, most: int, least: int) -> np.ndarray:
-    """The terms, at most `most`, in at least `least` of the sample's texts, that tell best (chi-squared) whether a grade is reached; sorted."""
+def telling_terms(sample: DataFrame, grades: int, most: int, least: int, floor: float = 12.0) -> np.ndarray:
+    """The terms, at most `most`, in at least `least` of the sample's texts, that tell best whether a grade is reached, by a chi-squared of `floor` or more; sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +112,7 @@ def telling_terms(sample: DataFrame, grades: int, most: int, least: int) -> np.n
             a = sum((F.col(f"n{g}") for g in range(j, grades)), F.lit(0.0))
             expected = F.col("n") * (upper / every)
             chi = F.greatest(chi, (a - expected) ** 2 / (expected * (1 - upper / every)))
-    kept = by.filter(F.col("n") >= least).select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(most).select("term").toArrow()
+    kept = by.filter(F.col("n") >= least).select("term", chi.alias("chi")).filter(F.col("chi") >= floor).orderBy(F.desc("chi"), "term").limit(most).select("term").toArrow()
     return np.sort(kept["term"].to_numpy()) if kept.num_rows else np.empty(0, np.int64)
 
 

@@ -23,7 +23,7 @@ def tails(model: tuple, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[x], first)[:, None] - cut[None, :], -30, 30)))
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, grades: int, rounds: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, grades: int, rounds: int = 16, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features 0 to size - 1 (feature 0 stays 0: the thresholds are the intercepts) and rising thresholds, by AdaGrad."""
     share = np.array([np.clip((y >= j).mean() if len(y) else 0.5, 1e-3, 1 - 1e-3) for j in range(1, grades)])
     w, cut = np.zeros(size), np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(grades - 1))

@@ -31,7 +31,7 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, factors: int = FACTORS, rounds: int = 8, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, factors: int = FACTORS, rounds: int = 16, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and factors of features 0 to size - 1, by AdaGrad on the logistic loss. Feature 0 is the intercept."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, factors))
