@@ -51,15 +51,16 @@ def carried(df: DataFrame, value: str, series: str = SERIES, order: Sequence[str
     rows = rows.withColumn("__block", F.expr(f"rn div {block}"))
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("rn").alias("at"), F.col(value).alias("x")))
     ends = rows.groupBy(series, "__block").agg(F.min(known).alias("__lo"), F.max(known).alias("__hi"))
-    b = Window.partitionBy(series).orderBy("__block")
+    b, back = (Window.partitionBy(series).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("__block", F.desc("__block")))
     ends = ends.select(
         F.col(series).alias("__s"),
         F.col("__block").alias("__b"),
-        F.last("__hi", True).over(b.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__lo", True).over(b.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        F.last("__hi", True).over(b).alias("__before"),
+        F.last("__lo", True).over(back).alias("__after"),
     )
-    w = Window.partitionBy(series, "__block").orderBy("rn")
-    rows = rows.withColumns({"__p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__q": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # a frame to the end of a partition is summed anew for each row, so what comes after is found in descending order
+    w, down = (Window.partitionBy(series, "__block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("rn", F.desc("rn")))
+    rows = rows.withColumns({"__p": F.last(known, True).over(w), "__q": F.last(known, True).over(down)})
     rows = rows.join(ends, F.col(series).eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
     p, q = F.coalesce("__p", "__before"), F.coalesce("__q", "__after")
     return rows.withColumns({"prev_at": p["at"], "prev": p["x"], "next_at": q["at"], "next": q["x"]}).drop("__block", "__p", "__q", "__s", "__b", "__before", "__after")
