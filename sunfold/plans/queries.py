@@ -170,7 +170,7 @@ def integrity_report(spark, d):
     return quality.integrity_report(pv_dirty(spark, d))
 
 
-_STEPS = f"(SELECT series_id, epoch_us(ts) / 1e6::DOUBLE - lag(epoch_us(ts)) {_OVER} / 1e6::DOUBLE AS step FROM pv)"
+_STEPS = f"(SELECT series_id, (epoch_us(ts) - lag(epoch_us(ts)) {_OVER}) / 1e6::DOUBLE AS step FROM pv)"
 
 
 @query(f"WITH {PV} SELECT series_id, count(step) AS steps, count(*) FILTER (WHERE step <> 900) AS irregular, min(step) AS shortest, max(step) AS longest, min(step) = max(step) AS regular FROM {_STEPS} GROUP BY series_id", "shortest longest")
