@@ -1,6 +1,6 @@
 """The registry of queries over the driver's tables and of the SQL that must agree with them.
 
-Doubles are rounded to seven digits on both sides, since sums may be taken in any order."""
+Doubles are rounded on both sides, since sums may be taken in any order."""
 
 from __future__ import annotations
 
@@ -22,19 +22,20 @@ _OVER = "OVER (PARTITION BY series_id ORDER BY ts, row_id)"
 _W = "PARTITION BY series_id ORDER BY ts, row_id"
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(c, 7) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def query(sql: str | None = None, doubles: str = "") -> Callable:
-    """Registers a query; `doubles` names the columns of its SQL that are rounded."""
+def query(sql: str | None = None, doubles: str = "", digits: int = 7) -> Callable:
+    """Registers a query; `doubles` names the columns of its SQL that are rounded. Means over a round number of rows need
+    more digits, or they end in a 5."""
 
     def add(f):
         name = f.__name__
-        _QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             names = doubles.split()
-            _SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 7) + 0.0 AS {c}' for c in names)}) FROM ({sql})" if names else sql
+            _SQL[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in names)}) FROM ({sql})" if names else sql
         return f
 
     return add
@@ -496,22 +497,22 @@ def _metrics_sql(p: str = "prediction", t: str = "target") -> str:
 _M = "rmse mae nrmse r2 mape max_error min_error error_std"
 
 
-@query(f"WITH {PRED} SELECT {_metrics_sql()} FROM pred", _M)
+@query(f"WITH {PRED} SELECT {_metrics_sql()} FROM pred", _M, 9)
 def metrics_overall(spark, d):
     return evaluate.metrics(pred(spark, d))
 
 
-@query(f"WITH {PRED} SELECT weather, {_metrics_sql()} FROM pred GROUP BY ROLLUP (weather)", _M)
+@query(f"WITH {PRED} SELECT weather, {_metrics_sql()} FROM pred GROUP BY ROLLUP (weather)", _M, 9)
 def metrics_by_class(spark, d):
     return evaluate.metrics_with_total(pred(spark, d))
 
 
-@query(f"WITH {PRED}, h AS (" + " UNION ALL ".join(f"SELECT {h} AS horizon, prediction, lead(target, {h - 1}) {_OVER} AS t FROM pred" for h in (1, 3, 6)) + f") SELECT horizon, {_metrics_sql(t='t')} FROM h WHERE t IS NOT NULL GROUP BY horizon", _M)
+@query(f"WITH {PRED}, h AS (" + " UNION ALL ".join(f"SELECT {h} AS horizon, prediction, lead(target, {h - 1}) {_OVER} AS t FROM pred" for h in (1, 3, 6)) + f") SELECT horizon, {_metrics_sql(t='t')} FROM h WHERE t IS NOT NULL GROUP BY horizon", _M, 9)
 def metrics_multi_horizon(spark, d):
     return evaluate.multi_horizon(pred(spark, d))
 
 
-@query(f"WITH {PRED}, r AS (SELECT sqrt(avg(pow(prediction - target, 2))) AS e, max(target) - min(target) AS a, avg(abs(target)) AS b, stddev_samp(target) AS c FROM pred) SELECT e / greatest(a, 1e-8) AS by_range, e / greatest(b, 1e-8) AS by_mean, e / greatest(c, 1e-8) AS by_std FROM r", "by_range by_mean by_std")
+@query(f"WITH {PRED}, r AS (SELECT sqrt(avg(pow(prediction - target, 2))) AS e, max(target) - min(target) AS a, avg(abs(target)) AS b, stddev_samp(target) AS c FROM pred) SELECT e / greatest(a, 1e-8) AS by_range, e / greatest(b, 1e-8) AS by_mean, e / greatest(c, 1e-8) AS by_std FROM r", "by_range by_mean by_std", 9)
 def nrmse_variants(spark, d):
     return evaluate.nrmse_variants(pred(spark, d))
 
@@ -519,12 +520,12 @@ def nrmse_variants(spark, d):
 _CLASS = f"WITH {PRED}, m AS (SELECT weather, {_metrics_sql()} FROM pred GROUP BY weather), l AS (" + " UNION ALL ".join(f"SELECT weather, '{c}' AS metric, {c}::DOUBLE AS value FROM m" for c in ("n", *_M.split())) + ")"
 
 
-@query(_CLASS + " SELECT weather, metric, value FROM l", "value")
+@query(_CLASS + " SELECT weather, metric, value FROM l", "value", 9)
 def metrics_long(spark, d):
     return evaluate.metrics_long(pred(spark, d))
 
 
-@query(_CLASS + " SELECT metric, " + ", ".join(f"max(value) FILTER (WHERE weather = {s}) AS class_{s}" for s in range(3)) + " FROM l GROUP BY metric", "class_0 class_1 class_2")
+@query(_CLASS + " SELECT metric, " + ", ".join(f"max(value) FILTER (WHERE weather = {s}) AS class_{s}" for s in range(3)) + " FROM l GROUP BY metric", "class_0 class_1 class_2", 9)
 def metrics_pivot(spark, d):
     return evaluate.metrics_pivot(pred(spark, d))
 
@@ -617,13 +618,13 @@ def adaptation_triggers(spark, d):
 _FOLDED = f"WITH {PRED}, m AS (SELECT CAST(row_id % 4 AS INTEGER) AS fold, weather, {_metrics_sql()} FROM pred GROUP BY ALL)"
 
 
-@query(_FOLDED + " SELECT weather, count(DISTINCT fold) AS folds, avg(rmse) AS rmse, avg(mae) AS mae, avg(nrmse) AS nrmse, avg(r2) AS r2, avg(mape) AS mape FROM m GROUP BY weather", "rmse mae nrmse r2 mape")
+@query(_FOLDED + " SELECT weather, count(DISTINCT fold) AS folds, avg(rmse) AS rmse, avg(mae) AS mae, avg(nrmse) AS nrmse, avg(r2) AS r2, avg(mape) AS mape FROM m GROUP BY weather", "rmse mae nrmse r2 mape", 9)
 def fold_metric_aggregate(spark, d):
     x = pred(spark, d).withColumn("fold", (F.col("row_id") % 4).cast("int"))
     return evaluate.fold_aggregate(evaluate.metrics(x, ("fold", "weather")))
 
 
-@query(_CLASS + " SELECT a.metric, a.value AS a, b.value AS b, b.value - a.value AS difference, coalesce((b.value - a.value) / CASE WHEN a.value <> 0 THEN abs(a.value) END * 100, 0) AS improvement FROM l a JOIN l b ON a.metric = b.metric AND a.weather = 0 AND b.weather = 1", "a b difference improvement")
+@query(_CLASS + " SELECT a.metric, a.value AS a, b.value AS b, b.value - a.value AS difference, coalesce((b.value - a.value) / CASE WHEN a.value <> 0 THEN abs(a.value) END * 100, 0) AS improvement FROM l a JOIN l b ON a.metric = b.metric AND a.weather = 0 AND b.weather = 1", "a b difference improvement", 9)
 def checkpoint_compare(spark, d):
     long = evaluate.metrics_long(pred(spark, d))
     return evaluate.compare_runs(long.filter("weather = 0"), long.filter("weather = 1"))
