@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -113,17 +114,27 @@ def _t_p(t: float, freedom: int) -> float | None:
     return 1 - out if flip else out
 
 
+def with_rows_before(counts: DataFrame, value: str, n: str = "n", each: int = 1024) -> DataFrame:
+    """counts, a row for each distinct value, with `before`: how many rows have smaller values. Sums run in two levels, over
+    ranges of magnitude (`each` to a factor of e, by sign) and within each, so that no task orders all values."""
+    x = F.col(value)
+    size = F.floor(F.log(F.when(x != 0, F.abs(x))) * each) + (1 << 24)  # above 0 for every double
+    ranged = counts.withColumn("__range", F.coalesce(F.when(x > 0, size).otherwise(-size), F.lit(0)))
+    sums = ranged.groupBy("__range").agg(F.sum(n).alias("__sum"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, whatever the rows
+    base = sums.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    both = ranged.withColumn("__within", F.coalesce(F.sum(n).over(within), F.lit(0))).join(base, F.col("__range") == F.col("__of"))
+    return both.withColumn("before", F.col("__base") + F.col("__within")).drop("__range", "__of", "__base", "__within")
+
+
 def wilcoxon(d: DataFrame) -> DataFrame:
     """One row over differences d, zeros left out: n, w (the lesser sum of ranks), z and p_value by the normal
-    approximation with ties. Ranks come from counts of equal absolute values, summed in ranges."""
+    approximation with ties. Ranks come from counts of equal absolute values."""
     rows = d.filter("d <> 0").select(F.abs("d").alias("x"), (F.col("d") > 0).alias("up"))
     ties = rows.groupBy("x").agg(F.count("*").alias("n"), F.count_if("up").alias("ups"))
-    ties = ties.withColumn("part", F.floor(F.log(F.col("x")) * 64))
-    sums = ties.groupBy("part").agg(F.sum("n").alias("s"))
-    first = sums.select(F.col("part").alias("__p"), F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each range of magnitudes
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("before", before).join(F.broadcast(first), F.col("part") == F.col("__p"))
-    rank = F.col("base") + F.col("before") + (F.col("n") + 1) / 2
+    ranked = with_rows_before(ties, "x")
+    rank = F.col("before") + (F.col("n") + 1) / 2
     one = ranked.agg(F.sum("n").alias("n"), F.sum(rank * F.col("ups")).alias("plus"), F.sum(rank * (F.col("n") - F.col("ups"))).alias("minus"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("tied"))
     n = F.col("n").cast("double")
     w = F.least("plus", "minus")
@@ -165,8 +176,47 @@ def error_histogram(df: DataFrame, bins: int = 50, p: str = "prediction", t: str
 def error_ecdf(df: DataFrame, p: str = "prediction", t: str = "target", digits: int = 1) -> DataFrame:
     """(error, share): share of absolute errors up to each of their values, cut to `digits`: a row for each such value."""
     counts = df.select((F.floor(F.abs(F.col(p) - F.col(t)) * 10.0**digits) / 10.0**digits).alias("error")).filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("error").rowsBetween(Window.unboundedPreceding, 0))  # over distinct rounded values
-    return counts.select("error", (upto / F.sum("n").over(Window.partitionBy())).alias("share"))
+    every = counts.agg(F.sum("n").alias("every"))  # one row
+    return with_rows_before(counts, "error").join(F.broadcast(every), F.lit(True)).select("error", ((F.col("before") + F.col("n")) / F.col("every")).alias("share"))
+
+
+def error_qq(df: DataFrame, p: str = "prediction", t: str = "target", digits: int = 6) -> DataFrame:
+    """(error, n, first_p, last_p, first_z, last_z): for each error, cut to `digits`, the normal quantiles that its first and
+    last row are drawn at: medians of order statistics, as shares p and as quantiles z of the standard normal."""
+    counts = df.select((F.round(F.col(p) - F.col(t), digits) + 0.0).alias("error")).filter("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+    rows = with_rows_before(counts, "error").join(F.broadcast(counts.agg(F.sum("n").alias("every"))), F.lit(True))
+
+    def share(place: Column) -> Column:
+        every = F.col("every")
+        top = F.pow(F.lit(0.5), 1 / every)
+        return F.when(place == every, top).when(place == 1, 1 - top).otherwise((place - 0.3175) / (every + 0.365))
+
+    normal = F.pandas_udf(lambda x: x.map(NormalDist().inv_cdf), "double")
+    rows = rows.select("error", "n", share(F.col("before") + 1).alias("first_p"), share(F.col("before") + F.col("n")).alias("last_p"))
+    return rows.withColumns({"first_z": normal("first_p"), "last_z": normal("last_p")})
+
+
+def error_density(df: DataFrame, points: int = 200, p: str = "prediction", t: str = "target") -> DataFrame:
+    """(point, error, density): a Gaussian kernel density of errors at evenly spaced points from least to greatest, of
+    bandwidth deviation * n ** (-1 / 5). Each task adds up its rows' kernels; without two different errors there are no rows."""
+    e = df.select((F.col(p) - F.col(t)).alias("e")).filter("e is not null")
+    one = e.agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.count("*").cast("double").alias("rows"), F.stddev_samp("e").alias("sd")).filter("hi > lo")
+    one = one.select("lo", ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"), "rows", (F.col("sd") * F.pow("rows", F.lit(-0.2))).alias("h"))
+    rows = e.join(F.broadcast(one), F.lit(True)).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    at = F.col("lo") + F.col("point") * F.col("step")
+    u = (at - F.col("e")) / F.col("h")
+    sums = rows.groupBy("point", at.alias("error"), "rows", "h").agg(F.sum(F.exp(-u * u / 2)).alias("s"))
+    return sums.select("point", "error", (F.col("s") / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def error_band(df: DataFrame, by: str = "weather", width: float = 2.0, p: str = "prediction", t: str = "target") -> DataFrame:
+    """(class, n, mean, low, high, outside): the band of `width` population deviations around the mean error, and the errors beyond it."""
+    e = df.select(by, (F.col(p) - F.col(t)).alias("e"))
+    reach = F.stddev_pop("e") * width
+    band = e.groupBy(by).agg(F.count("e").alias("n"), F.avg("e").alias("mean"), (F.avg("e") - reach).alias("low"), (F.avg("e") + reach).alias("high"))
+    beyond = F.coalesce(~F.col("e").between(F.col("low"), F.col("high")), F.lit(False))
+    classes = band.withColumnRenamed(by, "__by")  # a row for each class
+    return e.join(F.broadcast(classes), F.col(by).eqNullSafe(F.col("__by"))).groupBy(by, "n", "mean", "low", "high").agg(F.count_if(beyond).alias("outside"))
 
 
 def error_quartiles(df: DataFrame, by: str = "weather", p: str = "prediction", t: str = "target") -> DataFrame:

@@ -558,6 +558,21 @@ def error_ecdf(spark, d):
     return evaluate.error_ecdf(pred(spark, d))
 
 
+@query(f"WITH {PRED}, c AS (SELECT round(prediction - target, 6) + 0.0 AS error, count(*) AS n FROM pred GROUP BY 1), r AS (SELECT error, n, sum(n) OVER (ORDER BY error) AS upto, sum(n) OVER () AS every FROM c), b AS (SELECT error, n, upto - n + 1 AS a, upto AS b, every, pow(0.5::DOUBLE, 1 / every::DOUBLE) AS top FROM r) SELECT error, n, CASE WHEN a = every THEN top WHEN a = 1 THEN 1 - top ELSE (a - 0.3175::DOUBLE) / (every + 0.365::DOUBLE) END AS first_p, CASE WHEN b = every THEN top WHEN b = 1 THEN 1 - top ELSE (b - 0.3175::DOUBLE) / (every + 0.365::DOUBLE) END AS last_p FROM b", "error first_p last_p")
+def error_qq(spark, d):
+    return evaluate.error_qq(pred(spark, d)).select("error", "n", "first_p", "last_p")
+
+
+@query(f"WITH {PRED}, e AS (SELECT prediction - target AS e FROM pred), s AS (SELECT min(e) AS lo, (max(e) - min(e)) / 199 AS step, count(*)::DOUBLE AS rows, stddev_samp(e) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS h FROM e), g AS (SELECT CAST(i AS INTEGER) AS point, lo + i * step AS error, rows, h FROM s, range(200) r(i)) SELECT point, error, sum(exp(-pow((error - e) / h, 2) / 2)) / (rows * h * sqrt(2 * pi())) AS density FROM g, e GROUP BY point, error, rows, h", "error density")
+def error_density(spark, d):
+    return evaluate.error_density(pred(spark, d))
+
+
+@query(f"WITH {PRED}, e AS (SELECT weather, prediction - target AS e FROM pred), b AS (SELECT weather, count(e) AS n, avg(e) AS mean, avg(e) - 2 * stddev_pop(e) AS low, avg(e) + 2 * stddev_pop(e) AS high FROM e GROUP BY weather) SELECT weather, n, mean, low, high, count(*) FILTER (WHERE NOT (e BETWEEN low AND high)) AS outside FROM e JOIN b USING (weather) GROUP BY ALL", "mean low high")
+def error_band(spark, d):
+    return evaluate.error_band(pred(spark, d))
+
+
 @query(f"WITH {PRED}, e AS (SELECT weather, prediction - target AS e FROM pred), q AS (SELECT weather, quantile_cont(e, 0.25) AS q1, quantile_cont(e, 0.5) AS median, quantile_cont(e, 0.75) AS q3 FROM e GROUP BY weather) SELECT weather, q1, median, q3, min(e) FILTER (WHERE e BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5) AS low, max(e) FILTER (WHERE e BETWEEN q1 - (q3 - q1) * 1.5 AND q3 + (q3 - q1) * 1.5) AS high FROM e JOIN q USING (weather) GROUP BY ALL", "q1 median q3 low high")
 def error_quartiles(spark, d):
     return evaluate.error_quartiles(pred(spark, d))

@@ -193,3 +193,24 @@ def test_error_monitor_stream(spark, tmp_path):
 def test_training_log_lines(spark):
     lines = spark.createDataFrame([("Epoch 3/10 Loss: 0.25", "f"), ("nothing", "f")], "value string, file string")
     assert [tuple(r) for r in monitor.parsed_log(lines).collect()] == [("f", 3, 0.25)]
+
+
+def test_rows_before_any_magnitude(spark):
+    """Negative, zero, tiny and huge values, against sorting all rows."""
+    values = [-1e300, -3.5, -3.5, -1e-310, 0.0, 0.0, 0.0, 5e-324, 2.0, 2.0000001, 1e308]
+    counts = spark.createDataFrame([(v,) for v in values], "x double").groupBy("x").count().withColumnRenamed("count", "n")
+    got = {r.x: r.before for r in evaluate.with_rows_before(counts, "x").collect()}
+    assert got == {v: sum(w < v for w in values) for v in values}
+    assert evaluate.with_rows_before(counts.limit(0), "x").collect() == []
+
+
+def test_error_figures_of_few_rows(spark):
+    """One row, nulls and equal errors."""
+    kind = "weather int, prediction double, target double"
+    one = spark.createDataFrame([(0, 3.0, 1.0), (None, None, 1.0)], kind)
+    assert [(r.error, r.n, r.first_p, r.first_z) for r in evaluate.error_qq(one).collect()] == [(2.0, 1, 0.5, 0.0)]
+    assert evaluate.error_density(one).collect() == []
+    same = spark.createDataFrame([(0, 1.0 + i, 1.0) for i in (0, 1, 2, 3, 100)], kind)
+    assert [tuple(r)[:2] + (r.outside,) for r in evaluate.error_band(same, width=1.5).collect()] == [(0, 5, 1)]
+    total = evaluate.error_density(same, points=4000).agg({"density": "sum"}).first()[0] * 100 / 3999
+    assert 0.3 < total <= 1
