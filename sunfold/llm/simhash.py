@@ -98,28 +98,30 @@ def ball_masks() -> tuple[np.ndarray, int]:
     return np.array(near + far, np.uint64), len(near)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From rows sorted by their first column: the rows whose key another row shares, as (start of each run, keys, second column)."""
-    key, value = np.empty(0, np.int64), np.empty(0, np.int64)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """From rows sorted by their first column: the rows whose key another row shares, as (start of each run, keys, each other column)."""
+    held: list[np.ndarray] | None = None
 
-    def shared(k, v):
+    def shared(columns):
+        k = columns[0]
         if len(k) < 2:
             return None
         same = k[1:] == k[:-1]
         keep = np.r_[same, False] | np.r_[False, same]
-        k, v = k[keep], v[keep]
-        return (np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), k, v) if len(k) else None
+        columns = [c[keep] for c in columns]
+        k = columns[0]
+        return (np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), *columns) if len(k) else None
 
     for batch in batches:
-        k, v = batch[0].to_numpy(), batch[1].to_numpy(zero_copy_only=False)
-        key, value = np.concatenate([key, k]), np.concatenate([value, v])
-        if not len(key):
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        if not len(held[0]):
             continue
-        last = int(np.searchsorted(key, key[-1]))
-        if found := shared(key[:last], value[:last]):
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if found := shared([c[:last] for c in held]):
             yield found
-        key, value = key[last:], value[last:]
-    if found := shared(key, value):
+        held = [c[last:] for c in held]
+    if held is not None and (found := shared(held)):
         yield found
 
 
@@ -192,63 +194,174 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
     return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 36, tables: int = 14) -> DataFrame:
-    """(key, cluster) for each distinct key: documents whose word shingles are `similarity` alike share a cluster, named by its smallest key.
+_BITS = 1 << 24  # of the bitmap that keeps texts without a candidate from the shuffle
 
-    Documents that are 0.8 alike differ in about 15 % of SimHash bits, far more than 3 of 64. So each document has a
-    signature of 512 bits, of which `tables` disjoint fingerprints of `bits` bits are looked up by balls of half the
-    radius 2, and colliding pairs are verified on the whole signature: for shingle sets of Jaccard similarity s the
-    expected share of differing bits is acos(2s / (1 + s)) / pi. Unrelated pairs collide with odds of about
-    tables * bits**2 / 2 / 2**bits; take more bits for far more than 10**8 documents.
 
-    A null text counts as empty, and documents without words are alike. Rows without a key are not clustered. Rows
-    that share a key are one document.
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def _digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def _frequent(docs: DataFrame, key: str, text: str, words: int, sampled: int = 2000, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several of about `sampled` documents have, at most `most`, in order, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch[0].to_pylist():
+                yield pa.record_batch([pa.array(_shingle_set(t, words).view(np.int64))], ["shingle"])
+
+    some = docs.filter(F.pmod(F.xxhash64(key), F.lit(max(1, docs.count() // sampled))) == 0).select(text)
+    rows = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(most).collect()
+    found = sorted((r["shingle"] % (1 << 64), r["n"]) for r in rows)
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets whose first common shingle stands at these places can be alike; a place is size << 32 | position."""
+    m, n = a >> 32, b >> 32
+    return np.minimum(m - (a & 0xFFFFFFFF), n - (b & 0xFFFFFFFF)) + 1e-6 >= similarity / (1 + similarity) * (m + n)
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose shingle sets have that Jaccard similarity, exactly. A set is sent once for each pair that it is the second of."""
+    parts = shuffle_partitions(docs.sparkSession)
+    need = pairs.select(F.col("b").alias("digest"), F.col("a").alias("hub")).unionAll(pairs.select(F.col("a").alias("digest"), F.col("a").alias("hub")).distinct())
+    at = F.pmod(F.col("digest"), F.lit(_BITS))
+    marks = need.groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits")).collect()
+    bitmap = np.zeros(_BITS // 32, np.int64)
+    for r in marks:
+        bitmap[r["word"]] = r["bits"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                made = [_shingle_set(t, words) for t in batch.slice(i, 256)[0].to_pylist()]
+                named = [(d, x) for d, x in ((_digest(x), x) for x in made) if bitmap[d % _BITS >> 5] >> (d % _BITS & 31) & 1]
+                yield pa.record_batch([pa.array([d for d, _ in named], pa.int64()), pa.array([x.tobytes() for _, x in named], pa.binary())], ["digest", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            out = []
+            for hub, d, raw in zip(*(batch[c].to_pylist() for c in ("hub", "digest", "shingles")), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                if hub == d:
+                    now, own = hub, x
+                elif hub == now:
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    if both / (len(own) + len(x) - both) >= similarity:
+                        out.append((hub, d))
+            yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    made = docs.select(text).mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"])
+    met = need.join(made, "digest").select("hub", "digest", "shingles").repartition(parts, "hub").sortWithinPartitions("hub", F.col("hub") != F.col("digest"))
+    return met.mapInArrow(check, "a bigint, b bigint")
+
+
+def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, cluster) for each distinct key: documents whose sets of word shingles have a Jaccard similarity of at least `similarity` are linked,
+    and a cluster is what links connect, named by its smallest key. Exact: no pair is lost and none is added.
+
+    Shingles have one order for all texts, rare ones first. Of two sets that are alike, each has a shingle in common with
+    the other among its first n - ceil(similarity * n) + 1, so only these are shuffled. The first that a pair has in
+    common also bounds their overlap by what follows it. Pairs that meet are verified on the whole sets in two rounds:
+    first the star around the smallest of each bucket and the chain of neighbours, then every other pair of the bucket
+    whose members are not connected yet. A pair left out is connected already.
+
+    Texts are read again for each round, and only those with a candidate send their sets. Which shingles are frequent is
+    estimated from a sample; it changes the work, not the result. Members of a bucket that are not connected cost a
+    comparison for each pair. A null text counts as empty, and documents without words are alike. Rows without a key are not
+    clustered. Rows that share a key are one document. Equal sets are one node, by a digest of 64 bits.
     """
-    longs, parts = 8, shuffle_partitions(docs.sparkSession)
-    most = math.floor(64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    prints = cut(fingerprints(docs.filter(F.col(key).isNotNull()), key, text, words, longs).select(F.col(key).alias("node"), "fingerprint"))
-    classes = prints.groupBy("fingerprint").agg(F.min("node").alias("node"))
-    flips = np.array([0, *(1 << i for i in range(bits))], np.uint64)
+    parts = shuffle_partitions(docs.sparkSession)
+    docs = docs.filter(F.col(key).isNotNull()).select(key, text)
+    kind = docs.schema[key].dataType.simpleString()
+    common, counts = _frequent(docs, key, text, words)
 
-    def emit(batches):
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                node = part[0].to_numpy()
-                sig = np.stack(part[1].to_numpy(zero_copy_only=False)).view(np.uint64)
-                every = np.unpackbits(sig.view(np.uint8), axis=1, bitorder="little")[:, : bits * tables].reshape(len(node), tables, bits)
-                wide = np.zeros((len(node), tables, 64), np.uint8)
-                wide[:, :, :bits] = every
-                own = np.packbits(wide, axis=2, bitorder="little").view("<u8").reshape(len(node), tables)
-                own |= (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :]
-                points = (own[:, :, None] ^ flips[None, None, :]).reshape(len(node), -1)
-                yield pa.record_batch([pa.array(points.ravel().view(np.int64)), pa.array(np.repeat(node, points.shape[1]))], ["point", "node"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield pa.record_batch([part[0], pa.array([_digest(_shingle_set(t, words)) for t in part[1].to_pylist()], pa.int64())], ["node", "digest"])
 
-    def meet(batches):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                out = []
+                for t in batch.slice(i, 256)[0].to_pylist():
+                    x = _shingle_set(t, words)
+                    n = len(x)
+                    if not n:
+                        continue
+                    seen = np.zeros(n, np.int64)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                        seen = np.where(common[place] == x, counts[place], 0)
+                    first = x[np.argsort(seen, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
+                    out.append((first, np.full(len(first), _digest(x)), np.arange(len(first)) | n << 32))
+                if out:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["point", "digest", "place"])
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 2), np.int64)
-        for start, _, node in _runs(batches):
-            size = np.diff(np.r_[start, len(node)])
-            hub = np.repeat(np.minimum.reduceat(node, start), size)
-            inner = np.ones(len(node), bool)
+        none = lambda n: pa.nulls(n, pa.int64())
+        names = ["a", "b", "point", "place"]
+        for _, point, digest, place in _runs(batches):
+            once = np.r_[True, (point[1:] != point[:-1]) | (digest[1:] != digest[:-1])]
+            point, digest, place = point[once], digest[once], place[once]
+            start = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+            size = np.diff(np.r_[start, len(point)])
+            inner = np.ones(len(point), bool)
             inner[start] = False
-            chain = np.stack([np.r_[node[:1], node[:-1]], node], 1)[inner]
-            star = np.stack([hub, node], 1)
-            pairs = np.concatenate([held, star, chain])
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            held = np.unique(np.sort(pairs, axis=1), axis=0)
+            own = np.flatnonzero(inner)
+            two = np.concatenate([np.stack([x, own], 1) for x in (np.repeat(start, size)[own], own - 1)])
+            two = two[_may_be_alike(place[two[:, 0]], place[two[:, 1]], similarity)]
+            held = np.unique(np.concatenate([held, digest[two]]), axis=0)
             if len(held) > 500_000:
-                yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
+                yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1]), none(len(held)), none(len(held))], names)
                 held = held[:0]
-        yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
-
-    points = classes.select("node", "fingerprint").repartition(parts).mapInArrow(emit, "point bigint, node bigint")
-    met = points.repartition(parts, "point").sortWithinPartitions("point", "node").mapInArrow(meet, "a bigint, b bigint").distinct()
-    left, right = (classes.select(F.col("node").alias(x), F.col("fingerprint").alias(f"{x}_print")) for x in ("a", "b"))
-    apart = F.aggregate(F.zip_with("a_print", "b_print", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
-    links = met.join(left, "a").join(right, "b").filter(apart <= most).select("a", "b")
-    # a key whose rows differ in text has several classes, which count as linked
-    links = links.unionAll(prints.join(classes.withColumnRenamed("node", "a"), "fingerprint").filter("a <> node").select("a", F.col("node").alias("b")))
-    return prints.select("node").distinct().join(connected_components(links), "node", "left").select(F.col("node").alias(key), F.coalesce("root", "node").alias("cluster"))
+            if (more := np.repeat(size > 3, size)).any():
+                yield pa.record_batch([pa.array(digest[more]), none(int(more.sum())), pa.array(point[more]), pa.array(place[more])], names)
+        yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1]), none(len(held)), none(len(held))], names)
+
+    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for start, _, digest, place, root in _runs(batches):
+            mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+            for i, j in zip(start[mixed], np.r_[start[1:], len(root)][mixed], strict=True):
+                for at in range(i, j - 1):
+                    b = np.flatnonzero((root[at + 1 : j] != root[at]) & _may_be_alike(place[at], place[at + 1 : j], similarity)) + at + 1
+                    if len(b):
+                        held.append(np.stack([np.minimum(digest[at], digest[b]), np.maximum(digest[at], digest[b])], 1))
+                        n += len(b)
+                    if n > 500_000:
+                        pairs = np.unique(np.concatenate(held), axis=0)
+                        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                        held, n = [], 0
+        if held:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    prints = cut(docs.mapInArrow(name, f"node {kind}, digest bigint"))
+    points = docs.select(text).mapInArrow(emit, "point bigint, digest bigint, place bigint")
+    met = cut(points.repartition(parts, "point").sortWithinPartitions("point", "digest").mapInArrow(first_round, "a bigint, b bigint, point bigint, place bigint"))
+    links = _alike(docs, cut(met.filter("b is not null").select("a", "b").distinct()), text, words, similarity)
+    # a key whose rows differ in text has several digests, which count as linked
+    several = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z")
+    links = links.unionAll(prints.join(several, "node").select("a", F.col("digest").alias("b")))
+    found = cut(connected_components(links).withColumnsRenamed({"node": "a"}))
+    rest = met.filter("b is null").join(found, "a", "left").select("point", F.col("a").alias("digest"), "place", F.coalesce("root", "a").alias("root"))
+    crossed = cut(rest.repartition(parts, "point").sortWithinPartitions("point").mapInArrow(second_round, "a bigint, b bigint").distinct())
+    if crossed.head(1):
+        links = _alike(docs, crossed, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
+        found = connected_components(links).withColumnsRenamed({"node": "a"})
+    rooted = cut(prints.join(found, prints["digest"] == found["a"], "left").select("node", F.coalesce("root", "digest").alias("root")).distinct())
+    least = rooted.groupBy("root").agg(F.min("node").alias("cluster"))
+    return rooted.join(least, "root").select(F.col("node").alias(key), "cluster")
 
 
 def one_of_each_cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -316,6 +316,37 @@ def test_near_duplicate_clusters(spark):
     assert len(one) <= 34 and "None" in one and one.count("5000") == 0
 
 
+def brute_clusters(rows, similarity=0.8):
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in rows}
+    alike = lambda x, y: len(x & y) / len(x | y) >= similarity if x | y else True
+    keys, up = sorted(sets), {k: k for k in sets}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if alike(sets[a], sets[b]) and top(a) != top(b):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    return {k: top(k) for k in keys}
+
+
+def test_near_duplicate_clusters_equal_brute_force_at_the_threshold(spark):
+    """Pairs of similarity 0.70 to 0.90, and texts of a few words with one appended."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(200):
+        n = rng.choice([8, 9, 12, 40, 120, 200])
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        j = rng.uniform(0.7, 0.9)
+        more = max(1, round((n - 4) * (1 / j - 1)))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + [f"v{rng.randrange(10**6)}" for _ in range(more)]))]
+    got = dict(map(tuple, simhash.near_duplicate_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_clusters(rows)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
