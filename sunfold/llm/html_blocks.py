@@ -18,17 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Fixed values of HTML: elements whose content is no text, elements within a line, and elements that enclose parts of a page.
-_RAW = "script style noscript template iframe object svg math canvas select textarea button option head title".split()
+_RAW = "script style noscript template iframe object svg math canvas select textarea button head title".split()
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_AROUND = set("nav header footer aside form dialog menu article main section div ul ol table figure body details fieldset".split())
-_SIDE = set("nav footer aside form dialog menu fieldset".split())
+_AROUND = set("nav header footer aside form dialog menu article main section div ul ol table figure body details fieldset datalist option".split())
+_SIDE = set("nav footer aside form dialog menu fieldset datalist option".split())
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"  # of a start tag
+# Raw elements end at their end tag; script and style also at the page's end, svg and math at "/>". Of any other without an
+# end tag only the start tag goes.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(?P<raw>" + "|".join(x for x in _RAW if x != "head") + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(?:svg|math)(?![\w:-])" + _REST + r"(?<=/)>"
+    r"|<(?P<text>script|style)(?![\w:-])" + _REST + r">.*?(?:</(?P=text)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(x for x in _RAW if x not in ("head", "script", "style")) + r")(?![\w:-])" + _REST + r">(?:.*?</(?P=raw)\s*>)?"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\s+(?:[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?|[\"'][^>]*?))*)\s*/?>",
     re.I | re.S,
 )
@@ -85,6 +90,8 @@ def blocks_of(page: str | None) -> list[tuple[str, int, float, bool, bool, bool,
         if tag in _VOID or tag not in _AROUND:
             continue
         if not m["end"]:
+            if tag == "option" and stack and stack[-1][0] == "option":
+                stack.pop()  # its end tag may be left out
             kind = _kind(tag, m["attrs"], main > 0)
             stack.append((tag, kind))
         else:

@@ -234,6 +234,19 @@ def test_html_tree_fits_its_table_and_holds_out_a_page():
     assert (html_blocks.classify(html_blocks.train_tree(x, y), x).round() == y).all()
 
 
+@pytest.mark.parametrize("icon", ['<svg class="icon"/>', "<math />", "<svg>", "<button>", "<canvas>", "<datalist id=d><option value=1>One<option>Two</datalist>", "<option>One", "<select><option>One<option>Two</select>", "<button-group></button-group>"])
+def test_html_after_an_element_without_an_end(icon):
+    tree = html_blocks.train_tree(*html_blocks.labelled_blocks())
+    blocks = html_blocks.blocks_of(f"<body><div>{icon}</div><article><h1>One title</h1><p>{'word ' * 60}</p></article><footer>us</footer>")
+    main = [b[0] for b, p in zip(blocks, html_blocks.classify(tree, html_blocks.features(blocks)), strict=True) if p >= 0.5]
+    assert main == ["One title", ("word " * 60).strip()]
+
+
+def test_html_raw_text_is_no_text():
+    page = "<p>a</p><svg><text>b</text></svg><script>c</script><select><option>d</select><p>e</p><style>f"
+    assert [b[0] for b in html_blocks.blocks_of(page)] == ["a", "e"]
+
+
 def brute_components(prints):
     values = sorted(set(prints))
     up = {v: v for v in values}
