@@ -1,16 +1,17 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer is a closed syncmer if the least of its s-mers, by hash, is its first or its last. Whether it is one depends
-on nothing but the k-mer, so an edit disturbs no anchor that it does not touch. A fingerprint is a bounded sample of a
-text's anchors, those with the smallest hashes, with their positions. Two fingerprints are compared over the hashes
-that both would have sampled, and an anchor that both have counts only if it is in order with the others, so that
-common words in other places are no likeness.
+on nothing but the k-mer, so an edit disturbs no anchor that it does not touch. A fingerprint is all of a text's anchors,
+repeats included, in text order with their positions, so it grows with the text. An anchor that two fingerprints have
+counts only if it is in order with the others, so that common words in other places are no likeness.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sunfold.runtime import shuffle_partitions
 
-K, S, SAMPLE = 8, 3, 128
+K, S = 8, 3
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -62,11 +63,10 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return (whole >> np.uint64(32)).astype(np.uint32), at
 
 
-def fingerprint(text: str | None, k: int = K, s: int = S, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """The `sample` anchors with the smallest distinct hashes, by hash, each at its first position."""
+def fingerprint(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of all anchors of the whole text, in text order."""
     h, at = anchors(text, k, s)
-    h, first = np.unique(h, return_index=True)
-    return h[:sample], at[first][:sample].astype(np.uint32)
+    return h, at.astype(np.uint32)
 
 
 def encoded(print_: tuple[np.ndarray, np.ndarray]) -> str:
@@ -79,29 +79,51 @@ def decoded(text: str) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
-def _in_order(x: np.ndarray) -> int:
-    """Length of the longest strictly increasing subsequence."""
-    from bisect import bisect_left
-
-    ends: list[int] = []
-    for v in x.tolist():
-        i = bisect_left(ends, v)
-        ends[i : i + 1] = [v]
-    return len(ends)
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], sample: int = SAMPLE) -> float:
+def _in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, exactly.
+
+    By the longest rising run over the places where elements match, or, where repeats make these too many, by one bit for
+    each element of b."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    head = int(other[0]) if len(other) else n
+    a, b, n = a[head:], b[head:], n - head
+    other = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+    tail = int(other[0]) if len(other) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    both = np.intersect1d(a, b)
+    x, y = (v[np.isin(v, both)].tolist() for v in (a, b))
+    left, right = Counter(x), Counter(y)
+    if sum(n * right[v] for v, n in left.items()) * 16 < len(x) * (len(y) + 1024):
+        places = defaultdict(list)
+        for i in range(len(y) - 1, -1, -1):
+            places[y[i]].append(i)
+        ends: list[int] = []
+        for v in x:
+            for j in places[v]:
+                i = bisect_left(ends, j)
+                ends[i : i + 1] = [j]
+        return head + tail + len(ends)
+    z = np.array(y)
+    masks = {v: int.from_bytes(np.packbits(z == v, bitorder="little").tobytes(), "little") for v in both.tolist()}
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        hit = row & masks[v]
+        row = (row + hit | row - hit) & full
+    return head + tail + len(y) - row.bit_count()
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The share of anchors, of those either text has, that both have in the same order; 0 to 1. Two empty texts are alike.
 
-    Over hashes up to the greatest that both samples reach, each sample is complete, so the share is an unbiased
-    estimate for the whole texts, and exact for texts with at most `sample` anchors."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    top = min(x[0][-1] if len(x[0]) >= sample else np.iinfo(np.uint32).max for x in (a, b))
-    p, q = (int(np.searchsorted(x[0], top, "right")) for x in (a, b))
-    _, i, j = np.intersect1d(a[0][:p], b[0][:q], assume_unique=True, return_indices=True)
-    n = _in_order(b[1][j[np.argsort(a[1][i], kind="stable")]]) if len(i) else 0
-    return n / max(1, p + q - len(i))
+    Exact for whole texts; an anchor that a text repeats counts each time."""
+    m, n = len(a[0]), len(b[0])
+    if not m or not n:
+        return float(m == n)
+    p, q = (dict(zip(*np.unique(x[0], return_counts=True), strict=True)) for x in (a, b))
+    common = sum(int(min(c, q[h])) for h, c in p.items() if h in q)
+    return _in_order(a[0], b[0]) / (m + n - common)
 
 
 def _in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -126,7 +148,7 @@ def _in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "text", F.explode(F.filter(copies, lambda c: c["block"].isNotNull())).alias("to")).select("to.block", "to.own", "key", "text")
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S, sample: int = SAMPLE) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
     """For each row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last half of its code points (rounded down) replaced by as many of the first of the next
@@ -148,9 +170,9 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
         def close(next_text: str, next_print: tuple) -> None:
             n = len(held[1])
             edited = held[1][: n - n // 2] + next_text[: n // 2]
-            changed = fingerprint(edited, k, s, sample)
+            changed = fingerprint(edited, k, s)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((held[0], n, digest, encoded(print_), encoded(changed), likeness(print_, changed, sample), likeness(print_, next_print, sample)))
+            out.append((held[0], n, digest, encoded(print_), encoded(changed), likeness(print_, changed), likeness(print_, next_print)))
 
         def flush() -> pa.RecordBatch:
             done = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -166,7 +188,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 for b, own, i, t in zip(*(part[c].to_pylist() for c in ("block", "own", "key", "text")), strict=True):
                     if b != block:
                         block, first = b, True
-                    now = fingerprint(t, k, s, sample)
+                    now = fingerprint(t, k, s)
                     if not first:
                         close(t, now)
                     held, print_, first = ((i, t), now, False) if own else (None, None, True)

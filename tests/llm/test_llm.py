@@ -135,6 +135,31 @@ def test_syncmers_are_closed_and_context_free():
     assert syncmers.likeness(syncmers.fingerprint(""), syncmers.fingerprint("")) == 1 and syncmers.likeness(syncmers.fingerprint(""), syncmers.fingerprint("a")) == 0
 
 
+def test_syncmers_of_long_texts_are_whole():
+    """A passage of 300 words that two texts of 5,000 share, and a common subsequence against the plain table."""
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(n))
+    passage = some(300)
+    a, b = (syncmers.fingerprint(f"{some(2000)} {passage} {some(3000)}") for _ in range(2))
+    own = len(syncmers.anchors(passage)[0])
+    assert len(a[0]) > 5000 and own <= syncmers.likeness(a, b) * (len(a[0]) + len(b[0])) < 2 * own
+    again = syncmers.decoded(syncmers.encoded(a))
+    assert all((x == y).all() for x, y in zip(a, again, strict=True)) and (np.diff(a[1].astype(int)) > 0).all()
+    for kinds in (2, 30, 3000):
+        x, y = (np.array([rng.randrange(kinds) for _ in range(150)], np.uint32) for _ in range(2))
+        row = [0] * 151
+        for v in x:
+            row = _next_row(row, v, y)
+        assert syncmers._in_order(x, y) == row[-1]
+
+
+def _next_row(row, v, y):
+    out = [0]
+    for j, w in enumerate(y):
+        out.append(row[j] + 1 if v == w else max(row[j + 1], out[-1]))
+    return out
+
+
 INSULTS, GROUPS = "clod dolt oaf".split(), "reds blues greens".split()
 
 
