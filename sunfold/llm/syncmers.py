@@ -41,12 +41,13 @@ def _hashes(points: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of a text's closed syncmers. A text shorter than k is one anchor; an empty one has none."""
+    """Hashes (32 bits) and positions of a text's closed syncmers. A short text without one is itself one anchor; an empty one has none."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(points):
         return np.empty(0, np.uint32), np.empty(0, np.int64)
+    whole_text = lambda: ((_hashes(points, len(points)) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64))
     if len(points) < k:
-        return (_hashes(points, len(points)) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+        return whole_text()
     inner, w = _hashes(points, s), k - s + 1
     least, size = inner, 1  # the least of each w s-mers, by doubling
     while 2 * size <= w:
@@ -55,6 +56,8 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     if size < w:
         least = np.minimum(least[: len(inner) - w + 1], least[w - size :])
     at = np.flatnonzero((inner[: len(least)] == least) | (inner[w - 1 :] == least))
+    if not len(at):  # any k - s k-mers in a row have one, so that only a text of fewer than 2 k - s code points comes here
+        return whole_text()
     with np.errstate(over="ignore"):
         whole = _mix(inner[at] * np.uint64(_ODD) + inner[at + w - 1])
         for i in range(s, w - 1, s):
@@ -154,7 +157,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     The edited text has the last half of its code points (rounded down) replaced by as many of the first of the next
     document, or all it has; the next document is the one with the next smaller key, after the last the first. Nulls
     count as empty texts; a null key is the smallest. Rows with equal keys follow each other by their texts. One row
-    alone is its own next. Other columns are not read; an empty table gives an empty result.
+    alone is its own next. The key is of an integer type. Other columns are not read; an empty table gives an empty
+    result.
 
     Texts are shuffled once, into blocks of near keys, each with a copy of the row that follows it, and each block is
     read in order, so every fingerprint of a text is made once and no task holds more than two texts at a time.

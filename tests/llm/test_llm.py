@@ -122,6 +122,50 @@ def test_syncmers(docs, pairs, spark):
     assert syncmers.fingerprint_edits(docs.limit(0)).count() == 0
 
 
+def brute_anchors(t):
+    """The closed syncmers by their definition, as strings; a short text without one is its own."""
+    points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    k, s = syncmers.K, syncmers.S
+    inner = lambda x: [int(syncmers._hashes(points(x[i : i + s]), s)[0]) for i in range(k - s + 1)]
+    found = [x for x in (t[i : i + k] for i in range(len(t) - k + 1)) if min(inner(x)) in (inner(x)[0], inner(x)[-1])]
+    return found or ([t] if t else [])
+
+
+def test_syncmer_likeness_equals_brute_force(spark):
+    """Ties of keys, repeated rows, short texts, nulls, and extra columns; each likeness by the plain table over strings."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.choice([0, 1, 5, 8, 9, 10, 11, 12, 40, 90]))) for _ in range(40)] + [None, ""]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(3, texts[6]), (3, texts[6])]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumns({"block": F.lit(1), "own": F.lit(2), "to": F.lit(3), "key": F.lit("x"), "n_chars": F.lit(0)})
+    got = sorted((r["doc_id"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in syncmers.fingerprint_edits(df).collect())
+
+    def like(x, y):
+        x, y = brute_anchors(x), brute_anchors(y)
+        if not x or not y:
+            return float(x == y)
+        row = [0] * (len(y) + 1)
+        for v in x:
+            row = _next_row(row, v, y)
+        a, b = collections.Counter(x), collections.Counter(y)
+        return round(row[-1] / (len(x) + len(y) - (a & b).total()), 9)
+
+    order = sorted(((k, t or "") for k, t in rows), key=lambda x: (-x[0], x[1]))
+    want = []
+    for i, (k, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((k, sha(edited), like(t, edited), like(t, after)))
+    assert got == sorted(want)
+
+
+def test_every_text_has_an_anchor():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in range(1, 30) for _ in range(200)]
+    assert all(len(syncmers.anchors(t)[0]) for t in texts)
+    short = [(a, b) for a, b in zip(texts, texts[1:], strict=False) if a != b and max(len(a), len(b)) < 12]
+    assert all(syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) < 1 for a, b in short)
+
+
 def test_syncmers_are_closed_and_context_free():
     rng = random.Random(3)
     t = "".join(rng.choice("abcdefgh ") for _ in range(300))
