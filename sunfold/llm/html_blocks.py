@@ -2,8 +2,9 @@
 
 A page is read as a flat list of text blocks, cut at every block-level tag. A block is described by its number of
 words and its link density, by those of the blocks before and after it, and by what encloses it. A decision tree,
-trained on the small table of labelled blocks below, says which blocks are main text. Each page is worked on alone,
-in whatever task reads it; nothing is shuffled.
+trained on the small table of labelled blocks below, says which blocks are main text. Each page is read once from its
+start to its end, in time linear in its length however broken its tags are, and worked on alone in whatever task
+reads it; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,41 +26,104 @@ _SIDE = set("nav footer aside form dialog menu fieldset datalist option".split()
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+_LAYOUT = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]+", re.I)  # names of a layout, not of a part
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 
-_REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"  # of a start tag
-# Raw elements end at their end tag; script and style also at the page's end, svg and math at "/>". Of any other without an
-# end tag only the start tag goes.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(?:svg|math)(?![\w:-])" + _REST + r"(?<=/)>"
-    r"|<(?P<text>script|style)(?![\w:-])" + _REST + r">.*?(?:</(?P=text)\s*>|\Z)"
-    r"|<(?P<raw>" + "|".join(x for x in _RAW if x not in ("head", "script", "style")) + r")(?![\w:-])" + _REST + r">(?:.*?</(?P=raw)\s*>)?"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\s+(?:[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?|[\"'][^>]*?))*)\s*/?>",
-    re.I | re.S,
-)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+_TAG = re.compile(r"</?([a-zA-Z][\w:-]*)")
+_STEP = re.compile(r">|=\s*([\"'])")
+_RAW_END = {x: re.compile(f"</{x}(?![\\w:-])[^>]*>", re.I) for x in _RAW}
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "side", "hinted", "within_main", "heading")
 
 
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page from left to right, as (kind, name or text, attributes): kind is text, open or close. Comments, declarations
+    and raw elements are left out.
+
+    A quoted value begins behind an equals sign; where a quote is never closed, quotes mean nothing from there on. Raw
+    elements end at their end tag, svg and math also at "/>"; without an end tag script and style run to the page's end, and
+    of the others only the start tag goes. Whatever was sought in vain is not sought again, so every character is passed a
+    bounded number of times."""
+    at, n, quotes, endless = 0, len(page), True, set()
+
+    def tag_end(i: int) -> int:
+        """Where the tag ends whose name ends at i; -1 if nowhere."""
+        nonlocal quotes
+        j = i
+        while quotes:
+            m = _STEP.search(page, j)
+            if m is None:
+                quotes = False
+            elif not m[1]:
+                return m.start()
+            elif (j := page.find(m[1], m.end()) + 1) == 0:
+                quotes = False
+        return page.find(">", i)
+
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4) + 3
+            yield "text", page[at:i], ""
+            at = end if end > 2 else n
+            continue
+        if page.startswith(("<!", "<?"), i):
+            end = page.find(">", i)
+            yield "text", page[at:i], ""
+            at = end + 1 if end >= 0 else n
+            continue
+        m = _TAG.match(page, i)
+        if m is None:
+            yield "text", page[at : i + 1], ""
+            at = i + 1
+            continue
+        end = tag_end(m.end())
+        if end < 0:
+            break
+        yield "text", page[at:i], ""
+        name, attrs, at = m[1].lower(), page[m.end() : end], end + 1
+        if page[i + 1] == "/":
+            if name not in _RAW_END:
+                yield "close", name, ""
+        elif name not in _RAW_END:
+            yield "open", name, attrs
+        elif not (name in ("svg", "math") and attrs.endswith("/")) and name not in endless:
+            if stop := _RAW_END[name].search(page, at):
+                at = stop.end()
+            elif name in ("script", "style"):
+                at = n
+            else:
+                endless.add(name)
+    yield "text", page[at:], ""
+
+
 def _kind(tag: str, attrs: str, within: bool) -> tuple[bool, bool, bool]:
     """Whether an element is a side part by its tag or role, is hinted to be one by its names, and is a main part."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
+    names = _LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
     gone = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     role = found.get("role", "").lower()
     side = tag in _SIDE or role in _ROLES or gone or (tag == "header" and not within)
-    return side, bool(_HINT.search(names)), tag in ("article", "main") or role == "main" or (tag in ("div", "section") and bool(_MAIN.search(names)) and not _HINT.search(names))
+    hinted = tag != "body" and bool(_HINT.search(names))
+    return side, hinted, not hinted and (tag in ("article", "main") or role == "main" or (tag in ("div", "section") and bool(_MAIN.search(names))))
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
     """The text blocks in page order: text, words, link density, side part, hinted, within a main part, heading.
 
     Character references are decoded, runs of white space become one space. Pages cut off anywhere are read to their end."""
-    page = re.sub(r"<head\b.*?(?:</head\s*>|(?=<body\b))", "", page or "", count=1, flags=re.I | re.S)
+    page = page or ""
+    if head := re.search(r"<head(?![\w:-])[^>]*>", page, re.I):
+        end = re.compile(r"</head\s*>|<body(?![\w:-])", re.I).search(page, head.end())
+        if end:
+            page = page[: head.start()] + page[end.end() if end[0][1] == "/" else end.start() :]
     out, stack, text, linked = [], [], [], []
     side = hinted = main = 0
     heading = link = False
+    depth: dict[str, int] = {}
 
     def flush():
         words = html.unescape("".join(text)).split()
@@ -69,38 +133,37 @@ def blocks_of(page: str | None) -> list[tuple[str, int, float, bool, bool, bool,
         text.clear()
         linked.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
+    for what, name, attrs in _tokens(page):
+        if what == "text":
+            text.append(name)
             if link:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+                linked.append(name)
             continue
-        if tag == "a":
-            link = not m["end"]
-        if tag in _INLINE:
-            if tag in ("br", "wbr", "img"):
+        if name == "a":
+            link = what == "open"
+        if name in _INLINE:
+            if name in ("br", "wbr", "img"):
                 text.append(" ")
             continue
         flush()
-        heading = not m["end"] and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if tag in _VOID or tag not in _AROUND:
+        heading = what == "open" and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        if name in _VOID or name not in _AROUND:
             continue
-        if not m["end"]:
-            if tag == "option" and stack and stack[-1][0] == "option":
-                stack.pop()  # its end tag may be left out
-            kind = _kind(tag, m["attrs"], main > 0)
-            stack.append((tag, kind))
-        else:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if where is None:
-                continue
-            del stack[where:]
-        side, hinted, main = (sum(k[i] for _, k in stack) for i in range(3))
-    text.append(page[at:])
+        if what == "open":
+            if name == "option" and stack and stack[-1][0] == "option":
+                side, hinted, main = (v - k for v, k in zip((side, hinted, main), stack.pop()[1], strict=True))  # its end tag may be left out
+                depth["option"] -= 1
+            kind = _kind(name, attrs, main > 0)
+            stack.append((name, kind))
+            depth[name] = depth.get(name, 0) + 1
+            side, hinted, main = (v + k for v, k in zip((side, hinted, main), kind, strict=True))
+        elif depth.get(name):
+            while True:
+                closed, kind = stack.pop()
+                depth[closed] -= 1
+                side, hinted, main = (v - k for v, k in zip((side, hinted, main), kind, strict=True))
+                if closed == name:
+                    break
     flush()
     return out
 
@@ -115,27 +178,60 @@ def features(blocks: list[tuple]) -> np.ndarray:
     return np.hstack([own, np.vstack([pad, own[:-1]]), np.vstack([own[1:], pad]), flags])
 
 
-#: The labelled table: pages in pieces, each piece with 1 where its text is main text.
-LABELLED = (
-    [("<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li><li><a href=/c>News</a></li></ul></nav>", 0), ("<div class=ad>Buy two and get the third one for free this week only.</div>", 0), ("<article><h1>Rain over the hills again</h1>", 1), ("<p>Rain fell on the hills for nine days and the river rose.</p><p>Farmers moved their sheep.</p><p>Well.</p><p>The old bridge was closed on Monday, and two roads to the valley are still under water, as <a href=/x>reported</a> before.</p>", 1), ("</article><footer>&copy; hills.example &middot; all rights reserved by the people of the hills</footer>", 0)],
-    [("<header><a href=/>The Daily</a><p>News since 1901 for the whole valley and beyond</p></header>", 0), ("<main><h2>Markets</h2><p>Prices went up by a third after the frost, traders said, and may rise further.</p><ul><li>Apples are short.</li><li>Pears are not.</li></ul><blockquote>We have never seen this before.</blockquote>", 1), ("</main><aside><h3>Most read</h3><ul><li><a href=/1>Ten ways to cook leeks</a></li><li><a href=/2>Why cats sleep</a></li></ul></aside>", 0), ("<form><p>Sign up for our letter and never miss a story again.</p><label>Mail</label></form>", 0)],
-    [("<div id=cookie-notice><p>We use cookies to make this site better for you. By staying here you accept that.</p></div>", 0), ("<div class=menu><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></div>", 0), ("<div class=post><h1>A long walk</h1><p>We walked from the sea to the lake, which took us eleven days in all, with one day of rest.</p><p>It was cold.</p>", 1), ("</div><div class=comments><h3>Comments</h3><p>Great story, I walked there too and liked it very much, thanks for sharing.</p><p>Me too!</p></div>", 0), ("<div class=sidebar><p>About the author: a walker and a writer who lives by the sea with a dog.</p></div>", 0)],
-    [("<table><tr><td><a href=/>Start</a></td><td><a href=/m>Map of the site</a></td></tr></table>", 0), ("<p>The committee met on Tuesday to decide on the new school, which is to open in two years, and voted for the site by the park after a long debate about traffic.</p><p>Parents had asked for a crossing, and the council promised one, with lights, before the doors open for the first time.</p><p>Work starts in spring when the ground is dry enough for the heavy machines to reach it.</p>", 1), ("<p><a href=/p>Previous</a> | <a href=/n>Next</a></p><p>Terms of use</p>", 0)],
-    [("<div><a href=/>Home</a> &gt; <a href=/s>Sport</a></div>", 0), ("<div><p>The home side won by two goals in a match that saw three red cards, a penalty and a long break for lightning over the ground.</p><p>Their coach spoke of a lucky day and praised the keeper, who stopped a penalty in the last minute of the game.</p></div>", 1), ("<div><a href=/1>Match report from last week</a></div><div><a href=/2>Table and results of the season so far</a></div>", 0), ("<p>Copyright the club</p>", 0)],
-    [("<section class=content><article><header><h1>Bread at home</h1><p>It takes flour, water, salt and time.</p></header><p>Mix all and wait for a day.</p><p>Bake.</p>", 1), ("<div class=share-buttons><a href=/f>Share this</a> with your friends today</div>", 0), ("<div class=related><p>More on this: how to keep a starter alive for many years in your kitchen.</p></div>", 0), ("<p>Let it cool before you cut it, or the crumb will tear and the steam is lost.</p>", 1), ("</article></section><footer><p>Contact us at the mill, open from eight to noon on all working days.</p></footer>", 0)],
-    [("<article><p>Of.</p><p>In the end <b>nobody</b> came.<br></p><p>See <a href=/q>the whole list of all the names</a>.</p>", 1), ("<div class=advert-box><p>Lowest prices in town, come and see for yourself, every day of the week.</p></div>", 0), ("<nav><a href=/1>1</a> <a href=/2>2</a></nav>", 0), ("<p>They never said why.</p>", 1), ("<div class=newsletter><p>Get our stories by mail each morning.</p></div>", 0), ("</article><div role=alert>This site moves to a new address on Monday.</div><div role=dialog><p>Please log in to read on.</p></div>", 0)],
+def _prose(n: int, at: int = 0) -> str:
+    """n words."""
+    some = "rain fell on the hills for nine days and the old river rose so farmers moved their sheep to the upper fields while two roads in the valley stayed closed".split()
+    return " ".join(some[(at + i) % len(some)] for i in range(n)).capitalize() + "."
+
+
+def _links(n: int) -> str:
+    return "".join(f"<li><a href=/{i}>{_prose(1 + i % 4, i)}</a></li>" for i in range(n))
+
+
+#: What a page is put together from: (before, after) around the main text, the main text, and what is not main text.
+SHELLS = (
+    ("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>"), ("<section class='content wide'><article>", "</article></section>"),
+    ("<div class='page with-sidebar'><main role=main>", "</main></div>"), ("<div><div>", "</div></div>"), ("", ""), ("<table><tr><td>", "</td></tr></table>"),
+)
+BODIES = (
+    f"<h1>{_prose(5)}</h1><p>{_prose(60)}</p><p>{_prose(4, 3)}</p><p>{_prose(25, 7)}</p>",
+    f"<h1>{_prose(3, 2)}</h1><p>{_prose(12)} <a href=/x>{_prose(2)}</a> {_prose(20, 4)}</p><ul><li>{_prose(3)}</li><li>{_prose(9, 5)}</li></ul><p>{_prose(1)}</p><p>{_prose(44)}</p>",
+    f"<h2>{_prose(7)}</h2><blockquote>{_prose(17)}</blockquote><p>{_prose(80, 9)}</p><h3>{_prose(2)}</h3><p>{_prose(6)}</p><p>{_prose(33)}</p><p>{_prose(2, 9)}</p>",
+    f"<p>{_prose(150)}</p><p>{_prose(8)}</p><p><a href=/q>{_prose(6)}</a></p><p>{_prose(90)}</p>",
+    f"<p>{_prose(3)}</p><p>{_prose(28)}</p><p>{_prose(1, 8)}</p><p>{_prose(28, 2)}</p><p>{_prose(3, 5)}</p>",
+    f"<h1>{_prose(6, 4)}</h1><p>{_prose(11)}</p>",
+    f"<h1>{_prose(4, 6)}</h1><p>{_prose(20)}</p><p><a href=/s>{_prose(5)}</a></p><p>{_prose(15)}</p><p>{_prose(2)}</p><p>{_prose(9)} <a href=/y>{_prose(8)}</a></p><p>{_prose(30)}</p>",
 )
+MARKED = (
+    f"<nav><ul>{_links(6)}</ul></nav>", f"<header><a href=/>{_prose(2)}</a><p>{_prose(12)}</p></header>", f"<aside><h3>{_prose(3)}</h3><p>{_prose(40)}</p><p>{_prose(2)}</p></aside>",
+    f"<form><p>{_prose(4)}</p><label>{_prose(1)}</label><p>{_prose(30)}</p></form>", f"<footer><p>{_prose(35)}</p><p>{_prose(3)}</p></footer>", f"<div class=comments><h3>{_prose(1)}</h3><p>{_prose(50)}</p><p>{_prose(2)}</p><p>{_prose(18)}</p></div>",
+    f"<div id=cookie-notice><p>{_prose(22)}</p></div>", f"<div class=ad>{_prose(9)}</div>", f"<div class=newsletter><p>{_prose(15)}</p></div>", f"<div class=related><p>{_prose(5)}</p><p>{_prose(26)}</p></div>", f"<div role=alert>{_prose(14)}</div>",
+    f"<section id=comments><article class=comment><p>{_prose(31)}</p></article></section>", f"<footer>&copy; {_prose(20)}</footer>",
+)
+UNMARKED = (f"<ul>{_links(5)}</ul>", f"<p><a href=/>{_prose(1)}</a> | <a href=/m>{_prose(3)}</a></p><p><a href=/t>{_prose(2)}</a></p>", f"<div><a href=/1>{_prose(5)}</a></div><div><a href=/2>{_prose(7)}</a></div><div><a href=/3>{_prose(4)}</a></div>")
+
+
+def labelled_pages() -> list[list[tuple[str, int]]]:
+    """The labelled table: pages in pieces, each piece with 1 where its text is main text. Every shell is put around every
+    main text, with different other parts before, within, between and behind."""
+    out = []
+    for i, (before, after) in enumerate(SHELLS):
+        for j, body in enumerate(BODIES):
+            side = lambda k, i=i, j=j: MARKED[(5 * i + 3 * j + k) % len(MARKED)]
+            links = UNMARKED[(i + j) % len(UNMARKED)]
+            page = [(side(0), 0), (links if j % 2 else "", 0), (side(1), 0), (before, 1), (body, 1), (side(2) if j % 3 else "", 0)]
+            page += [(body if j % 3 else "", 1), (side(3) if i % 2 else "", 0), (links if j in (1, 3) else "", 0), (after, 1), (side(4), 0), (side(6), 0), (links if j % 2 == 0 else "", 0)]
+            out.append([(part, label) for part, label in page if part])
+    return out
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of LABELLED."""
+def labelled_blocks(pages: list[list[tuple[str, int]]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled table."""
     x, y = [], []
-    for pieces in LABELLED:
-        marked = blocks_of("".join(f"{part}" for part, _ in pieces))
-        cut = np.cumsum([0, *(len(blocks_of(part)) for part, _ in pieces)])
-        assert cut[-1] == len(marked)
-        x.append(features(marked))
-        y.append(np.repeat([label for _, label in pieces], np.diff(cut)))
+    for pieces in labelled_pages() if pages is None else pages:
+        upto = [len(blocks_of("".join(part for part, _ in pieces[:i]))) for i in range(len(pieces) + 1)]
+        x.append(features(blocks_of("".join(part for part, _ in pieces))))
+        y.append(np.repeat([label for _, label in pieces], np.diff(upto)))
     return np.vstack(x), np.concatenate(y)
 
 
