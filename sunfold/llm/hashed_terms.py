@@ -11,9 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sunfold.runtime import cut
+
 BITS = 22
 _BASE = np.uint64(0x100000001B3)
 _FOLD = np.zeros(256, np.uint8)
@@ -80,17 +83,21 @@ def hashed_terms(texts: Sequence[str | None], only: np.ndarray | None = None) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade, key: str, text: str, most: int) -> DataFrame:
-    """(text, grade int) of at most `most` labelled documents, those of least hash, so that it is a sample.
+    """(text, grade int, at bigint) of at most `most` labelled documents, those of least hash `at`, so that it is a sample.
 
-    Rows with a null key, label or grade are left out, a key with several labels has the greatest grade. Light rows
-    are chosen first; they are few, `most` at most, and go to every task that reads texts."""
+    Rows with a null key, label or grade are left out, a key with several labels has the greatest grade, and one with
+    several texts the least of them. Light rows are chosen first; they are few, `most` at most, and go to every task that
+    reads texts. The sample is read once and kept in the shared folder."""
     rows = labels.select(F.col(key).alias("__key"), grade.cast("int").alias("grade")).filter("__key is not null and grade is not null")
-    rows = rows.groupBy("__key").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("__key"), "__key").limit(most)
-    return docs.join(F.broadcast(rows), docs[key] == rows["__key"]).select(F.col(text).alias("text"), "grade")
+    rows = rows.groupBy("__key").agg(F.max("grade").alias("grade")).withColumn("at", F.xxhash64("__key")).orderBy("at", "__key").limit(most)
+    found = docs.select(F.col(key).alias("__of"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(rows), F.col("__of") == F.col("__key"))
+    return cut(found.groupBy("__key", "grade", "at").agg(F.min("text").alias("text")).select("text", "grade", "at"))
 
 
-def telling_terms(sample: DataFrame, grades: int, most: int, least: int, floor: float = 12.0) -> np.ndarray:
-    """The terms, at most `most`, in at least `least` of the sample's texts, that tell best whether a grade is reached, by a chi-squared of `floor` or more; sorted."""
+def telling_terms(sample: DataFrame, grades: int, least: int = 4, floor: float = 12.0, share: float | None = None) -> np.ndarray:
+    """The terms, in at least `least` of the sample's texts, that tell by themselves whether a grade is reached, by a
+    chi-squared of `floor` or more, and, with `share`, all that this share of a grade's texts have, whatever they tell by
+    themselves; sorted. Their number is bounded by the sample's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,15 +111,18 @@ def telling_terms(sample: DataFrame, grades: int, most: int, least: int, floor:
     for g, n in sample.groupBy("grade").count().collect():
         totals[g] = n
     every = sum(totals)
-    by = sample.mapInArrow(count, "term bigint, grade bigint, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(grades)), F.sum("n").alias("n"))
-    chi = F.lit(0.0)
+    by = sample.select("text", "grade").mapInArrow(count, "term bigint, grade bigint, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(grades)), F.sum("n").alias("n"))
+    keep = F.lit(False)
     for j in range(1, grades):
         upper = float(sum(totals[j:]))
         if 0 < upper < every:
             a = sum((F.col(f"n{g}") for g in range(j, grades)), F.lit(0.0))
             expected = F.col("n") * (upper / every)
-            chi = F.greatest(chi, (a - expected) ** 2 / (expected * (1 - upper / every)))
-    kept = by.filter(F.col("n") >= least).select("term", chi.alias("chi")).filter(F.col("chi") >= floor).orderBy(F.desc("chi"), "term").limit(most).select("term").toArrow()
+            keep |= (a - expected) ** 2 / (expected * (1 - upper / every)) >= floor
+    if share is not None:
+        for g, n in enumerate(totals):
+            keep |= F.col(f"n{g}") >= max(float(least), share * n)
+    kept = by.filter((F.col("n") >= least) & keep).select("term").toArrow()
     return np.sort(kept["term"].to_numpy()) if kept.num_rows else np.empty(0, np.int64)
 
 
@@ -132,7 +142,7 @@ def rows_of(texts: Sequence[str | None], place: np.ndarray) -> tuple[np.ndarray,
 
 
 def design(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sample as features, first feature of each row, and grades; bounded by the sample's and the terms' numbers."""
+    """The sample as features, first feature of each row, and grades, in the order of `at`; bounded by the sample's and the terms' numbers."""
     place = numbered(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +151,16 @@ def design(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 part = batch.slice(at, 500)
                 x, first = rows_of(part[0].to_pylist(), place)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(x)].astype(np.int32)), pa.array(x.astype(np.int32)))
-                yield pa.record_batch([lists, part[1]], ["x", "grade"])
-
-    got = sample.mapInArrow(run, "x array<int>, grade int").toArrow()
-    lists = sorted(zip(got["x"].to_pylist(), got["grade"].to_pylist(), strict=True))  # whatever order tasks returned them in
-    first = np.cumsum([0, *(len(x) for x, _ in lists[:-1])]) if lists else np.empty(0, np.int64)
-    return np.array([v for x, _ in lists for v in x], np.int64), first, np.array([g for _, g in lists], np.int64)
+                yield pa.record_batch([lists, part[1], part[2]], ["x", "grade", "at"])
+
+    got = sample.select("text", "grade", "at").mapInArrow(run, "x array<int>, grade int, at bigint").toArrow()
+    lists = got["x"].combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, x = np.cumsum(sizes) - sizes, pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(got["at"].to_numpy(), kind="stable")  # whatever order tasks returned them in
+    n = sizes[order]
+    first = np.cumsum(n) - n
+    return x[np.repeat(start[order] - first, n) + np.arange(len(x))], first, got["grade"].to_numpy()[order].astype(np.int64)
 
 
 def batches_of(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, rounds: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -2,7 +2,8 @@
 
 A cumulative-link model: a text has one value, the sum of its hashed terms' weights, and the odds of a grade of at
 least j are the logistic of that value less the j-th of a row of rising thresholds. All grades share the weights. It
-is trained on at most `most` rated texts, a documented bound, and applied to every whole text where it lies.
+is trained on at most `most` rated texts, a documented bound, with the terms that tell grades apart, and applied to
+every whole text where it lies.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sunfold.llm.hashed_terms import batches_of, design, labelled_sample, scored, telling_terms
 from sunfold.llm.toxicity import held_out
 
-SAMPLE, TERMS = 16_000, 8_192
+SAMPLE = 16_000
 
 
 def tails(model: tuple, x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -37,28 +38,28 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, grades: in
         dc = np.zeros(grades - 1)
         np.add.at(dc, np.maximum(by - 1, 0), np.where(by > 0, low * (1 - low) / p, 0))
         np.add.at(dc, np.minimum(by, grades - 2), np.where(by < grades - 1, -high * (1 - high) / p, 0))
-        used, back = np.unique(bx, return_inverse=True)
-        a = np.zeros(len(used))
-        np.add.at(a, back, np.repeat(each, np.diff(np.r_[bf, len(bx)])))
-        a = a / len(by) + decay * w[used]
-        a[used == 0] = 0
-        gw[used] += a**2
-        w[used] -= rate * a / np.sqrt(gw[used])
+        used = np.bincount(bx, minlength=size) > 0
+        used[0] = False
+        a = np.bincount(bx, np.repeat(each, np.diff(np.r_[bf, len(bx)])), size) / len(by) + decay * w
+        a = np.where(used, a, 0)
+        gw += a**2
+        w -= rate * a / np.sqrt(gw)
         gc += (dc / len(by)) ** 2
         cut = np.maximum.accumulate(cut - rate * dc / len(by) / np.sqrt(gc) - 1e-3 * np.arange(grades - 1)) + 1e-3 * np.arange(grades - 1)
     return w, cut
 
 
-def quality_grades(docs: DataFrame, ratings: DataFrame, grade: F.Column, grades: int, key: str = "doc_id", text: str = "text", at_least: int = 1, odds: float = 0.5, most: int = SAMPLE, terms: int = TERMS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_grades(docs: DataFrame, ratings: DataFrame, grade: F.Column, grades: int, key: str = "doc_id", text: str = "text", at_least: int = 1, odds: float = 0.5, most: int = SAMPLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns of every row of docs, with held_out, expected_grade, tails (array: the odds of at least grade
     1, 2, ...) and selected: the odds of at least `at_least` are `odds` or more.
 
     Learns from rated rows that are not held out. `grade` is an expression over ratings, 0 to grades - 1; rows where it
-    is null are left out. Nulls count as empty texts. Without ratings the odds are even. Repeated rows stay; an empty
-    table gives an empty result.
+    is null are left out. What the grades are is the caller's; nothing but their order counts. Nulls count as empty texts.
+    Without ratings the odds are even. Repeated rows stay; carried columns may have any names but those of the result's
+    other columns; an empty table gives an empty result.
     """
     sample = labelled_sample(docs, ratings.filter(~held_out(F.col(key))), grade, key, text, most)
-    found = telling_terms(sample, grades, terms, 4)
+    found = telling_terms(sample, grades)
     model = train(*design(sample, found), len(found) + 1, grades)
 
     def score(x, first):

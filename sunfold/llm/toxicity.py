@@ -2,7 +2,9 @@
 
 The score of a text is the logistic of a sum of its terms' weights and of the products of its terms' factors, so that
 pairs of terms count beyond what each says alone. It is trained on at most `most` labelled texts, a documented bound,
-with the `terms` most telling terms, and then applied to every whole text where it lies; nothing of the texts is shuffled.
+with all terms that a share of the toxic or of the other texts have, so that those whose pairs tell are there even if
+they tell nothing alone, and with rare ones that do. It is then applied to every whole text where it lies; nothing of the
+texts is shuffled but the sample's.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sunfold.llm.hashed_terms import batches_of, design, labelled_sample, scored, telling_terms
 
-SAMPLE, TERMS, FACTORS = 16_000, 8_192, 8
+SAMPLE, SHARE, FACTORS = 16_000, 0.03, 8
 
 
 def held_out(key) -> F.Column:
@@ -31,32 +33,36 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, factors: int = FACTORS, rounds: int = 16, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and factors of features 0 to size - 1, by AdaGrad on the logistic loss. Feature 0 is the intercept."""
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, factors: int = FACTORS, rounds: int = 16, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, seed: int = 1, flat: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and factors of features 0 to size - 1, by AdaGrad on the logistic loss. Feature 0 is the intercept. flat: factors stay 0."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, factors))
-    v[0] = 0
+    v[slice(None) if flat else 0] = 0
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 1e-3
     w[0] = np.log(p / (1 - p))
     gw, gv = np.full(size, 1e-2), np.full((size, factors), 1e-2)
+    rows = np.zeros((batch, size), np.float32)
     for bx, bf, by in batches_of(x, first, y, batch, rounds, seed):
-        n = np.diff(np.r_[bf, len(bx)])
-        each = np.repeat(_logistic(margins((w, v), bx, bf)) - by, n)
-        dv = each[:, None] * (np.repeat(np.add.reduceat(v[bx], bf), n, axis=0) - v[bx])
-        used, back = np.unique(bx, return_inverse=True)
-        a, b = np.zeros(len(used)), np.zeros((len(used), factors))
-        np.add.at(a, back, each)
-        np.add.at(b, back, dv)
-        a, b = a / len(by) + decay * w[used], b / len(by) + decay * v[used]
-        b[used == 0] = 0
-        gw[used] += a**2
-        gv[used] += b**2
-        w[used] -= rate * a / np.sqrt(gw[used])
-        v[used] -= rate * b / np.sqrt(gv[used])
+        at = np.repeat(np.arange(len(by)), np.diff(np.r_[bf, len(bx)]))
+        rows[at, bx] = 1
+        own, whole = rows[: len(by)], np.hstack([w[:, None], v, v**2]).astype(np.float32)
+        sums = (own @ whole).astype(float)
+        s = sums[:, 1 : factors + 1]
+        each = _logistic(sums[:, 0] + 0.5 * (s**2 - sums[:, factors + 1 :]).sum(1)) - by
+        back = (own.T @ np.hstack([np.ones((len(by), 1)), each[:, None], each[:, None] * s]).astype(np.float32)).astype(float)
+        rows[at, bx] = 0
+        used, a = back[:, 0] > 0, back[:, 1] / len(by)
+        b = (back[:, 2:] - back[:, 1:2] * v) / len(by) + decay * v
+        a, b[0] = np.where(used, a + decay * w, 0), 0
+        b[~used] = 0
+        gw += a**2
+        gv += b**2
+        w -= rate * a / np.sqrt(gw)
+        v -= rate * b / np.sqrt(gv)
     return w, v
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE, terms: int = TERMS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE, share: float = SHARE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns of every row of docs, with held_out, score (0 to 1) and predicted (1 from a score of 0.5).
 
     Learns from labelled rows that are not held out, at most `most` of them. Nulls count as empty texts, which score by
@@ -65,7 +71,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     """
     grade = F.when(F.col(label) > 0, 1).when(F.col(label).isNotNull(), 0)
     sample = labelled_sample(docs, labels.filter(~held_out(F.col(key))), grade, key, text, most)
-    found = telling_terms(sample, 2, terms, 4)
+    found = telling_terms(sample, 2, share=share)
     model = train(*design(sample, found), len(found) + 1)
     columns = [*(docs[c] for c in carry), held_out(docs[key])]
     out = scored(docs, text, found, columns, "score double", ["score"], lambda x, first: [_logistic(margins(model, x, first))])

@@ -207,42 +207,99 @@ def _next_row(row, v, y):
 INSULTS, GROUPS = "clod dolt oaf".split(), "reds blues greens".split()
 
 
-def test_factorization_machine_learns_pairs(spark):
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_factorization_machine_learns_pairs(spark, exclusive):
+    """An insult with a group, and just one of the two, which no sum of weights can tell: neither word says anything alone."""
+    import zlib
+
     rng = random.Random(1)
-    rows, labels = [(None, None), (10**6, ""), (10**6 + 1, None)], []
-    for i in range(1600):
+    rows, labels = [(None, None), (10**6, ""), (10**6 + 1, None), (10**6 + 2, "w1 " * 30_000)], []
+    for i in range(2400):
         words = [f"w{rng.randrange(400)}" for _ in range(20)]
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        words += [rng.choice(INSULTS)] * a + [rng.choice(GROUPS)] * b
+        words += ["clod" if exclusive else rng.choice(INSULTS)] * a + ["reds" if exclusive else rng.choice(GROUPS)] * b
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
-        labels.append((i, int(a and b)))
-    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+        labels.append((i, int(a != b if exclusive else a and b)))
+    rows += rows[10:20]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "grade": F.lit(1), "at": F.lit(2)})
+    lab = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity_scores(d, lab).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
-    import zlib
-
     assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     truth = dict(labels)
-    out = [(r["predicted"] == truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
-    assert np.mean(out) > 0.95
+    held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > (0.85 if exclusive else 0.95)
+    if exclusive:  # the same rows without factors
+        sample = hashed_terms.labelled_sample(d, lab.filter(~toxicity.held_out(F.col("doc_id"))), F.col("toxic"), "doc_id", "text", 10**6)
+        terms = hashed_terms.telling_terms(sample, 2, share=toxicity.SHARE)
+        w, v = toxicity.train(*hashed_terms.design(sample, terms), len(terms) + 1, factors=1, flat=True)
+        x, first = hashed_terms.rows_of([r for k, r in rows if k in truth and zlib.crc32(str(k).encode()) % 5 == 0], hashed_terms.numbered(terms))
+        alone = toxicity.margins((w, v), x, first) >= 0
+        assert np.mean(alone == [truth[k] for k, _ in rows if k in truth and zlib.crc32(str(k).encode()) % 5 == 0]) < 0.65
     none = toxicity.toxicity_scores(d.limit(5), lab.limit(0)).collect()
     assert len(none) == 5 and all(r["score"] < 0.01 for r in none)
+    assert toxicity.toxicity_scores(d.limit(0), lab).count() == 0
+
+
+def test_factorization_machine_margins_are_sums_over_pairs():
+    rng = np.random.default_rng(4)
+    w, v = rng.normal(size=9), rng.normal(size=(9, 3))
+    rows = [[0, 3, 4, 8], [0], [0, 1, 2]]
+    want = [sum(w[i] for i in r) + sum(v[i] @ v[j] for a, i in enumerate(r) for j in r[a + 1 :]) for r in rows]
+    x, first = np.concatenate(rows), np.array([0, 4, 5])
+    assert np.allclose(toxicity.margins((w, v), x, first), want)
+
+
+def test_labelled_sample_is_bounded(spark):
+    """A key that thousands of rows have counts once."""
+    d = spark.createDataFrame([(i % 7 if i < 500 else 3, f"t{i}") for i in range(3000)] + [(None, "x")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(3, 0)], "doc_id long, toxic int")
+    got = hashed_terms.labelled_sample(d, lab, F.col("toxic"), "doc_id", "text", 5).collect()
+    assert len(got) == 5
 
 
 def test_ordinal_grades(spark):
     rng = random.Random(2)
-    rows, rated = [(10**6, None)], []
+    rows, rated = [(10**6, None), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "fine " * 30_000)], []
     for i in range(1200):
         g = rng.randrange(3)
         rows.append((i, " ".join(rng.choice((["junk", "spam"], ["plain", "fair"], ["fine", "good"])[g]) if rng.random() < 0.3 else f"w{rng.randrange(200)}" for _ in range(25))))
         rated.append((i, g))
-    d, r = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*rated, (None, 1), (2, None)], "doc_id long, grade int")
+    d, r = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tails", F.lit(1)), spark.createDataFrame([*rated, (None, 1), (2, None)], "doc_id long, grade int")
     got = quality.quality_grades(d, r, F.col("grade"), 3, at_least=2).collect()
     truth = dict(rated)
     held = [x for x in got if x["held_out"] and x["doc_id"] in truth]
     assert len(got) == len(rows) and all(x["tails"][0] >= x["tails"][1] and x["selected"] == (x["tails"][1] >= 0.5) for x in got)
     assert np.mean([abs(x["expected_grade"] - truth[x["doc_id"]]) < 0.5 for x in held]) > 0.9
+    by = [np.mean([x["expected_grade"] for x in held if truth[x["doc_id"]] == g]) for g in range(3)]
+    assert by[0] + 0.5 < by[1] < by[2] - 0.5
+    assert all(abs(x["expected_grade"] - sum(x["tails"])) < 1e-9 for x in got)
+    even = quality.quality_grades(d.limit(3), r.limit(0), F.col("grade"), 3).collect()
+    assert len(even) == 3 and all(abs(x["tails"][0] - 0.5) < 0.01 for x in even)
+    assert quality.quality_grades(d.limit(0), r, F.col("grade"), 3).count() == 0
+
+
+def test_ordinal_gradient_goes_downhill():
+    """The trained model has a lower loss, computed row by row, than any of many models near it."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 400)
+    rows = [[0, *([1] if rng.random() < 0.2 + 0.3 * g else []), *([2] if rng.random() < 0.7 - 0.3 * g else [])] for g in y]
+    x, first = np.concatenate(rows), np.cumsum([0, *map(len, rows[:-1])])
+    w, cut = quality.train(x, first, y, 3, 3, rounds=200, decay=0)
+
+    def loss(w, cut):
+        out = 0.0
+        for r, g in zip(rows, y, strict=True):
+            reach = [1.0, *(1 / (1 + np.exp(c - w[r].sum())) for c in cut), 0.0]
+            out -= np.log(reach[g] - reach[g + 1])
+        return out / len(y)
+
+    best = loss(w, cut)
+    for _ in range(30):
+        dw = rng.normal(0, 0.3, 3)
+        dw[0] = 0
+        assert best < loss(w + dw, np.sort(cut + rng.normal(0, 0.3, 2)))
 
 
 def test_hashed_terms():
