@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from sunfold.operators import models
 from sunfold.plans import pipeline
 from sunfold.session import session
 from sunfold.sources import files, sinks
@@ -39,9 +40,13 @@ def main(argv: list[str] | None = None) -> None:
     else:
         features = spark.read.parquet(f"{a.output}/features")
     if a.job in ("train", "test"):
-        bank, got = pipeline.train(features, config)
-        if a.job == "test":
-            got = pipeline.test(features, bank, config)
+        known = sinks.read_params(spark, f"{a.output}/params")
+        if a.job == "train":
+            _, got = pipeline.train(features, config, known, a.output)
+        else:
+            bank = models.load_bank(spark, f"{a.output}/models")
+            sinks.write_predictions(pipeline.predictions(features, bank, config, "test", known), f"{a.output}/predictions")
+            got = pipeline.test(features, bank, config, "test", known)
         sinks.write_json(got, f"{a.output}/{a.job}")
         print(sinks.markdown_report(got, a.job))
 

@@ -153,8 +153,9 @@ def learn_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: i
     return w / w.sum() if np.isfinite(w).all() and w.sum() > 1e-8 else np.full(d, 1 / d)
 
 
-def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES) -> DataFrame:
-    """df's keys with rn and weights (array): learnt at each row from the last `length` rows (24 to 48), to tell the next row's label."""
+def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES, every: int = 1) -> DataFrame:
+    """df's keys with rn and weights (array): learnt at each row from the last `length` rows (24 to 48), to tell the next row's
+    label. every: only at each so-manieth row of a series."""
     length = min(48, max(24, length))
 
     def made(w):
@@ -163,6 +164,7 @@ def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", l
 
     rows = windowed(df, made, 0, 1, series)
     rows = windowed(rows, lambda w: {"__near": F.flatten(F.collect_list("__row").over(w.rowsBetween(-(length - 1), 0)))}, length - 1, 0, series)
+    rows = rows.filter(F.col("rn") % every == 0) if every > 1 else rows
     d, equal = len(columns), [1 / len(columns)] * len(columns)
 
     def learn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

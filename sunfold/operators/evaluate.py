@@ -143,21 +143,36 @@ def wilcoxon(d: DataFrame) -> DataFrame:
     return one.select(F.coalesce("n", F.lit(0)).alias("n"), w.alias("w"), z.alias("z")).withColumn("p_value", normal("z"))
 
 
+def _uniform(key: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 that look random, one for each key and step."""
+    with np.errstate(over="ignore"):
+        z = key.astype(np.uint64) ^ (step.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return (z ^ z >> np.uint64(31)) / 2.0**64
+
+
 def bootstrap_ci(df: DataFrame, p: str = "prediction", t: str = "target", rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row: low and high of the mean absolute error over Poisson resamples. Each task weighs its rows in all rounds and
-    passes on two sums for each round; they meet in one aggregate."""
+    """One row: low and high of the mean absolute error over Poisson resamples. Each task weighs its errors in all rounds and
+    passes on two sums for each round; they meet in one aggregate.
+
+    Equal errors are counted first: together c rows weigh a Poisson number of mean c, each on its own one of mean 1. The
+    numbers follow from the error and the round alone, so that results don't depend on how rows lie in partitions."""
+    chance = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s = np.zeros(rounds), np.zeros(rounds)
         for batch in batches:
-            e, k = batch["e"].to_numpy(), batch["k"].to_numpy()
+            e, c, k = (batch[name].to_numpy() for name in ("e", "c", "k"))
             for at in range(0, len(e), 2000):
-                x = np.stack([np.random.default_rng([seed, int(i) & 0xFFFFFFFF, int(i) >> 32 & 0xFFFFFFFF]).poisson(1.0, rounds) for i in k[at : at + 2000]])
+                x = np.searchsorted(chance, _uniform(k[at : at + 2000, None], np.arange(rounds)[None, :] + (seed << 32)))
+                for i in np.flatnonzero(c[at : at + 2000] > 1):
+                    x[i] = np.random.default_rng([seed, int(k[at + i]) & 0xFFFFFFFF, int(k[at + i]) >> 32 & 0xFFFFFFFF]).poisson(c[at + i], rounds)
                 n += x.sum(0)
                 s += e[at : at + 2000] @ x
         yield pd.DataFrame({"round": np.arange(rounds), "n": n, "s": s})
 
-    rows = df.select(F.abs(F.col(p) - F.col(t)).alias("e"), F.xxhash64(*df.columns).alias("k")).filter("e is not null")
+    rows = df.select(F.abs(F.col(p) - F.col(t)).alias("e")).filter("e is not null").groupBy("e").agg(F.count("*").alias("c")).withColumn("k", F.xxhash64("e"))
     sums = rows.mapInPandas(run, "round long, n double, s double").groupBy("round").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     q = F.percentile(F.col("s") / F.col("n"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return sums.filter("n > 0").agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
@@ -257,17 +272,19 @@ def metric_grades(got: DataFrame, grades: Mapping[str, tuple[float, float]] = GR
     return got.withColumns(out)
 
 
-def rolling_errors(df: DataFrame, p: str = "prediction", t: str = "target", window: int = 100, recent: int = 20) -> DataFrame:
-    """df with rn and, over the last `window` absolute errors: mean, std (sample), p95, and trend, the mean of the last
-    `recent` against that of those before, relative to it; 0 while there are fewer than `recent`, or none before."""
+def rolling_errors(df: DataFrame, p: str = "prediction", t: str = "target", window: int = 100, recent: int = 20, percentiles: bool = False) -> DataFrame:
+    """df with rn and, over the last `window` absolute errors: mean, std (sample), p5, p95, and trend, the mean of the last
+    `recent` against that of those before, relative to it; 0 while there are fewer than `recent`, or none before.
+    p5 and p95 are exact and made only if `percentiles` asks for them."""
     e = F.abs(F.col(p) - F.col(t))
+    tails = lambda w: {f"error_p{q}": F.percentile(e, q / 100).over(w) for q in (5, 95)} if percentiles else {}
 
     def columns(w):
         full, last = w.rowsBetween(-(window - 1), 0), w.rowsBetween(-(recent - 1), 0)
         n, s = F.count(e).over(full), F.sum(e).over(full)
         old = F.try_divide(s - F.sum(e).over(last), n - F.count(e).over(last))
         trend = F.when(n >= recent, (F.avg(e).over(last) - old) / (old + 1e-10))
-        return {"error_mean": F.avg(e).over(full), "error_std": F.stddev_samp(e).over(full), "error_trend": F.coalesce(trend, F.lit(0.0)), "error_n": n}
+        return {"error_mean": F.avg(e).over(full), "error_std": F.stddev_samp(e).over(full), "error_trend": F.coalesce(trend, F.lit(0.0)), "error_n": n} | tails(full)
 
     return windowed(df, columns, window - 1)
 
@@ -295,3 +312,12 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric")
     sign = F.when(F.col("metric").contains("loss"), -1.0).otherwise(1.0)
     return both.withColumn("difference", F.col("b") - F.col("a")).withColumn("improvement", F.coalesce(F.try_divide(sign * F.col("difference"), F.abs("a")) * 100, F.lit(0.0)))
+
+
+def against_baseline(df: DataFrame, baseline: int = 0, by: str = "weather", **names) -> DataFrame:
+    """(class, metric, value, baseline, change in percent): each class's metrics against those of one class; a change is null
+    where the baseline is 0 or absent."""
+    long = metrics(df, (by,), **names).withColumn("n", F.col("n").cast("double"))
+    long = long.unpivot([by], [c for c in long.columns if c != by], "metric", "value")
+    base = long.filter(F.col(by) == baseline).select("metric", F.col("value").alias("baseline"))  # a row for each metric
+    return long.join(F.broadcast(base), "metric", "left").select(by, "metric", "value", "baseline", (F.try_divide(F.col("value") - F.col("baseline"), F.abs("baseline")) * 100).alias("change"))

@@ -6,11 +6,14 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunfold.functions import weather
-from sunfold.operators import embed, evaluate, missing, models, modes, quality, scale, split
+from sunfold.operators import embed, evaluate, graph, missing, models, modes, quality, scale, split
+from sunfold.operators.ordered import windowed
+from sunfold.runtime import cut
 from sunfold.schema import MEASURES
 from sunfold.sources import sinks
 
@@ -29,6 +32,12 @@ class Config:
     length: int = 24
     horizon: int = 1
     model: str = "linear"
+    penalty: float = 0.01  # of a linear model's weights
+    weight_every: int = 16  # rows between those where columns' weights are learnt; 0: equal weights
+    projection: int = 0  # features that sequences are projected to; 0: not at all
+    projection_rows: int = 5000  # at most, of train rows, that the projection is learnt from
+    projection_alpha: float = 0.5
+    gain: float = 0.05  # that online learning must bring
     pressure_base: float = 1040.0
     weights: tuple[float, float] = (0.7, 0.3)
     folds: Sequence[tuple[int, int, int]] = field(default=((12, 3, 3), (15, 3, 3), (18, 3, 3), (21, 3, 3)))
@@ -61,9 +70,15 @@ class Config:
 
     @classmethod
     def load(cls, path: str, environment: Mapping[str, str] | None = None, prefix: str = "SUNFOLD_") -> Config:
-        """From a JSON file, then from the environment: SUNFOLD_TRAIN_RATIO=0.6 sets train_ratio."""
+        """From a JSON file, or YAML where a parser is installed, then from the environment: SUNFOLD_TRAIN_RATIO=0.6 sets
+        train_ratio."""
         with open(path) as f:
-            values = dict(json.load(f))
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                values = dict(yaml.safe_load(f) or {})
+            else:
+                values = dict(json.load(f))
         for k, v in (environment or {}).items():
             if k.startswith(prefix) and (name := k[len(prefix) :].lower()) in cls.__dataclass_fields__:
                 values[name] = json.loads(v) if v[:1] in "0123456789.-[{tf" else v
@@ -78,75 +93,116 @@ def clean(df: DataFrame, config: Config) -> DataFrame:
     return out.drop("rn")
 
 
+def _learnt(rows: DataFrame, folder: str, config: Config) -> tuple[DataFrame, dict]:
+    """Scaled and decomposed rows, written by split under folder and read back, and all that was learnt from train rows: the
+    scaler, the columns' weights, the projection."""
+    spark = rows.sparkSession
+    params = scale.fit(rows.filter("split = 'train'"), MEASURES, config.scaler)
+    scaled = scale.apply(rows, params, config.scaler)
+    imfs = modes.vmd(scaled, "power", config.modes, ("series_id", "split"), rounds=config.mode_rounds)
+    sinks.write_table(scaled.join(imfs, ["series_id", "split", "ts", "row_id"]), f"{folder}/features", ["split"])
+    out = spark.read.parquet(f"{folder}/features")
+    names, known = feature_columns(config), {"method": config.scaler, "columns": params, "config": asdict(config)}
+    if config.weight_every:
+        near = embed.local_weights(out.filter("split = 'train'"), names, every=config.weight_every)
+        learnt = dict(embed.mean_weights(near, names).collect())  # a row for each column
+        known["weights"] = [learnt.get(c, 1 / len(names)) * len(names) for c in names]
+    if config.projection:
+        r = embed.reconstruction(out.filter("split = 'train'"), names, known.get("weights"), max(config.embedding, len(names)))
+        r = cut(r.select(F.xxhash64("series_id", "ts", "row_id").alias("id"), F.col("r").alias("v")).orderBy("id").limit(config.projection_rows))
+        lap = graph.laplacian(graph.similarity(graph.knn_edges(r, key="id", vector="v"), mode="union"))
+        a, _ = graph.learn_projection(r, lap, config.projection, alpha=config.projection_alpha)
+        known["projection"] = a.tolist()
+    return out, known
+
+
 def prepare(df: DataFrame, folder: str, config: Config | None = None) -> DataFrame:
     """Cleaned, split, labelled, scaled and decomposed rows, written by split under folder and read back.
 
-    Weather is judged by raw units; the scaler learns from train rows only; modes are made for each series and split."""
+    Weather is judged by raw units; scaler, weights and projection learn from train rows only and are saved as parameters;
+    modes are made for each series and split."""
     config = config or Config()
     spark = df.sparkSession
     rows = split.split_temporal(clean(df, config), config.train_ratio, config.val_ratio, by="series_id")
     rows = weather.classify(rows, tuple(config.weights), pressure_base=config.pressure_base).drop("rn", "ge", "ci", "wsi").withColumn("target", F.col("power"))
     sinks.write_table(rows, f"{folder}/labelled", ["split"])
-    rows = spark.read.parquet(f"{folder}/labelled")
-    params = scale.fit(rows.filter("split = 'train'"), MEASURES, config.scaler)
-    sinks.write_params(spark, {"method": config.scaler, "columns": params, "config": asdict(config)}, f"{folder}/params")
-    scaled = scale.apply(rows, params, config.scaler)
-    imfs = modes.vmd(scaled, "power", config.modes, ("series_id", "split"), rounds=config.mode_rounds)
-    out = scaled.join(imfs, ["series_id", "split", "ts", "row_id"])
-    sinks.write_table(out, f"{folder}/features", ["split"])
-    return spark.read.parquet(f"{folder}/features")
+    out, known = _learnt(spark.read.parquet(f"{folder}/labelled"), folder, config)
+    sinks.write_params(spark, known, f"{folder}/params")
+    return out
 
 
 def feature_columns(config: Config) -> list[str]:
     return [*(f"imf{k + 1}" for k in range(config.modes)), *(c for c in MEASURES if c != "power")]
 
 
-def samples(features: DataFrame, config: Config) -> DataFrame:
-    """One row for each sequence: its last row's reconstruction as a vector, y the target `horizon` rows on, and the weather."""
-    names = feature_columns(config)
-    rows = embed.reconstruction(features.withColumn("series_id", F.concat_ws("|", "series_id", "split")), names, None, max(config.embedding, len(names)))
-    from sunfold.operators.ordered import windowed
-
-    ahead = windowed(rows, lambda w: {"y": F.lead("target", config.horizon).over(w) if config.horizon else F.col("target")}, 0, max(1, config.horizon))
+def samples(features: DataFrame, config: Config, known: Mapping | None = None) -> DataFrame:
+    """One row for each sequence of `length` rows: their weighed and, where one was learnt, projected reconstructions as a
+    vector, y the target `horizon` rows on from the last, and its weather."""
     from pyspark.ml.functions import array_to_vector
 
-    return ahead.filter("y is not null").withColumn("features", array_to_vector("r"))
+    known, names = known or {}, feature_columns(config)
+    rows = features.withColumn("series_id", F.concat_ws("|", "series_id", "split"))
+    rows = embed.reconstruction(rows, names, known.get("weights"), max(config.embedding, len(names)))
+    if known.get("projection"):
+        rows = graph.project(rows, "r", np.array(known["projection"])).drop("r").withColumnRenamed("projected", "r")
+
+    def columns(w):
+        y = F.lead("target", config.horizon).over(w) if config.horizon else F.col("target")
+        return {"y": y, "x": F.collect_list("r").over(w.rowsBetween(-(config.length - 1), 0))}
 
+    ahead = windowed(rows, columns, config.length - 1, max(1, config.horizon))
+    return ahead.filter((F.size("x") == config.length) & F.col("y").isNotNull()).withColumn("features", array_to_vector(F.flatten("x"))).drop("x")
 
-def train(features: DataFrame, config: Config | None = None) -> tuple[dict, DataFrame]:
-    """A model for each weather state, and metrics on val rows by state and for all."""
+
+def train(features: DataFrame, config: Config | None = None, known: Mapping | None = None, folder: str | None = None) -> tuple[dict, DataFrame]:
+    """Models for each weather state, saved under folder if there is one, and metrics on val rows by state and for all."""
     config = config or Config()
-    x = samples(features, config)
-    bank = models.train_bank(x.filter("split = 'train'"), kind=config.model)
-    return bank, test(features, bank, config, "val")
+    x = samples(features, config, known)
+    bank = models.train_bank(x.filter("split = 'train'"), kind=config.model, penalty=config.penalty)
+    if folder:
+        models.save_bank(features.sparkSession, bank, f"{folder}/models")
+    return bank, test(features, bank, config, "val", known)
+
 
+def predictions(features: DataFrame, bank: Mapping, config: Config, which: str = "test", known: Mapping | None = None) -> DataFrame:
+    """One split's rows with target and prediction."""
+    x = samples(features.filter(F.col("split") == which), config, known)
+    return models.predict(x.withColumn("target", F.col("y")), bank)
 
-def test(features: DataFrame, bank: Mapping, config: Config | None = None, which: str = "test") -> DataFrame:
+
+def test(features: DataFrame, bank: Mapping, config: Config | None = None, which: str = "test", known: Mapping | None = None) -> DataFrame:
     """Metrics of one split's rows, by state and for all."""
-    config = config or Config()
-    x = samples(features.filter(F.col("split") == which), config)
-    return evaluate.metrics_with_total(models.predict(x.withColumn("target", F.col("y")), bank))
+    return evaluate.metrics_with_total(predictions(features, bank, config or Config(), which, known))
 
 
 def walk_forward(df: DataFrame, folder: str, config: Config | None = None) -> DataFrame:
-    """Metrics by fold and state over expanding windows. Rows are cleaned and labelled once for all folds; each fold fits its own scaler and models."""
+    """Metrics by fold and state over expanding windows, before and after models learn from the fold's val rows (online).
+
+    Rows are cleaned and labelled once for all folds. Each fold learns its own scaler, modes, weights and projection; its
+    models start from those of the fold before, and then learn from its val rows, which is kept if it betters them there."""
     config = config or Config()
     spark = df.sparkSession
     rows = weather.classify(clean(df, config), tuple(config.weights), pressure_base=config.pressure_base).drop("rn", "ge", "ci", "wsi")
     folded = split.walk_forward(rows.withColumn("target", F.col("power")), config.folds)
     sinks.write_table(folded, f"{folder}/folds", ["fold", "split"])
-    out = None
+    out, bank = None, {}
     for fold in range(len(config.folds)):
-        part = spark.read.parquet(f"{folder}/folds").filter(F.col("fold") == fold)
-        params = scale.fit(part.filter("split = 'train'"), MEASURES, config.scaler)
-        scaled = scale.apply(part, params, config.scaler)
-        names = [c for c in MEASURES if c != "power"]
-        x = models.vectors(scaled.withColumn("y", F.col("target")), names)
-        bank = models.train_bank(x.filter("split = 'train'"), kind=config.model)
+        part = spark.read.parquet(f"{folder}/folds").filter(F.col("fold") == fold).drop("fold")
+        if part.filter("split = 'train'").isEmpty():
+            continue
+        features, known = _learnt(part, f"{folder}/fold={fold}", config)
+        sinks.write_params(spark, known, f"{folder}/fold={fold}/params")
+        x = samples(features, config, known)
+        bank = models.train_bank(x.filter("split = 'train'"), kind=config.model, penalty=config.penalty, before=bank)
         if not bank:
             continue
-        got = evaluate.metrics_with_total(models.predict(x.filter("split = 'test'"), bank)).withColumn("fold", F.lit(fold))
-        out = got if out is None else out.unionByName(got)
+        recent = x.filter("split = 'val'")
+        online, _ = models.fine_tuned(bank, recent, recent, config.gain, kind=config.model, penalty=config.penalty)
+        models.save_bank(spark, online, f"{folder}/fold={fold}/models")
+        for name, b in (("start", bank), ("online", online)):
+            got = evaluate.metrics_with_total(models.predict(x.filter("split = 'test'").withColumn("target", F.col("y")), b))
+            got = got.withColumns({"fold": F.lit(fold), "models": F.lit(name)})
+            out = got if out is None else out.unionByName(got)
     if out is None:
         raise ValueError("no fold has rows to train on")
     return out

@@ -14,7 +14,7 @@ from sunfold.functions import weather as W
 from sunfold.operators import embed, evaluate, graph, missing, models, modes, quality, scale, smooth, split
 from sunfold.operators.ordered import numbered
 from sunfold.plans.views import PRED, PV, PV_DIRTY, pred, pv, pv_dirty, table
-from sunfold.schema import MEASURES, PHYSICAL_RANGES, VALID_RANGES, WEATHER
+from sunfold.schema import MEASURES, WEATHER
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -158,6 +158,11 @@ def describe_stats(spark, d):
     return quality.describe(pv_dirty(spark, d))
 
 
+#: What the SQL holds against the operators' own tables of rules; stated here once more, so that a slip in one of them shows.
+_PHYSICAL = {"power": (0, 55000), "irradiance": (0, 1200), "temperature": (-40, 60), "pressure": (850, 1100), "humidity": (0, 100)}
+_VALID = {"power": (0, 1000), "irradiance": (0, 1500), "temperature": (-30, 60), "humidity": (0, 100), "pressure": (800, 1100)}
+
+
 def _range(ranges, c: str) -> str:
     lo, hi = ranges[c]
     return f"coalesce({c} < {lo} OR {c} > {hi}, false)"
@@ -166,7 +171,7 @@ def _range(ranges, c: str) -> str:
 _MARK = "coalesce({c} IN (-99, -999, -9999), false)"
 
 
-@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(*) FILTER (WHERE {_MARK.format(c=c)}) AS markers, count(*) FILTER (WHERE {_range(PHYSICAL_RANGES, c)}) AS out_of_range, avg({c}) AS mean, min({c}) AS min, max({c}) AS max FROM pv_dirty" for c in MEASURES), "mean min max")
+@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(*) FILTER (WHERE {_MARK.format(c=c)}) AS markers, count(*) FILTER (WHERE {_range(_PHYSICAL, c)}) AS out_of_range, avg({c}) AS mean, min({c}) AS min, max({c}) AS max FROM pv_dirty" for c in MEASURES), "mean min max")
 def integrity_report(spark, d):
     return quality.integrity_report(pv_dirty(spark, d))
 
@@ -184,7 +189,7 @@ def frequency(spark, d):
     return quality.frequency(pv(spark, d))
 
 
-@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {_MARK.format(c=c)} OR {_range(PHYSICAL_RANGES, c)}) AS outliers, count(*) FILTER (WHERE {_MARK.format(c=c)}) AS markers, count(*) FILTER (WHERE {_range(PHYSICAL_RANGES, c)} AND NOT {_MARK.format(c=c)}) AS out_of_range FROM pv_dirty" for c in MEASURES))
+@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {_MARK.format(c=c)} OR {_range(_PHYSICAL, c)}) AS outliers, count(*) FILTER (WHERE {_MARK.format(c=c)}) AS markers, count(*) FILTER (WHERE {_range(_PHYSICAL, c)} AND NOT {_MARK.format(c=c)}) AS out_of_range FROM pv_dirty" for c in MEASURES))
 def outliers_physical(spark, d):
     return quality.physical_outliers(pv_dirty(spark, d))
 
@@ -235,7 +240,7 @@ def handle_outliers_median(spark, d):
     return quality.handle_outliers(pv_dirty(spark, d), ["power"], "replace_median").select("row_id", "power")
 
 
-@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {lo}::DOUBLE AS low, {hi}::DOUBLE AS high, count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS violations, min({c}) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS least, max({c}) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS greatest, count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) = 0 AS passed FROM pv_dirty" for c, (lo, hi) in VALID_RANGES.items()), "low high least greatest")
+@query("WITH " + PV_DIRTY + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {lo}::DOUBLE AS low, {hi}::DOUBLE AS high, count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS violations, min({c}) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS least, max({c}) FILTER (WHERE {c} < {lo} OR {c} > {hi}) AS greatest, count(*) FILTER (WHERE {c} < {lo} OR {c} > {hi}) = 0 AS passed FROM pv_dirty" for c, (lo, hi) in _VALID.items()), "low high least greatest")
 def quality_validation(spark, d):
     return quality.validate(pv_dirty(spark, d))
 
@@ -448,8 +453,8 @@ def fnn_ratio(spark, d):
 
 # --- graphs --------------------------------------------------------------------------------------------------------
 
-_KNN = """WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), k AS (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, pow(list_distance(a.e, b.e), 2) AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS place FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE place <= 10)""".replace("list_transform(embedding, x -> x::DOUBLE)", "embedding::DOUBLE[]")
-_SIM = _KNN + ", w AS (SELECT src, dst, exp(-d2 / 2) AS w FROM k), g AS (SELECT a.src, a.dst, (a.w + b.w) / 2 AS w FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src)"
+_KNN = """WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), k AS MATERIALIZED (SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, pow(list_distance(a.e, b.e), 2) AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS place FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE place <= 10)""".replace("list_transform(embedding, x -> x::DOUBLE)", "embedding::DOUBLE[]")
+_SIM = _KNN + ", w AS (SELECT src, dst, exp(-d2 / 2) AS w FROM k), g AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w) GROUP BY src, dst HAVING count(*) = 2)"
 _LAP = _SIM + ", deg AS (SELECT src AS node, sum(w) AS d FROM g GROUP BY src HAVING sum(w) > 1e-10)"
 
 
@@ -616,6 +621,11 @@ def rolling_error_stats(spark, d):
     return evaluate.rolling_errors(pred(spark, d)).select("row_id", "error_n", "error_mean", "error_std", "error_trend")
 
 
+@query(f"WITH {PRED} SELECT row_id, quantile_cont(abs(prediction - target), 0.05) OVER w AS error_p5, quantile_cont(abs(prediction - target), 0.95) OVER w AS error_p95 FROM pred WINDOW w AS ({_W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)", "error_p5 error_p95")
+def rolling_error_percentiles(spark, d):
+    return evaluate.rolling_errors(pred(spark, d), percentiles=True).select("row_id", "error_p5", "error_p95")
+
+
 def _run_sql(cond: str, k: int) -> str:
     return f"(count(*) FILTER (WHERE {cond}) OVER ({_W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)) = {k}"
 
@@ -639,6 +649,11 @@ def fold_metric_aggregate(spark, d):
     return evaluate.fold_aggregate(evaluate.metrics(x, ("fold", "weather")))
 
 
+@query(_CLASS + " SELECT l.weather, l.metric, l.value, b.value AS baseline, CASE WHEN b.value <> 0 THEN (l.value - b.value) / abs(b.value) * 100 END AS change FROM l LEFT JOIN l b ON l.metric = b.metric AND b.weather = 0", "value baseline change", 9)
+def metrics_against_baseline(spark, d):
+    return evaluate.against_baseline(pred(spark, d))
+
+
 @query(_CLASS + " SELECT a.metric, a.value AS a, b.value AS b, b.value - a.value AS difference, coalesce((b.value - a.value) / CASE WHEN a.value <> 0 THEN abs(a.value) END * 100, 0) AS improvement FROM l a JOIN l b ON a.metric = b.metric AND a.weather = 0 AND b.weather = 1", "a b difference improvement", 9)
 def checkpoint_compare(spark, d):
     long = evaluate.metrics_long(pred(spark, d))

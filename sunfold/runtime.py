@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a fresh one of our own in local mode, whose tasks share
+    this machine's disk; on a cluster, whose executors don't, ValueError."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         made = sc._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="sunfold-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -25,6 +28,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sunfold-{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing reads any more, wherever it is stored."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from here on."""
     shared_dir(df.sparkSession)

@@ -32,7 +32,7 @@ ALIASES = {
 ERROR_MARKERS = (-99.0, -999.0, -9999.0)
 
 #: Physically possible values: outliers lie outside.
-PHYSICAL_RANGES = {"power": (0.0, 55000.0), "irradiance": (0.0, 1200.0), "temperature": (-30.0, 50.0), "pressure": (800.0, 1100.0), "humidity": (0.0, 100.0)}
+PHYSICAL_RANGES = {"power": (0.0, 55000.0), "irradiance": (0.0, 1200.0), "temperature": (-40.0, 60.0), "pressure": (850.0, 1100.0), "humidity": (0.0, 100.0)}
 
 #: Values that pass the quality validation.
 VALID_RANGES = {"power": (0.0, 1000.0), "irradiance": (0.0, 1500.0), "temperature": (-30.0, 60.0), "humidity": (0.0, 100.0), "pressure": (800.0, 1100.0)}

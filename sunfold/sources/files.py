@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sunfold.schema import ALIASES, MEASURES, TIME_NAMES
 
@@ -91,13 +92,43 @@ def read_station(spark: SparkSession, path: str) -> DataFrame:
     return canonical(named)
 
 
+def station_files(spark: SparkSession, folder: str) -> list[str]:
+    """The station files directly in a folder, by name; files of other types are left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = (f.getPath().toString() for f in fs.listStatus(at))
+    return sorted(p for p in found if p.rsplit(".", 1)[-1].lower() in ("csv", "txt", "parquet", "xlsx", "xls"))
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """The names of columns that hold numbers."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+
+
+def power_column(df: DataFrame, wanted: str = "power") -> str:
+    """The column to decompose: the wanted one, else one whose name has power in it, else the first of numbers."""
+    if wanted in df.columns:
+        return wanted
+    named = [c for c in df.columns if "power" in c.lower()]
+    if found := named or numeric_columns(df):
+        return found[0]
+    raise ValueError("no column of numbers")
+
+
+def preview(df: DataFrame, n: int = 5, order: Sequence[str] = ("series_id", "ts", "row_id")) -> DataFrame:
+    """The first n rows in order."""
+    return df.orderBy(*order).limit(n)
+
+
 def read_stations(spark: SparkSession, paths: Sequence[str], merge: str = "concat", station: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Many stations as one frame, and what went wrong with files that had to be left out.
 
     concat: all rows, columns that a file lacks being null. average: the mean over stations at each time. single: only
-    the named station's file, or the first, is read."""
+    the named station's file, or the first, is read. A path that ends in / is a folder, of which all station files are read."""
     from sunfold.operators.split import merge_average, merge_concat
 
+    paths = [f for p in paths for f in (station_files(spark, p) if p.endswith("/") else [p])]
+
     stem = lambda p: p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     if merge == "single":
         paths = [next((p for p in paths if stem(p) == station), paths[0])]

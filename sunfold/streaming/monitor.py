@@ -42,11 +42,11 @@ def error_monitor(stream: DataFrame, key: str = "series_id", p: str = "predictio
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, n long, mean double, std double, trend double, level int", "errors array<double>, means array<double>, counts array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def online_learner(stream: DataFrame, learn: Callable[[DataFrame, int], None], checkpoint: str, most: int = 100) -> StreamingQuery:
-    """Calls learn(batch, number) on each micro-batch, the first `most` of them, over what is there now."""
+def online_learner(stream: DataFrame, learn: Callable[[DataFrame, int], None], checkpoint: str, most: int | None = None) -> StreamingQuery:
+    """Calls learn(batch, number) on each micro-batch over what is there now; with `most`, on the first so many."""
 
     def each(df: DataFrame, i: int) -> None:
-        if i < most:
+        if most is None or i < most:
             learn(df, i)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
