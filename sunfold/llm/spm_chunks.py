@@ -28,6 +28,7 @@ from sunfold.runtime import shuffle_partitions
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PIECES, _IDS = 0, 1
+_KNOWN = 2_000_000  # segmented chunks that a task remembers before it forgets them
 
 
 def check_model(model: bytes) -> None:
@@ -87,8 +88,9 @@ def _content(texts: pa.Array) -> bytes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
-    """Consecutive rows with about `size` bytes of text. A block's name is a digest of its texts, so that both
-    passes over the documents, and any task that is run again, give it the same name."""
+    """Consecutive rows with about `size` bytes of text. A block's name is a digest of its texts and of those of the task's
+    blocks before it, so that both passes over the documents, and any task that is run again, give it the same name, and
+    that blocks of one text over and over have different names."""
     rows, held, name = [], 0, xxhash.xxh3_128()
     for batch in batches:
         for part in _slices(batch, text, size):
@@ -97,7 +99,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator
             held += part[text].nbytes
             if held >= size:
                 yield name.hexdigest(), rows
-                rows, held, name = [], 0, xxhash.xxh3_128()
+                rows, held = [], 0
     if rows:
         yield name.hexdigest(), rows
 
@@ -127,6 +129,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
     Nulls and empty texts have no ids and decode to "". Repeated rows stay, each with its ids. Columns of docs
     that are named like the two new ones are replaced; all others are carried, whatever their names. An empty
     table gives an empty result. No begin or end ids, no sampling.
+
+    docs is read twice and must give the same rows in the same order and partitions each time, as a stored table does;
+    cut anything else first, such as the result of a shuffle without a sort.
     """
     spark = docs.sparkSession
     model = open(model_path, "rb").read()  # on the driver; executors get the bytes
@@ -159,6 +164,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
             out = []
             for name, kind, part, payload in zip(*(batch[c].to_pylist() for c in ("block", "kind", "seq", "payload")), strict=True):
                 chunks = _unpack(payload)["c"].to_pylist()
+                if len(table) > _KNOWN:
+                    table.clear()
                 new = [c for c in chunks if c not in table]
                 table.update((c, np.array(x, np.int32).tobytes()) for c, x in zip(new, _segment(sp, new), strict=True))
                 got = [table[c] for c in chunks]
