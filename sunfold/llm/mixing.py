@@ -139,6 +139,7 @@ class Mix:
         short = [max(0, q - g) for g, q in zip(got, self.slots, strict=True)]
         over_at = [sum(over[:i]) for i in range(len(over))]
         short_to = [sum(short[: i + 1]) for i in range(len(short))]
+        drawn = drawn.repartition(self.parts, "shard", "k")  # slots are light but cost hashing, so they stay on as many tasks
         rank = F.col("first") + F.row_number().over(Window.partitionBy("shard", "k").orderBy("slot")) - 1
         out = drawn.join(offset, ["shard", "k"]).select("slot", "shard", "k", rank.alias("rank"))
         extra = _of(over_at, F.col("k")) + F.col("rank") - _of(self.slots, F.col("k"))
