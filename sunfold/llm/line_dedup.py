@@ -34,13 +34,14 @@ def _with_lists(docs: DataFrame, lists: DataFrame, entries: int) -> DataFrame:
     return salted.join(spread, both, "left").drop("__of", "__salt", "__to")
 
 
-def drop_boilerplate_lines(docs: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, dropped: str = "lines_dropped") -> DataFrame:
+def drop_boilerplate_lines(docs: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, dropped: str = "lines_dropped", keep_copies: bool = False) -> DataFrame:
     """docs with `text` freed of the lines that more than `ratio` and at least `min_pages` of their host's pages
     contain, and the number of lines dropped (long).
 
     Lines end at \\n and are compared without spaces at their ends; lines without other characters are never
-    dropped and count for nothing. A page that would lose every line with content keeps its text whole: then it is
-    a copy among many, not a page with boilerplate. A null text stays null; a null host is a host. Repeated rows
+    dropped and count for nothing. On a small site a line of one or two pages exceeds any ratio, so that a line counts as
+    repeated from `min_pages` on. A page with nothing else becomes a text without words. keep_copies: it keeps its text
+    instead, for it is a copy among many, which another step is to judge. A null text stays null; a null host is a host. Repeated rows
     are pages of their own. A column of docs named like `dropped` is replaced; others are carried, whatever their
     names. An empty table gives an empty result.
     """
@@ -61,7 +62,9 @@ def drop_boilerplate_lines(docs: DataFrame, host: str | Column = "source", text:
     out = _with_lists(pages, bad, exact.count()).withColumn("__all", _lines("__text"))
     kept = F.filter("__all", lambda x: ~F.array_contains(F.col("__bad"), F.trim(x)))
     out = out.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))
-    changed = F.col("__kept").isNotNull() & F.exists("__kept", lambda x: F.trim(x) != "")
+    changed = F.col("__kept").isNotNull()
+    if keep_copies:
+        changed &= F.exists("__kept", lambda x: F.trim(x) != "")
     new = F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("__text"))
     number = F.when(changed, F.size("__all") - F.size("__kept")).otherwise(F.lit(0)).cast("long")
     return out.select(*((new if c == text else F.col(f"__row.`{c}`")).alias(c) for c in columns), number.alias(dropped))
@@ -77,7 +80,7 @@ bad AS (SELECT u.source, list(u.line) AS bad FROM uses u JOIN totals t ON u.sour
   WHERE u.n >= 5 AND u.n > 0.05::DOUBLE * t.pages GROUP BY u.source),
 cleaned AS (SELECT p.*, CASE WHEN b.bad IS NULL THEN NULL ELSE [x for x in lines if NOT list_contains(b.bad, trim(x, ' '))] END AS kept
   FROM pages p LEFT JOIN bad b ON p.source IS NOT DISTINCT FROM b.source),
-judged AS (SELECT *, kept IS NOT NULL AND len([x for x in kept if trim(x, ' ') <> '']) > 0 AS changed FROM cleaned)
+judged AS (SELECT *, kept IS NOT NULL AS changed FROM cleaned)
 SELECT doc_id, source, CASE WHEN changed THEN array_to_string(kept, chr(10)) ELSE text END AS text,
   CASE WHEN changed THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS lines_dropped FROM judged
 """
