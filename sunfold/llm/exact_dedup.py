@@ -16,13 +16,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.runtime import cut, scratch_path
+from sunfold.runtime import cut, scratch_path, shuffle_partitions
 
 _STREAM = "spark.sql.streaming.stateStore."
 #: Settings of the stream: state in RocksDB, changes in the checkpoint folder, no disk space taken in advance by each of its many small stores.
 _STORE = {_STREAM + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _STREAM + "rocksdb.changelogCheckpointing.enabled": "true", _STREAM + "rocksdb.allowFAllocate": "false"}
 #: Digests met more than once that may be sent to every task, where their rows are looked up.
 MOST_SENT = 500_000
+#: A group of so many rows meets its keeper in several places, since one would be hot.
+LARGE = 256
 
 
 def normalised(text: Column) -> Column:
@@ -36,7 +38,8 @@ def sha256(text: Column) -> Column:
 
 def _facts(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
     plain = normalised(docs[text])
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    origin = docs.metadataColumn("_metadata")  # the reader's, even if the table has a column of that name
+    place = F.struct(origin["file_path"].alias("file"), origin["row_index"].alias("row"))
     return docs.select(docs[key].alias("key"), F.char_length(F.coalesce(docs[text], F.lit(""))).alias("length"), digest(plain).alias("digest"), place.alias("place"), plain.alias("plain"))
 
 
@@ -83,8 +86,18 @@ def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text:
     hits = facts.join(F.broadcast(again) if again.count() <= MOST_SENT else again, "digest", "left_semi")
     differ = cut(hits.groupBy("digest").agg(F.min("plain").alias("least"), F.max("plain").alias("most")).filter("least <> most").select("digest"))
 
+    salts = shuffle_partitions(spark)
+
     def named(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
         kept = F.col("best.place") == F.col("place")
+        large = cut(groups.filter(F.col("n") >= LARGE).select("digest").distinct())
+        if 0 < large.count() <= MOST_SENT:
+            to = F.when(F.col("__large"), F.pmod(F.xxhash64("place"), F.lit(salts))).otherwise(0)
+            sent = F.broadcast(large.withColumn("__large", F.lit(True)))
+            rows = rows.join(sent, "digest", "left").withColumn("__to", to).drop("__large")
+            last = F.when(F.col("__large"), salts - 1).otherwise(0).cast("long")
+            groups = groups.join(sent, "digest", "left").withColumn("__to", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__large")
+            on = [*on, "__to"]
         return rows.join(groups, on).select(F.col("key").alias(key), F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), F.col("best.place.file").alias("keep_file"), F.col("best.place.row").alias("keep_row"))
 
     rows = facts.withColumn("sha", sha256(F.col("plain")))

@@ -47,6 +47,15 @@ def test_sentencepiece_equals_library(spark, docs, pairs):
     assert spm_chunks.encode_decode(docs.limit(0), queries.piece_model()).count() == 0
 
 
+def test_sentencepiece_of_one_text_over_and_over(spark):
+    """Blocks that hold nothing but copies have names of their own, so none gathers the others."""
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["a b c " * 100] * 1000)], ["c0"])
+    names = [n for n, _ in spm_chunks._blocks(iter([batch] * 5), "c0", 50_000)]
+    assert len(names) == len(set(names)) > 20 and names == [n for n, _ in spm_chunks._blocks(iter([batch] * 5), "c0", 50_000)]
+
+
 def test_targets():
     assert targets([10, 1000, 50], (5, 2, 1), 1.5, 2) == [20, 1470, 100]
     assert targets([], (5, 2, 1), 1.5, 2) == [] and targets([0, 0], (1,), 1.5, 2) == [0, 0]
@@ -97,6 +106,24 @@ def test_exact_dedup(spark, docs, pairs, tmp_path, weak):
     assert sum(r["kept"] for r in rows) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_of_large_groups_nulls_and_clashing_columns(spark, tmp_path, weak):
+    """A group of a third of the rows, null keys and texts, repeated rows, ties, columns named like the operator's own."""
+    rows = [(i, "a  b" if i % 2 else "a b") for i in range(700)] + [(None, "ab"), (None, None), (5000, ""), (5001, " "), (5002, None), (7, "a  b")] + [(6000 + i, f"t{i}") for i in range(40)]
+    path = str(tmp_path / "docs")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("key", "digest", "place", "plain", "length", "best", "n", "sha", "_metadata", "__to")})
+    df.repartition(3).write.parquet(path)
+    how = {"digest": lambda c: F.substring(F.sha2(c, 256), 1, 1)} if weak else {}
+    got = exact_dedup.exact_duplicates(spark, path, **how).collect()
+    ab = [r for r in got if r["text_sha256"] == sha("ab")]
+    empty = [r for r in got if r["text_sha256"] == sha("")]
+    assert len(got) == len(rows) and {(r["keep_id"], r["group_size"]) for r in ab} == {(1, 702)} and sum(r["kept"] for r in ab) == 1
+    assert {(r["keep_id"], r["group_size"]) for r in empty} == {(5001, 4)} and sum(r["kept"] for r in got) == 42
+    none = str(tmp_path / "none")
+    df.limit(0).write.parquet(none)
+    assert exact_dedup.exact_duplicates(spark, none).count() == 0
+
+
 def test_exact_dedup_continues_its_stream(spark, tmp_path):
     path, folder = str(tmp_path / "docs"), str(tmp_path / "state")
     spark.createDataFrame([(5, "a b")], "doc_id long, text string").write.parquet(path)
@@ -312,7 +339,7 @@ def test_hashed_terms():
 def test_line_dedup(spark):
     rows = [(i, "h1" if i < 20 else None, f"menu \nbody {i}\n\nmenu") for i in range(30)] + [(40, "h2", "menu\nx"), (41, "h1", "menu"), (42, "h1", None), (43, "h1", "")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("lines_dropped", F.lit("old"))
-    want = {i: (f"body {i}\n", 2) for i in range(30)} | {40: ("menu\nx", 0), 41: ("menu", 0), 42: (None, 0), 43: ("", 0)}
+    want = {i: (f"body {i}\n", 2) for i in range(30)} | {40: ("menu\nx", 0), 41: ("", 1), 42: (None, 0), 43: ("", 0)}
     for most in (line_dedup.MOST_SENT, -1):
         before, line_dedup.MOST_SENT = line_dedup.MOST_SENT, most
         try:
@@ -321,6 +348,10 @@ def test_line_dedup(spark):
             line_dedup.MOST_SENT = before
         assert got == want
     assert line_dedup.drop_boilerplate_lines(df.limit(0)).count() == 0
+    copies = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate_lines(df, keep_copies=True).collect()}
+    assert copies == {k: t for k, (t, _) in want.items()} | {41: "menu"}
+    many = spark.createDataFrame([(1, "h", "menu\n" + "line\n" * 50_000 + "own")] * 6, "doc_id long, source string, text string")  # long texts, repeated rows
+    assert {(r["text"], r["lines_dropped"]) for r in line_dedup.drop_boilerplate_lines(many).collect()} == {("", 50_002)}
 
 
 def test_line_dedup_equals_sql(spark, small):
