@@ -123,7 +123,7 @@ def _rows(items: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(b, pa.string()), pa.array(k, pa.int32()), pa.array(s, pa.int32()), pa.array(p, pa.binary())], ["block", "kind", "seq", "payload"])
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", block_mb: int = 32) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", block_mb: int = 24) -> DataFrame:
     """docs with two more columns: the ids of each whole text (array of int) and the text decoded from them.
 
     Nulls and empty texts have no ids and decode to "". Repeated rows stay, each with its ids. Columns of docs
@@ -181,7 +181,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
         sp = SentencePieceProcessor(model_proto=model)
 
         def finish(pieces: list[bytes], answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-            rows = [b for p in pieces for b in _unpack(p).to_batches(max_chunksize=1000)]
+            rows = [b for p in pieces for b in _unpack(p).to_batches(max_chunksize=200)]
             number = defaultdict(count().__next__)  # distinct chunks in order of first use
             uses = []
             for r in rows:
