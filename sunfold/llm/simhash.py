@@ -195,6 +195,7 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
 
 _BITS = 1 << 24  # of the bitmap that keeps texts without a candidate from the shuffle
+_HUB = 512  # members of a star that one group of rows verifies
 
 
 def _shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -205,7 +206,23 @@ def _digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _frequent(docs: DataFrame, key: str, text: str, words: int, sampled: int = 2000, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def _parity(shingles: np.ndarray) -> bytes:
+    """One bit for each of at least 2 n places: whether an odd number of the set's n shingles falls there."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length() if len(shingles) else 0)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parity: bytes, size: int) -> int:
+    """A parity of so many bytes, which is the set's own parity over fewer places."""
+    n, v = len(parity), int.from_bytes(parity, "little")
+    while n > size:
+        n //= 2
+        v = v >> 8 * n ^ v & (1 << 8 * n) - 1
+    return v
+
+
+def _frequent(docs: DataFrame, key: str, text: str, words: int, sampled: int = 8000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several of about `sampled` documents have, at most `most`, in order, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +231,10 @@ def _frequent(docs: DataFrame, key: str, text: str, words: int, sampled: int = 2
                 yield pa.record_batch([pa.array(_shingle_set(t, words).view(np.int64))], ["shingle"])
 
     some = docs.filter(F.pmod(F.xxhash64(key), F.lit(max(1, docs.count() // sampled))) == 0).select(text)
-    rows = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(most).collect()
-    found = sorted((r["shingle"] % (1 << 64), r["n"]) for r in rows)
-    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+    rows = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    shingle, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
 
 def _may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -225,39 +243,66 @@ def _may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray
     return np.minimum(m - (a & 0xFFFFFFFF), n - (b & 0xFFFFFFFF)) + 1e-6 >= similarity / (1 + similarity) * (m + n)
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of digests whose shingle sets have that Jaccard similarity, exactly. A set is sent once for each pair that it is the second of."""
+def _not_apart(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose parities allow that similarity: sets differ in at least as many shingles as their
+    parities in bits, so no pair that is alike goes. A parity has a thirtieth of a set's bytes."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, m, n, p, q = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                size = min(len(p[i]), len(q[i]))
+                apart = (_folded(p[i], size) ^ _folded(q[i], size)).bit_count()
+                keep.append((m[i] + n[i] - apart) / 2 + 1e-6 >= similarity / (1 + similarity) * (m[i] + n[i]))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch[0].filter(mask), batch[1].filter(mask)], ["a", "b"])
+
+    one, other = (sets.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    near = (F.col("size_a") >= similarity * F.col("size_b") - 1e-6) & (F.col("size_b") >= similarity * F.col("size_a") - 1e-6)
+    both = pairs.join(one, "a").join(other, "b").filter(near).select("a", "b", "size_a", "size_b", "parity_a", "parity_b")
+    return both.mapInArrow(check, "a bigint, b bigint")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose shingle sets have that Jaccard similarity, exactly.
+
+    What the parities leave is verified on whole sets; a set is sent once for each pair that it is the second of, and once
+    for each `_HUB` pairs that it is the first of, so that a set with many partners is no hot key."""
     parts = shuffle_partitions(docs.sparkSession)
-    need = pairs.select(F.col("b").alias("digest"), F.col("a").alias("hub")).unionAll(pairs.select(F.col("a").alias("digest"), F.col("a").alias("hub")).distinct())
-    at = F.pmod(F.col("digest"), F.lit(_BITS))
-    marks = need.groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits")).collect()
+    pairs, sets = cut(_not_apart(pairs, sets, similarity)), sets.select("digest", "node")
+    share = pairs.groupBy("a").agg(F.ceil(F.count("*") / _HUB).alias("shares"))
+    dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
+    need = dealt.select(F.col("b").alias("digest"), F.col("a").alias("hub"), "share").unionAll(dealt.select(F.col("a").alias("digest"), F.col("a").alias("hub"), "share").distinct())
+    at = F.pmod(F.xxhash64("node"), F.lit(_BITS))
+    marks = need.select("digest").distinct().join(sets, "digest").groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits")).toArrow()
     bitmap = np.zeros(_BITS // 32, np.int64)
-    for r in marks:
-        bitmap[r["word"]] = r["bits"]
+    bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                made = [_shingle_set(t, words) for t in batch.slice(i, 256)[0].to_pylist()]
-                named = [(d, x) for d, x in ((_digest(x), x) for x in made) if bitmap[d % _BITS >> 5] >> (d % _BITS & 31) & 1]
-                yield pa.record_batch([pa.array([d for d, _ in named], pa.int64()), pa.array([x.tobytes() for _, x in named], pa.binary())], ["digest", "shingles"])
+                part = batch.slice(i, 256)
+                wanted = bitmap[part[0].to_numpy() >> 5] >> (part[0].to_numpy() & 31) & 1
+                found = [_shingle_set(t, words) for t in part[1].filter(pa.array(wanted == 1)).to_pylist()]
+                yield pa.record_batch([pa.array(map(_digest, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["digest", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
             out = []
-            for hub, d, raw in zip(*(batch[c].to_pylist() for c in ("hub", "digest", "shingles")), strict=True):
+            for hub, share, d, raw in zip(*(batch[c].to_pylist() for c in ("hub", "share", "digest", "shingles")), strict=True):
                 x = np.frombuffer(raw, np.uint64)
                 if hub == d:
-                    now, own = hub, x
-                elif hub == now:
+                    now, own = (hub, share), x
+                elif (hub, share) == now:
                     both = len(np.intersect1d(own, x, assume_unique=True))
                     if both / (len(own) + len(x) - both) >= similarity:
                         out.append((hub, d))
             yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in range(2)], ["a", "b"])
 
-    made = docs.select(text).mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"])
-    met = need.join(made, "digest").select("hub", "digest", "shingles").repartition(parts, "hub").sortWithinPartitions("hub", F.col("hub") != F.col("digest"))
+    found = docs.select(F.pmod(F.xxhash64(key), F.lit(_BITS)).alias("at"), text).mapInArrow(made, "digest bigint, shingles binary").dropDuplicates(["digest"])
+    met = need.join(found, "digest").select("hub", "share", "digest", "shingles").repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", F.col("hub") != F.col("digest"))
     return met.mapInArrow(check, "a bigint, b bigint")
 
 
@@ -267,12 +312,12 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
 
     Shingles have one order for all texts, rare ones first. Of two sets that are alike, each has a shingle in common with
     the other among its first n - ceil(similarity * n) + 1, so only these are shuffled. The first that a pair has in
-    common also bounds their overlap by what follows it. Pairs that meet are verified on the whole sets in two rounds:
-    first the star around the smallest of each bucket and the chain of neighbours, then every other pair of the bucket
-    whose members are not connected yet. A pair left out is connected already.
+    common also bounds their overlap by what follows it. Pairs that meet are verified, by their parities and then on the
+    whole sets, in two rounds: first the star around the smallest of each bucket and the chain of neighbours, then every
+    other pair of the bucket whose members are not connected yet. A pair left out is connected already.
 
-    Texts are read again for each round, and only those with a candidate send their sets. Which shingles are frequent is
-    estimated from a sample; it changes the work, not the result. Members of a bucket that are not connected cost a
+    Texts are read again for each round, and only those that parities leave send their sets. Which shingles are frequent
+    is estimated from a sample; it changes the work, not the result. Members of a bucket that are not connected cost a
     comparison for each pair. A null text counts as empty, and documents without words are alike. Rows without a key are not
     clustered. Rows that share a key are one document. Equal sets are one node, by a digest of 64 bits.
     """
@@ -281,29 +326,28 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
     common, counts = _frequent(docs, key, text, words)
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's digest; for the first of equal ones in a task also size, parity and the shingles to send."""
+        known: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.record_batch([part[0], pa.array([_digest(_shingle_set(t, words)) for t in part[1].to_pylist()], pa.int64())], ["node", "digest"])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
                 out = []
-                for t in batch.slice(i, 256)[0].to_pylist():
+                for t in part[1].to_pylist():
                     x = _shingle_set(t, words)
-                    n = len(x)
-                    if not n:
+                    n, d = len(x), _digest(x)
+                    if d in known:
+                        out.append((d, None, None, None))
                         continue
+                    known.add(d)
                     seen = np.zeros(n, np.int64)
-                    if len(common):
+                    if len(common) and n:
                         place = np.minimum(np.searchsorted(common, x), len(common) - 1)
                         seen = np.where(common[place] == x, counts[place], 0)
                     first = x[np.argsort(seen, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
-                    out.append((first, np.full(len(first), _digest(x)), np.arange(len(first)) | n << 32))
-                if out:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["point", "digest", "place"])
+                    out.append((d, n, _parity(x), first))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+                yield pa.record_batch([part[0], *columns], ["node", "digest", "size", "parity", "first"])
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 2), np.int64)
@@ -346,10 +390,11 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
             pairs = np.unique(np.concatenate(held), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    prints = cut(docs.mapInArrow(name, f"node {kind}, digest bigint"))
-    points = docs.select(text).mapInArrow(emit, "point bigint, digest bigint, place bigint")
+    prints = cut(docs.mapInArrow(describe, f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>"))
+    sets = prints.filter("parity is not null").select("node", "digest", "size", "parity").dropDuplicates(["digest"])
+    points = prints.select("digest", "size", F.posexplode("first").alias("at", "point")).select("point", "digest", F.expr("shiftleft(size, 32) | at").alias("place"))
     met = cut(points.repartition(parts, "point").sortWithinPartitions("point", "digest").mapInArrow(first_round, "a bigint, b bigint, point bigint, place bigint"))
-    links = _alike(docs, cut(met.filter("b is not null").select("a", "b").distinct()), text, words, similarity)
+    links = _alike(docs, met.filter("b is not null").select("a", "b").distinct(), sets, key, text, words, similarity)
     # a key whose rows differ in text has several digests, which count as linked
     several = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z")
     links = links.unionAll(prints.join(several, "node").select("a", F.col("digest").alias("b")))
@@ -357,9 +402,9 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     rest = met.filter("b is null").join(found, "a", "left").select("point", F.col("a").alias("digest"), "place", F.coalesce("root", "a").alias("root"))
     crossed = cut(rest.repartition(parts, "point").sortWithinPartitions("point").mapInArrow(second_round, "a bigint, b bigint").distinct())
     if crossed.head(1):
-        links = _alike(docs, crossed, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
+        links = _alike(docs, crossed, sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
         found = connected_components(links).withColumnsRenamed({"node": "a"})
-    rooted = cut(prints.join(found, prints["digest"] == found["a"], "left").select("node", F.coalesce("root", "digest").alias("root")).distinct())
+    rooted = cut(prints.select("node", "digest").join(found, prints["digest"] == found["a"], "left").select("node", F.coalesce("root", "digest").alias("root")).distinct())
     least = rooted.groupBy("root").agg(F.min("node").alias("cluster"))
     return rooted.join(least, "root").select(F.col("node").alias(key), "cluster")
 
