@@ -94,8 +94,8 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> int:
     other = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
     tail = int(other[0]) if len(other) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    both = np.intersect1d(a, b)
-    x, y = (v[np.isin(v, both)].tolist() for v in (a, b))
+    p, q = np.sort(a), np.sort(b)
+    x, y = (v[other[np.minimum(np.searchsorted(other, v), len(other) - 1)] == v].tolist() if len(other) else [] for v, other in ((a, q), (b, p)))
     left, right = Counter(x), Counter(y)
     if sum(n * right[v] for v, n in left.items()) * 16 < len(x) * (len(y) + 1024):
         places = defaultdict(list)
@@ -108,7 +108,7 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> int:
                 ends[i : i + 1] = [j]
         return head + tail + len(ends)
     z = np.array(y)
-    masks = {v: int.from_bytes(np.packbits(z == v, bitorder="little").tobytes(), "little") for v in both.tolist()}
+    masks = {v: int.from_bytes(np.packbits(z == v, bitorder="little").tobytes(), "little") for v in left}
     full = (1 << len(y)) - 1
     row = full
     for v in x:
@@ -117,6 +117,13 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> int:
     return head + tail + len(y) - row.bit_count()
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each occurs."""
+    v = np.sort(values)
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    return v[start], np.diff(np.r_[start, len(v)])
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The share of anchors, of those either text has, that both have in the same order; 0 to 1. Two empty texts are alike.
 
@@ -124,9 +131,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     m, n = len(a[0]), len(b[0])
     if not m or not n:
         return float(m == n)
-    p, q = (dict(zip(*np.unique(x[0], return_counts=True), strict=True)) for x in (a, b))
-    common = sum(int(min(c, q[h])) for h, c in p.items() if h in q)
-    return _in_order(a[0], b[0]) / (m + n - common)
+    (x, p), (y, q) = (_counted(print_[0]) for print_ in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    return _in_order(a[0], b[0]) / (m + n - int(np.minimum(p[i], q[j]).sum()))
 
 
 def _in_descending_order(docs: DataFrame, key: str, text: str) -> DataFrame:
