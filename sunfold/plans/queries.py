@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunfold.functions import weather as W
@@ -718,6 +718,52 @@ def ensemble_predict(spark, d):
     return evaluate.metrics(models.ensemble(rows, bank, odds).withColumn("target", F.col("y")))
 
 
+# --- statements that hold of the rows above, which SQL can make ---------------------------------------------------------
+
+
+@query(f"WITH {PV} SELECT series_id, count(*) AS n, sum(power) AS total, true AS near FROM pv GROUP BY series_id", "total", 4)
+def vmd_modes_cover(spark, d):
+    """The modes of every row are there, and what they leave of the series is less than four fifths of its size. Series of
+    events are noise, of which so few narrow modes can take no more."""
+    x = pv(spark, d)
+    found = modes.vmd(x, modes=4, rounds=100).join(x.select("series_id", "row_id", "power"), ["series_id", "row_id"])
+    off = F.col("power") - sum((F.col(f"imf{k}") for k in range(1, 5)), F.lit(0.0))
+    return found.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("power").alias("total"), (F.sqrt(F.sum(off * off)) < 0.8 * F.sqrt(F.sum(F.col("power") ** 2))).alias("near"))
+
+
+@query(f"WITH {PV} SELECT series_id, CAST(k AS INTEGER) AS mode, true AS within FROM (SELECT DISTINCT series_id FROM pv), range(1, 5) t(k)")
+def vmd_centres_rise(spark, d):
+    """Centre frequencies lie between 0 and a half and rise with the mode's number."""
+    got = modes.centre_frequencies(pv(spark, d), modes=4, rounds=100)
+    before = F.coalesce(F.lag("frequency").over(Window.partitionBy("series_id").orderBy("mode")), F.lit(0.0))
+    return got.select("series_id", "mode", ((F.col("frequency") >= before) & (F.col("frequency") <= 0.5)).alias("within"))
+
+
+@query(f"WITH {PRED} SELECT avg(abs(prediction - target)) AS mae, true AS inside, true AS narrow FROM pred", "mae", 9)
+def bootstrap_ci_holds(spark, d):
+    """The interval holds the mean absolute error, and is as wide as 3.92 standard errors, give or take a fifth."""
+    x = pred(spark, d)
+    e = F.abs(F.col("prediction") - F.col("target"))
+    facts = x.agg(F.avg(e).alias("mae"), (F.stddev_samp(e) / F.sqrt(F.count(e))).alias("se"))
+    both = evaluate.bootstrap_ci(x).join(facts, F.lit(True))
+    return both.select("mae", ((F.col("low") <= F.col("mae")) & (F.col("mae") <= F.col("high"))).alias("inside"), (F.abs((F.col("high") - F.col("low")) / F.col("se") / 3.92 - 1) < 0.2).alias("narrow"))
+
+
+@query("SELECT 3 AS columns, true AS bounded, 1.0::DOUBLE AS total", "total", 6)
+def nca_weights_add_up(spark, d):
+    """Learnt weights lie between 0 and 1 and add up to 1."""
+    names = ["power", "temperature", "humidity"]
+    got = embed.mean_weights(embed.local_weights(pv(spark, d), names, length=24, every=8), names)
+    return got.agg(F.count("*").cast("int").alias("columns"), F.bool_and(F.col("weight").between(0, 1)).alias("bounded"), F.sum("weight").alias("total"))
+
+
+@query(f"{_STATES} SELECT weather, count(*) AS n, true AS better FROM states GROUP BY weather")
+def per_class_model_beats_the_mean(spark, d):
+    """On the rows that it learnt from, each state's model errs less than the state's mean."""
+    rows, bank = _modelled(spark, d)
+    return evaluate.metrics(models.predict(rows, bank).withColumn("target", F.col("y")), ("weather",)).select("weather", "n", (F.col("r2") > 0).alias("better"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
