@@ -196,6 +196,8 @@ def near_duplicate_components(docs: DataFrame, key: str = "doc_id", text: str =
 
 _BITS = 1 << 24  # of the bitmap that keeps texts without a candidate from the shuffle
 _HUB = 512  # members of a star that one group of rows verifies
+_CLASSES = 1 << 18  # of shingles, whose counts say which shingles are frequent
+_BLOCK = 4096  # members of a bucket that a task compares with as many others
 
 
 def _shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -222,19 +224,34 @@ def _folded(parity: bytes, size: int) -> int:
     return v
 
 
-def _frequent(docs: DataFrame, key: str, text: str, words: int, sampled: int = 8000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several of about `sampled` documents have, at most `most`, in order, and their counts."""
+def _frequencies(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """For each of `_CLASSES` classes of shingles, by their last bits, how many shingles of different texts fall there, over all texts.
+
+    A frequent shingle's class stands out from the others by its count. Copies of a text in one task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, known = np.zeros(_CLASSES, np.int64), set()
         for batch in batches:
-            for t in batch[0].to_pylist():
-                yield pa.record_batch([pa.array(_shingle_set(t, words).view(np.int64))], ["shingle"])
+            for i in range(0, batch.num_rows, 256):
+                new = []
+                for t in batch[0].slice(i, 256).to_pylist():
+                    name = xxhash.xxh3_64_intdigest(t or "")
+                    if name not in known:
+                        known.add(name)
+                        new.append(_shingle_set(t, words))
+                if new:
+                    n += np.bincount(_class_of(np.concatenate(new)), minlength=_CLASSES)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(n[at])], ["class", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_CLASSES, np.int64)
+    out[rows["class"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
 
-    some = docs.filter(F.pmod(F.xxhash64(key), F.lit(max(1, docs.count() // sampled))) == 0).select(text)
-    rows = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
-    shingle, n = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(shingle)
-    return shingle[order], n[order]
+def _class_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(_CLASSES - 1)).astype(np.int64)
 
 
 def _may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -306,7 +323,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: s
     return met.mapInArrow(check, "a bigint, b bigint")
 
 
-def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = _BLOCK) -> DataFrame:
     """(key, cluster) for each distinct key: documents whose sets of word shingles have a Jaccard similarity of at least `similarity` are linked,
     and a cluster is what links connect, named by its smallest key. Exact: no pair is lost and none is added.
 
@@ -316,15 +333,16 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     whole sets, in two rounds: first the star around the smallest of each bucket and the chain of neighbours, then every
     other pair of the bucket whose members are not connected yet. A pair left out is connected already.
 
-    Texts are read again for each round, and only those that parities leave send their sets. Which shingles are frequent
-    is estimated from a sample; it changes the work, not the result. Members of a bucket that are not connected cost a
-    comparison for each pair. A null text counts as empty, and documents without words are alike. Rows without a key are not
+    Texts are read again for each round, and only those that parities leave send their sets. How frequent a shingle is comes
+    from counts of classes of shingles over all texts; it changes the work, not the result. Members of a bucket that are not
+    connected cost a comparison for each pair, of two numbers each; a large bucket's are dealt to tasks in pairs of blocks. A
+    null text counts as empty, and documents without words are alike. Rows without a key are not
     clustered. Rows that share a key are one document. Equal sets are one node, by a digest of 64 bits.
     """
     parts = shuffle_partitions(docs.sparkSession)
     docs = docs.filter(F.col(key).isNotNull()).select(key, text)
     kind = docs.schema[key].dataType.simpleString()
-    common, counts = _frequent(docs, key, text, words)
+    counts = _frequencies(docs, text, words)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's digest; for the first of equal ones in a task also size, parity and the shingles to send."""
@@ -340,11 +358,7 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
                         out.append((d, None, None, None))
                         continue
                     known.add(d)
-                    seen = np.zeros(n, np.int64)
-                    if len(common) and n:
-                        place = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                        seen = np.where(common[place] == x, counts[place], 0)
-                    first = x[np.argsort(seen, kind="stable")[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
+                    first = x[np.argsort(counts[_class_of(x)], kind="stable")[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
                     out.append((d, n, _parity(x), first))
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
                 yield pa.record_batch([part[0], *columns], ["node", "digest", "size", "parity", "first"])
@@ -372,13 +386,16 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
         yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1]), none(len(held)), none(len(held))], names)
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows are sorted by pair of blocks, each of which is named; within it by side."""
         held: list[np.ndarray] = []
         n = 0
-        for start, _, digest, place, root in _runs(batches):
-            mixed = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-            for i, j in zip(start[mixed], np.r_[start[1:], len(root)][mixed], strict=True):
-                for at in range(i, j - 1):
-                    b = np.flatnonzero((root[at + 1 : j] != root[at]) & _may_be_alike(place[at], place[at + 1 : j], similarity)) + at + 1
+        for start, _, digest, place, root, side in _runs(batches):
+            for i, j in zip(start, np.r_[start[1:], len(root)], strict=True):
+                # within a block each row meets those behind it, else the rows of one side meet those of the other
+                middle = i + int(np.searchsorted(side[i:j], 1))
+                for at in range(i, j - 1 if middle == j else middle):
+                    low = max(at + 1, middle) if middle < j else at + 1
+                    b = np.flatnonzero((root[low:j] != root[at]) & _may_be_alike(place[at], place[low:j], similarity)) + low
                     if len(b):
                         held.append(np.stack([np.minimum(digest[at], digest[b]), np.maximum(digest[at], digest[b])], 1))
                         n += len(b)
@@ -400,7 +417,13 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     links = links.unionAll(prints.join(several, "node").select("a", F.col("digest").alias("b")))
     found = cut(connected_components(links).withColumnsRenamed({"node": "a"}))
     rest = met.filter("b is null").join(found, "a", "left").select("point", F.col("a").alias("digest"), "place", F.coalesce("root", "a").alias("root"))
-    crossed = cut(rest.repartition(parts, "point").sortWithinPartitions("point").mapInArrow(second_round, "a bigint, b bigint").distinct())
+    rest = cut(rest)
+    mixed = rest.groupBy("point").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("point", "blocks")
+    own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+    each = rest.join(mixed, "point").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    pair = F.xxhash64("point", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+    dealt = each.select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
+    crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(second_round, "a bigint, b bigint").distinct())
     if crossed.head(1):
         links = _alike(docs, crossed, sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
         found = connected_components(links).withColumnsRenamed({"node": "a"})
