@@ -15,9 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sunfold.llm.batches import slices
 from sunfold.runtime import cut
 
 BITS = 22
+_BYTES = 1 << 20  # of text whose terms are made at once; a byte takes some 50 meanwhile
 _BASE = np.uint64(0x100000001B3)
 _FOLD = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -101,10 +103,9 @@ def telling_terms(sample: DataFrame, grades: int, least: int = 4, floor: float =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grade = np.asarray(batch[1])
-            for at in range(0, batch.num_rows, 500):
-                doc, term = hashed_terms(batch[0].slice(at, 500).to_pylist())
-                both, n = np.unique(term * grades + grade[at : at + 500][doc], return_counts=True)
+            for part in slices(batch, 0, _BYTES, 500):
+                doc, term = hashed_terms(part[0].to_pylist())
+                both, n = np.unique(term * grades + np.asarray(part[1])[doc], return_counts=True)
                 yield pa.record_batch([pa.array(both // grades), pa.array(both % grades), pa.array(n)], ["term", "grade", "n"])
 
     totals = [0] * grades
@@ -147,8 +148,7 @@ def design(sample: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 0, _BYTES, 500):
                 x, first = rows_of(part[0].to_pylist(), place)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(x)].astype(np.int32)), pa.array(x.astype(np.int32)))
                 yield pa.record_batch([lists, part[1], part[2]], ["x", "grade", "at"])
@@ -182,8 +182,7 @@ def scored(docs: DataFrame, text: str, terms: np.ndarray, carry: Sequence, schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 0, _BYTES, 256):
                 columns = score(*rows_of(part[0].to_pylist(), place))
                 yield pa.record_batch([*part.columns[1:], *map(pa.array, columns)], [*short, *names])
 

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sunfold.llm.batches import each_row
 from sunfold.llm.components import connected_components
 from sunfold.runtime import cut, shuffle_partitions
 
@@ -308,7 +309,7 @@ def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: s
         now, own = None, None
         for batch in batches:
             out = []
-            for hub, share, d, raw in zip(*(batch[c].to_pylist() for c in ("hub", "share", "digest", "shingles")), strict=True):
+            for hub, share, d, raw in each_row(batch):
                 x = np.frombuffer(raw, np.uint64)
                 if hub == d:
                     now, own = (hub, share), x

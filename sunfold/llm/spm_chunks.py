@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sunfold.llm.batches import each_row, slices
 from sunfold.runtime import shuffle_partitions
 
 MARK = "▁"
@@ -57,14 +58,6 @@ def _segment(sp, chunks: list[str]) -> list[list[int]]:
     return out
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about `most` bytes of text each."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0), dtype=np.int64)
-    cut = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
-    for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -93,7 +86,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator
     that blocks of one text over and over have different names."""
     rows, held, name = [], 0, xxhash.xxh3_128()
     for batch in batches:
-        for part in _slices(batch, text, size):
+        for part in slices(batch, text, size):
             rows.append(part)
             name.update(_content(part[text]))
             held += part[text].nbytes
@@ -161,17 +154,14 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
         sp, table = SentencePieceProcessor(model_proto=model), {}
         for batch in batches:
-            out = []
-            for name, kind, part, payload in zip(*(batch[c].to_pylist() for c in ("block", "kind", "seq", "payload")), strict=True):
+            for name, kind, part, payload in each_row(batch):
                 chunks = _unpack(payload)["c"].to_pylist()
                 if len(table) > _KNOWN:
                     table.clear()
                 new = [c for c in chunks if c not in table]
                 table.update((c, np.array(x, np.int32).tobytes()) for c, x in zip(new, _segment(sp, new), strict=True))
                 got = [table[c] for c in chunks]
-                out.append((name, kind, part, _pack(pa.record_batch([pa.array(got, pa.binary())], ["c"]))))
-            if out:
-                yield _rows(out)
+                yield _rows([(name, kind, part, _pack(pa.record_batch([pa.array(got, pa.binary())], ["c"])))])
 
     schema = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
@@ -205,7 +195,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
         now, pieces, answers = None, [], {}
         for batch in batches:
-            for name, kind, seq, payload in zip(*(batch[c].to_pylist() for c in ("block", "kind", "seq", "payload")), strict=True):
+            for name, kind, seq, payload in each_row(batch):
                 if name != now:
                     if pieces:
                         yield from finish(pieces, answers)
