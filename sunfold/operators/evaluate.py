@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunfold.operators.ordered import SERIES, windowed
+from sunfold.operators.quantiles import magnitude, quantiles
 
 EPS = 1e-8
 
@@ -117,9 +118,7 @@ def _t_p(t: float, freedom: int) -> float | None:
 def with_rows_before(counts: DataFrame, value: str, n: str = "n", each: int = 1024) -> DataFrame:
     """counts, a row for each distinct value, with `before`: how many rows have smaller values. Sums run in two levels, over
     ranges of magnitude (`each` to a factor of e, by sign) and within each, so that no task orders all values."""
-    x = F.col(value)
-    size = F.floor(F.log(F.when(x != 0, F.abs(x))) * each) + (1 << 24)  # above 0 for every double
-    ranged = counts.withColumn("__range", F.coalesce(F.when(x > 0, size).otherwise(-size), F.lit(0)))
+    ranged = counts.withColumn("__range", magnitude(F.col(value), each))
     sums = ranged.groupBy("__range").agg(F.sum(n).alias("__sum"))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, whatever the rows
     base = sums.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
@@ -237,7 +236,7 @@ def error_band(df: DataFrame, by: str = "weather", width: float = 2.0, p: str =
 def error_quartiles(df: DataFrame, by: str = "weather", p: str = "prediction", t: str = "target") -> DataFrame:
     """(class, q1, median, q3, low, high): quartiles of errors, and the furthest errors within 1.5 interquartile ranges."""
     e = df.select(by, (F.col(p) - F.col(t)).alias("e"))
-    q = e.groupBy(by).agg(F.percentile("e", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(F.col(by).alias("__by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(e, "e", (0.25, 0.5, 0.75), [by]).select(F.col(by).alias("__by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inner = F.when(F.col("e").between(F.col("q1") - reach, F.col("q3") + reach), F.col("e"))
     return e.join(F.broadcast(q), F.col(by).eqNullSafe(F.col("__by"))).groupBy(by, "q1", "median", "q3").agg(F.min(inner).alias("low"), F.max(inner).alias("high"))

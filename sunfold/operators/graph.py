@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sunfold.runtime import shuffle_partitions
 
 
+BLOCK = 4096  # rows of a block, which meets others in one task
+
+
 def _blocks(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
 
@@ -19,10 +22,10 @@ def _blocks(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
 def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(src, dst, d2, place): for each vector its k nearest others by squared distance, exactly; ties by id.
 
-    Rows are dealt into blocks, each block meets each other block in one task, which keeps the k best of each of its
-    rows; the best of all are then taken from k rows for each block. Work is quadratic, as exact search is; no task
-    holds more than two blocks. For more rows than that allows use `knn_edges_hashed`."""
-    n = blocks or max(1, int(shuffle_partitions(df.sparkSession) ** 0.5 * 1.5))
+    Rows are dealt into blocks of about BLOCK rows, or into `blocks`; each block meets each other block in one task, which
+    keeps the k best of each of its rows; the best of all are then taken from k rows for each block. Work is quadratic, as
+    exact search is; no task holds more than two blocks. For more rows than that allows use `knn_edges_hashed`."""
+    n = blocks or max(1, int(shuffle_partitions(df.sparkSession) ** 0.5 * 1.5), -(-df.count() // BLOCK))
     rows = _blocks(df, key, vector, n)
     left = rows.select("id", "v", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), F.lit(0).alias("side"))
     right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
@@ -34,7 +37,9 @@ def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "em
         xv, yv, xi, yi = np.stack(x["v"]), np.stack(y["v"]), x["id"].to_numpy(), y["id"].to_numpy()
         out = []
         for at in range(0, len(xv), 256):
-            d = ((xv[at : at + 256, None, :] - yv[None, :, :]) ** 2).sum(2) if xv.shape[1] * len(yv) < 2_000_000 // 8 else np.maximum((xv[at : at + 256] ** 2).sum(1)[:, None] + (yv**2).sum(1)[None] - 2 * xv[at : at + 256] @ yv.T, 0)
+            d = np.zeros((len(xv[at : at + 256]), len(yv)))
+            for j in range(xv.shape[1]):  # so that a distance is rounded alike in blocks of any size
+                d += (xv[at : at + 256, j, None] - yv[None, :, j]) ** 2
             d[xi[at : at + 256, None] == yi[None, :]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
             val = np.take_along_axis(d, best, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunfold.operators.ordered import SERIES, windowed
+from sunfold.operators.quantiles import quantiles
 from sunfold.schema import ERROR_MARKERS, MEASURES, PHYSICAL_RANGES, VALID_RANGES
 
 
@@ -41,8 +42,9 @@ def null_ratios(df: DataFrame, columns: Sequence[str] = MEASURES, warn: float =
 
 def describe(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
     """(column, n, mean, std (sample), min, q25, median, q75, max), exact, nulls left out."""
-    q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = _long(df, columns).groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    cells = _long(df, columns)
+    out = cells.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = out.join(F.broadcast(quantiles(cells, "x", (0.25, 0.5, 0.75), ["column"])), "column")
     return out.select("column", "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max")
 
 
@@ -93,7 +95,7 @@ def bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold
     cells = _long(df, columns)
     if method == "iqr":
         k = 1.5 if threshold is None else threshold
-        got = cells.groupBy("column").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        got = quantiles(cells, "x", (0.25, 0.75), ["column"])
         wide = (F.col("q")[1] - F.col("q")[0]) * k
         return got.select("column", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
     if method == "zscore":
@@ -132,9 +134,10 @@ def handle_outliers(df: DataFrame, columns: Sequence[str], how: str = "clip", me
     """df with the outliers of `columns` clipped to the bounds, removed (null), or replaced by the mean or median of the others."""
     if how not in ("clip", "remove", "replace_mean", "replace_median"):
         raise ValueError(f"unknown handling {how}")
-    flagged = _flagged(df, columns, method, threshold, ())
-    inner = F.when(~F.col("out"), F.col("x"))
-    facts = flagged.groupBy("column", "low", "high").agg(F.avg(inner).alias("mean"), F.percentile(inner, 0.5).alias("median"))
+    flagged = _flagged(df, columns, method, threshold, ()).withColumn("inner", F.when(~F.col("out"), F.col("x")))
+    facts = flagged.groupBy("column", "low", "high").agg(F.avg("inner").alias("mean"))
+    middle = quantiles(flagged, "inner", (0.5,), ["column"]).select("column", F.col("q")[0].alias("median")) if how == "replace_median" else None
+    facts = facts.withColumn("median", F.lit(None).cast("double")) if middle is None else facts.join(F.broadcast(middle), "column")
     row = facts.groupBy().pivot("column", list(columns)).agg(*(F.first(x).alias(x) for x in ("low", "high", "mean", "median")))  # one row
     out = df.join(F.broadcast(row), F.lit(True))
 

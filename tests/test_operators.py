@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sunfold.operators import embed, evaluate, graph, missing, models, modes, ordered, quality, scale, smooth, split
+from sunfold.operators import embed, evaluate, graph, missing, models, modes, ordered, quality, quantiles, scale, smooth, split
 from sunfold.sources import files, sinks
 from sunfold.streaming import monitor
 
@@ -214,3 +214,27 @@ def test_error_figures_of_few_rows(spark):
     assert [tuple(r)[:2] + (r.outside,) for r in evaluate.error_band(same, width=1.5).collect()] == [(0, 5, 1)]
     total = evaluate.error_density(same, points=4000).agg({"density": "sum"}).first()[0] * 100 / 3999
     assert 0.3 < total <= 1
+
+
+def test_quantiles_equal_numpy(spark):
+    """Ties, both signs, all magnitudes, null keys and values, against numpy; groups of nulls, one row, no rows."""
+    rng = np.random.default_rng(3)
+    groups = {"a": (rng.normal(size=301) * 10.0 ** rng.integers(-9, 9, 301)).tolist(), None: rng.integers(-3, 3, 80).astype(float).tolist(), "b": [7.5], "c": [None, None]}
+    df = spark.createDataFrame([(g, v) for g, xs in groups.items() for v in [*xs, None]], "g string, x double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r.q for r in quantiles.quantiles(df, "x", shares, ["g"]).collect()}
+    assert set(got) == set(groups) and got["c"] == [None] * 5
+    for g in ("a", None, "b"):
+        assert got[g] == pytest.approx(np.quantile(groups[g], shares).tolist(), rel=1e-12)
+    everything = [v for xs in groups.values() for v in xs if v is not None]
+    assert quantiles.quantiles(df, "x", (0.5,)).first().q == pytest.approx([np.median(everything)])
+    assert quantiles.quantiles(df.limit(0), "x", (0.5,)).first().q == [None]
+    assert quantiles.quantiles(df.limit(0), "x", (0.5,), ["g"]).collect() == []
+    ends = spark.createDataFrame([(v,) for v in (float("-inf"), 1.0, float("inf"))], "x double")
+    assert quantiles.quantiles(ends, "x", (0.0, 0.5, 1.0)).first().q == [float("-inf"), 1.0, float("inf")]
+
+
+def test_robust_scale_of_nulls(spark):
+    df = frame(spark, [1.0, 2.0, 4.0, 8.0, float("nan")]).withColumn("none", F.lit(None).cast("double"))
+    assert scale.fit(df, ["power", "none"], "robust") == {"power": (3.0, 3.25), "none": (None, 1.0)}
+    assert scale.fit(df.limit(0), ["power"], "robust") == {"power": (None, 1.0)}
