@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sunfold.operators.ordered import SERIES, windowed
 from sunfold.operators.quantiles import quantiles
+from sunfold.runtime import cut
 from sunfold.schema import ERROR_MARKERS, MEASURES, PHYSICAL_RANGES, VALID_RANGES
 
 
@@ -106,8 +107,8 @@ def bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", threshold
 
 
 def _flagged(df: DataFrame, columns: Sequence[str], method: str, threshold: float | None, carry: Sequence[str]) -> DataFrame:
-    """Cells with low, high and out. The table of bounds has a row for each column."""
-    cells = _long(df, columns, carry).join(F.broadcast(bounds(df, columns, method, threshold)), "column")
+    """Cells with low, high and out. The table of bounds has a row for each column, and is made once, whatever reads the cells."""
+    cells = _long(df, columns, carry).join(F.broadcast(cut(bounds(df, columns, method, threshold))), "column")
     return cells.withColumn("out", F.coalesce((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.lit(False)))
 
 
