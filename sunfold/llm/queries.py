@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunfold.llm import exact_dedup, html_blocks, line_dedup, quality, secret_scan, simhash, spm_chunks, syncmers, toxicity
+from sunfold.llm import alignment, bpe_trie, collocations, exact_dedup, html_blocks, line_dedup, quality, secret_scan, simhash, spm_chunks, syncmers, toxicity
 from sunfold.llm.mixing import Mix
 
 
@@ -22,6 +22,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """The public byte-level BPE model, likewise."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return spm_chunks.digests(spm_chunks.encode_decode(docs, piece_model()))
@@ -73,9 +80,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm_chunks.digests(bpe_trie.encode_decode(docs, byte_model()))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), byte_model(), piece_model()).drop("text")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op5_toxicity, op6_quality, op7_line_dedup, op8_secrets, op9_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_mixing, op3_exact_dedup, op4_syncmers, op5_toxicity, op6_quality, op7_line_dedup, op8_secrets, op9_html, op10_simhash, op11_bpe_trie, op12_alignment, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.SQL}
+    return {"op7_line_dedup": line_dedup.SQL, "op13_collocations": collocations.sql()}
