@@ -665,18 +665,18 @@ def checkpoint_compare(spark, d):
 
 @query()
 def vmd_modes(spark, d):
-    return modes.vmd(pv(spark, d), modes=4, rounds=100)
+    return modes.vmd(pv(spark, d), modes=4)
 
 
 @query()
 def vmd_diagnostics(spark, d):
     x = pv(spark, d)
-    return modes.diagnostics(modes.vmd(x, modes=4, rounds=100), x, modes=4)
+    return modes.diagnostics(modes.vmd(x, modes=4), x, modes=4)
 
 
 @query()
 def vmd_centre_frequencies(spark, d):
-    return modes.centre_frequencies(pv(spark, d), modes=4, rounds=100)
+    return modes.centre_frequencies(pv(spark, d), modes=4)
 
 
 @query()
@@ -718,6 +718,37 @@ def ensemble_predict(spark, d):
     return evaluate.metrics(models.ensemble(rows, bank, odds).withColumn("target", F.col("y")))
 
 
+# --- series in blocks of frequencies --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PV} SELECT series_id, count(*) AS n, sum(power * power) AS energy FROM pv GROUP BY series_id", "energy", 3)
+def spectrum_energy(spark, d):
+    """The energy of each series, from its distributed Fourier transform: the sum of squares over its length, by Parseval."""
+    found = modes.spectra(pv(spark, d))
+    twice = F.when((F.col("at") == 0) | (2 * F.col("at") == F.col("n")), 1.0).otherwise(2.0)
+    energy = F.sum(twice * (F.col("v")[0] ** 2 + F.col("v")[1] ** 2)) / F.first("n")
+    return found.groupBy(F.get_json_object("key", "$.series_id").alias("series_id")).agg(F.first("n").alias("n"), energy.alias("energy"))
+
+
+def _tones(spark, d) -> DataFrame:
+    """pv with two tones as power, of heights 3 and 2 and of a twentieth and a fifth of a cycle a row."""
+    at = F.col("rn") * (2 * float(np.pi))
+    return numbered(pv(spark, d)).withColumn("power", 3 * F.sin(at * 0.05) + 2 * F.cos(at * 0.2)).drop("rn")
+
+
+@query(f"WITH {PV} SELECT series_id, count(*) AS n, 3.0::DOUBLE AS low, 2.0::DOUBLE AS high FROM pv GROUP BY series_id", "low high")
+def vmd_planted_tones(spark, d):
+    """The heights of two planted tones, from the modes of series in blocks, however short."""
+    height = lambda c: F.round(F.sqrt(2 * F.avg(F.col(c) ** 2)), 0)
+    return modes.vmd(_tones(spark, d), modes=2, longest=0).groupBy("series_id").agg(F.count("*").alias("n"), height("imf1").alias("low"), height("imf2").alias("high"))
+
+
+@query(f"WITH {PV} SELECT DISTINCT series_id, mode, frequency FROM pv, (VALUES (1, 0.05::DOUBLE), (2, 0.2::DOUBLE)) t(mode, frequency)", "frequency", 2)
+def vmd_planted_centres(spark, d):
+    """Their frequencies, likewise."""
+    return modes.centre_frequencies(_tones(spark, d), modes=2, longest=0)
+
+
 # --- statements that hold of the rows above, which SQL can make ---------------------------------------------------------
 
 
@@ -726,7 +757,7 @@ def vmd_modes_cover(spark, d):
     """The modes of every row are there, and what they leave of the series is less than four fifths of its size. Series of
     events are noise, of which so few narrow modes can take no more."""
     x = pv(spark, d)
-    found = modes.vmd(x, modes=4, rounds=100).join(x.select("series_id", "row_id", "power"), ["series_id", "row_id"])
+    found = modes.vmd(x, modes=4).join(x.select("series_id", "row_id", "power"), ["series_id", "row_id"])
     off = F.col("power") - sum((F.col(f"imf{k}") for k in range(1, 5)), F.lit(0.0))
     return found.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("power").alias("total"), (F.sqrt(F.sum(off * off)) < 0.8 * F.sqrt(F.sum(F.col("power") ** 2))).alias("near"))
 
@@ -734,7 +765,7 @@ def vmd_modes_cover(spark, d):
 @query(f"WITH {PV} SELECT series_id, CAST(k AS INTEGER) AS mode, true AS within FROM (SELECT DISTINCT series_id FROM pv), range(1, 5) t(k)")
 def vmd_centres_rise(spark, d):
     """Centre frequencies lie between 0 and a half and rise with the mode's number."""
-    got = modes.centre_frequencies(pv(spark, d), modes=4, rounds=100)
+    got = modes.centre_frequencies(pv(spark, d), modes=4)
     before = F.coalesce(F.lag("frequency").over(Window.partitionBy("series_id").orderBy("mode")), F.lit(0.0))
     return got.select("series_id", "mode", ((F.col("frequency") >= before) & (F.col("frequency") <= 0.5)).alias("within"))
 
