@@ -2,68 +2,166 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunfold.runtime import shuffle_partitions
+from sunfold.runtime import cut, shuffle_partitions
 
 
 BLOCK = 4096  # rows of a block, which meets others in one task
+PIVOTS = 1024  # at most, whose distances from each other are on the driver and in every task
 
 
-def _blocks(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+@dataclass
+class Cells:
+    """Vectors dealt to the cells of pivots, and which cells must meet.
 
+    rows: (id, v, cell, d), d the distance from the cell's pivot. A row of cell r has all its k nearest within `reach` of it, so of
+    cell s only rows whose d is at least least[r, s] can be among them. sizes: rows of each cell; share: of all pairs of rows, those in
+    cells that must meet."""
 
-def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", blocks: int | None = None) -> DataFrame:
-    """(src, dst, d2, place): for each vector its k nearest others by squared distance, exactly; ties by id.
+    rows: DataFrame
+    sizes: np.ndarray
+    least: np.ndarray
+    must: np.ndarray
+    share: float
 
-    Rows are dealt into blocks of about BLOCK rows, or into `blocks`; each block meets each other block in one task, which
-    keeps the k best of each of its rows; the best of all are then taken from k rows for each block. Work is quadratic, as
-    exact search is; no task holds more than two blocks. For more rows than that allows use `knn_edges_hashed`."""
-    n = blocks or max(1, int(shuffle_partitions(df.sparkSession) ** 0.5 * 1.5), -(-df.count() // BLOCK))
-    rows = _blocks(df, key, vector, n)
-    left = rows.select("id", "v", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), F.lit(0).alias("side"))
-    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed by dimension, so that they are rounded alike in blocks of any size."""
+    d = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - y[None, :, j]) ** 2
+    return d
+
+
+def cells(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None) -> Cells | None:
+    """The cells of as many pivots as the root of the number of rows, PIVOTS at most: rows of least hash. None without rows.
+
+    By the triangle inequality, rows x of cell r and y of cell s are at least pivot distance - d(x) - d(y) apart; and any row of r has k
+    others within its own d, the pivots' distance, and the d of these rows, of which each cell's k + 1 smallest are known."""
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    n = rows.count()
+    if not n:
+        return None
+    many = pivots or min(PIVOTS, max(1, round(n**0.5)))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(many).dropDuplicates(["v"]).orderBy("id").toPandas()
+    p = np.stack(chosen["v"])
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
+                d = _distances(np.stack(part["v"]), p)
+                cell = d.argmin(1)
+                yield part.assign(cell=cell.astype("int32"), d=np.sqrt(d[np.arange(len(d)), cell]))
+
+    kind = df.schema[key].dataType.simpleString()
+    dealt = cut(rows.mapInPandas(assign, f"id {kind}, v array<double>, cell int, d double"))
+    few = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("d"))
+    near = dealt.select("cell", "d", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).withColumn("at", few).filter(F.col("at") <= k + 1)
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("d"))).filter(F.col("at") <= k + 1)
+    sizes, radius, smallest = np.zeros(len(p), np.int64), np.zeros(len(p)), np.full((len(p), k + 1), np.inf)
+    for cell, size, most in dealt.groupBy("cell").agg(F.count("*"), F.max("d")).collect():  # PIVOTS rows at most
+        sizes[cell], radius[cell] = size, most
+    for cell, at, d in near.select("cell", "at", "d").collect():  # PIVOTS * (k + 1) rows at most
+        smallest[cell, at - 1] = d
+    apart = np.sqrt(_distances(p, p))
+    reach = np.full(len(p), np.inf)
+    if n > k + 1:
+        for r in range(len(p)):
+            reach[r] = radius[r] + np.partition((apart[r][:, None] + smallest).ravel(), k)[k]
+    least = apart - (radius + reach)[:, None]
+    least -= 1e-9 * (apart + radius.max() + 1)  # for rounding
+    must = (least <= radius[None, :]) & (sizes > 0)[:, None] & (sizes > 0)[None, :]
+    return Cells(dealt, sizes, least, must, float((must * np.outer(sizes, sizes)).sum() / n**2))
+
+
+def _blocks(sizes: np.ndarray, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its block, and into how many its rows are dealt from there on: small cells share a block, a large one has several."""
+    first, pieces, block, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, of
+    for i, n in enumerate(sizes):
+        if n > of:
+            block += room < of
+            pieces[i] = -(-n // of)
+            first[i], block, room = block, block + pieces[i], of
+        else:
+            if n > room:
+                block, room = block + 1, of
+            first[i], room = block, room - n
+    return first, pieces
+
+
+def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int | None = None, pivots: int | None = None) -> DataFrame:
+    """(src, dst, d2, place): for each vector its k nearest others by squared distance, exactly; ties by id. Null vectors have none.
+
+    Rows are dealt to the cells of pivots and cells to blocks of at most `block` rows. A block meets only blocks with cells that may hold
+    neighbours (see `cells`), and of these only rows that may be some, in one task, which keeps the k best of each of its rows; the best of
+    all are then taken. How much that leaves out is up to the data: vectors without structure in many dimensions meet all others,
+    while in few dimensions the share that is met falls as rows grow."""
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"src {kind}, dst {kind}, d2 double"
+    found = cells(df, k, key, vector, pivots)
+    if found is None:
+        return df.sparkSession.createDataFrame([], schema + ", place long")
+    sc, n = df.sparkSession.sparkContext, int(found.sizes.sum())
+    order = np.argsort((found.must * found.sizes).sum(1), kind="stable")
+    own_first, own_pieces = _blocks(found.sizes[order], block or max(1, min(BLOCK, -(-n // max(1, int(shuffle_partitions(df.sparkSession) ** 0.5 * 1.5))))))
+    first, pieces = np.zeros_like(own_first), np.ones_like(own_pieces)
+    first[order], pieces[order] = own_first, own_pieces
+    total = int((first + pieces).max())
+    in_block = np.zeros((total, len(first)), bool)  # cells of a block
+    for c in range(len(first)):
+        in_block[first[c] : first[c] + pieces[c], c] = True
+    meets = [np.flatnonzero(in_block[:, found.must[c]].any(1)) for c in range(len(first))]  # blocks that a cell's rows look into
+    lowest = np.array([np.where(found.must[in_block[b]], found.least[in_block[b]], np.inf).min(0) for b in range(total)])  # by block and cell that is looked into
+    plan = sc.broadcast((found.least, found.must, first, pieces, meets, lowest))  # PIVOTS squared at most, and blocks by PIVOTS
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, _, first, pieces, meets, lowest = plan.value
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                cell, d = part["cell"].to_numpy(), part["d"].to_numpy()
+                own = first[cell] + (pd.util.hash_array(part["id"].to_numpy()) % pieces[cell].astype(np.uint64)).astype(np.int64)
+                looks = [meets[c] for c in cell]
+                seen = [np.flatnonzero(lowest[:, c] <= x) for c, x in zip(cell, d, strict=True)]
+                for side, others in ((0, looks), (1, seen)):
+                    sizes = [len(o) for o in others]
+                    if sum(sizes):
+                        out = part.loc[part.index.repeat(sizes)].assign(side=np.int32(side))
+                        a, o = np.repeat(own, sizes), np.concatenate(others).astype(np.int64)
+                        yield out.assign(a=a if side == 0 else o, b=o if side == 0 else a)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        least, must, *_ = plan.value
         x, y = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"src": [], "dst": [], "d2": []})
-        xv, yv, xi, yi = np.stack(x["v"]), np.stack(y["v"]), x["id"].to_numpy(), y["id"].to_numpy()
         out = []
-        for at in range(0, len(xv), 256):
-            d = np.zeros((len(xv[at : at + 256]), len(yv)))
-            for j in range(xv.shape[1]):  # so that a distance is rounded alike in blocks of any size
-                d += (xv[at : at + 256, j, None] - yv[None, :, j]) ** 2
-            d[xi[at : at + 256, None] == yi[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            val = np.take_along_axis(d, best, 1)
-            out.append(pd.DataFrame({"src": np.repeat(xi[at : at + 256], best.shape[1]), "dst": yi[best].ravel(), "d2": val.ravel()}))
-        return pd.concat(out)[lambda f: np.isfinite(f["d2"])]
-
-    some = left.unionAll(right).groupBy("a", "b").applyInPandas(meet, "src long, dst long, d2 double")
+        for c, own in x.groupby("cell"):
+            other = y["cell"].to_numpy()
+            near = y[must[c, other] & (y["d"].to_numpy() >= least[c, other])]
+            if not len(near):
+                continue
+            xi, yi, yv = own["id"].to_numpy(), near["id"].to_numpy(), np.stack(near["v"])
+            for at in range(0, len(own), 256):
+                d = _distances(np.stack(own["v"].iloc[at : at + 256]), yv)
+                d[xi[at : at + 256, None] == yi[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"src": np.repeat(xi[at : at + 256], best.shape[1]), "dst": yi[best].ravel(), "d2": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out)[lambda f: np.isfinite(f["d2"])] if out else pd.DataFrame({"src": [], "dst": [], "d2": []})
+
+    dealt = found.rows.mapInPandas(deal, f"id {kind}, v array<double>, cell int, d double, side int, a long, b long")
+    some = dealt.groupBy("a", "b").applyInPandas(meet, schema)
     place = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
     return some.withColumn("place", place.cast("long")).filter(F.col("place") <= k)
 
 
-def knn_edges_hashed(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", width: float = 2.0, tables: int = 6, radius: float = 10.0) -> DataFrame:
-    """(src, dst, d2, place) like knn_edges, among pairs within `radius` that share a bucket of random projections: misses some, needs no quadratic work."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    x = df.select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(x)
-    pairs = model.approxSimilarityJoin(x, x, radius, "d").filter("datasetA.id <> datasetB.id")
-    edges = pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), (F.col("d") * F.col("d")).alias("d2"))
-    place = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    return edges.withColumn("place", place.cast("long")).filter(F.col("place") <= k)
-
-
 def similarity(edges: DataFrame, sigma: float = 1.0, mode: str = "mutual") -> DataFrame:
     """(src, dst, w) in both directions, w = exp(-d2 / (2 sigma^2)). mutual: edges that both ends have; union: the mean of both, 0 for a missing one."""
     w = edges.select("src", "dst", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("w"))
@@ -92,23 +190,87 @@ def sparsity(graph: DataFrame, nodes: int, value: str = "w", dense_gb: float = 1
     return one.select(F.lit(nodes).cast("long").alias("nodes"), "nnz", density.alias("density"), (F.col("nnz") / nodes).alias("mean_row"), F.when(F.col("__rows") < nodes, 0).otherwise(F.col("least")).alias("min_row"), F.col("most").alias("max_row"), F.lit(dense).alias("dense_mb"), (F.col("nnz") * 16 / 2**20 + (nodes + 1) * 8 / 2**20).alias("sparse_mb"), ((1 - density > 0.9) & F.lit(dense > dense_gb * 1024)).alias("use_sparse"))
 
 
-def smallest_eigenvectors(lap: DataFrame, d: int, shift: float = 0.0, rounds: int = 60, seed: int = 42) -> DataFrame:
-    """(node, f array): the d smallest eigenvectors of the Laplacian, by subspace iteration on 2 I - L.
+@dataclass
+class Eigen:
+    """What smallest_eigenvectors found: a table (node, f) of orthonormal vectors, and for each its eigenvalue and the norm of L f - value f."""
 
-    The vectors are a table, a row for each node; a round is a join of edges with it, and a d by d Gram matrix to the
-    driver, which orthonormalises. Nothing of the nodes' number passes the driver."""
-    from sunfold.runtime import cut
+    vectors: DataFrame
+    values: np.ndarray
+    residuals: np.ndarray
+    products: int  # of the Laplacian with the vectors
 
-    nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
-    start = F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(d)))
-    now = _orthonormal(nodes.withColumn("f", start), d)
+
+def _times(lap: DataFrame, now: DataFrame, d: int, kept: Sequence[str]) -> DataFrame:
+    """(node, kept, times): the arrays of `kept` and the Laplacian's product with the last of them, by one join and one aggregate. A
+    node's own arrays come through its diagonal entry."""
+    y = kept[-1]
+    met = lap.join(now, lap["dst"] == now["node"])
+    own = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
+    sums = [*(F.sum(own * F.col(c)[j]).alias(f"{c}{j}") for c in kept for j in range(d)), *(F.sum(F.col("l") * F.col(y)[j]).alias(f"times{j}") for j in range(d))]
+    got = met.groupBy("src").agg(*sums)
+    return got.select(F.col("src").alias("node"), *(F.array(*(F.col(f"{c}{j}") for j in range(d))).alias(c) for c in (*kept, "times")))
+
+
+def _combined(terms: Sequence[tuple[str, float]]) -> Column:
+    """A sum of arrays, each times a number."""
+    scaled = [F.transform(c, lambda v: v * F.lit(float(x))) for c, x in terms]
+    return reduce(lambda a, b: F.zip_with(a, b, lambda u, v: u + v), scaled)
+
+
+def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int = 10, rounds: int = 40, more: int | None = None, seed: int = 42) -> Eigen:
+    """The d eigenvectors of the Laplacian with the smallest eigenvalues, by subspace iteration under Chebyshev filters.
+
+    Of a block of d + more vectors, small matrices of inner products give the best approximations within their span and how far
+    these are from eigenvectors (Rayleigh-Ritz). Until the first d are within `tol`, a polynomial of the Laplacian that is small from the
+    block's largest value on and grows fast below it is applied. RuntimeError if `rounds` filters don't suffice. The vectors are a table,
+    a row for each node; a factor of the polynomial is a join with the edges and an aggregate, and only small matrices pass the driver.
+    Where there are fewer than d nodes, there are as many vectors. Equal eigenvalues have any basis of their space."""
     lap = cut(lap)
-    for _ in range(rounds):
-        parts = lap.join(now, lap["dst"] == now["node"]).select("src", F.col("l"), "f")
-        times = parts.groupBy("src").agg(*(F.sum(F.col("l") * F.col("f")[j]).alias(f"x{j}") for j in range(d)))
-        new = times.join(now, times["src"] == now["node"]).select("node", F.array(*((2.0 + shift) * F.col("f")[j] - F.col(f"x{j}") for j in range(d))).alias("f"))
-        now = _orthonormal(cut(new), d)  # cut, since the Gram matrix and the next round both read it
-    return now
+    nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
+    n = nodes.count()
+    d = min(d, n)
+    size = min(n, d + (max(4, d // 2) if more is None else more))
+    if not d:
+        return Eigen(nodes.select("node", F.array().cast("array<double>").alias("f")), np.empty(0), np.empty(0), 0)
+    now = nodes.select("node", F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(size))).alias("y"))
+    products = 0
+    for round_ in range(rounds + 1):
+        both = cut(_times(lap, now, size, ["y"]).select("node", F.concat("y", "times").alias("x")))
+        products += 1
+        g = gram(both, "x", 2 * size)
+        length = np.sqrt(np.maximum(np.diag(g)[:size], 1e-300))
+        scale, basis = np.linalg.eigh(g[:size, :size] / np.outer(length, length))
+        basis = basis[:, scale > 1e-13] / np.sqrt(scale[scale > 1e-13]) / length[:, None]
+        values, turn = np.linalg.eigh(basis.T @ g[:size, size:] @ basis)
+        turn = basis @ turn
+        off = np.einsum("ij,ij->j", turn, g[size:, size:] @ turn) - values**2
+        size = turn.shape[1]
+        both = both.select("node", F.slice("x", 1, len(turn)).alias("y"))
+        now = project(both, "y", turn, "f").select("node", F.col("f").alias("y"))
+        residuals = np.sqrt(np.maximum(off, 0))
+        if residuals[:d].max() <= tol or size == n:
+            return Eigen(cut(now.select("node", F.slice("y", 1, d).alias("f"))), np.maximum(values[:d], 0), residuals[:d], products)
+        if round_ == rounds:
+            break
+        high = 2.0 + 1e-9
+        low = max(float(values[-1]), float(values[d - 1]) * 0.9 + 0.1 * high, 1e-3)  # above the last one wanted, even if the whole block is as large
+        e, c = (high - low) / 2, (high + low) / 2
+        least = min(float(values[0]), low / 2)
+        steps = max(1, min(degree, int(np.arccosh(1e5) / np.arccosh((c - least) / e))))  # or vectors become too much alike to be told apart
+        sigma = e / (least - c)
+        step = _times(lap, now, size, ["y"])
+        now = step.select("node", F.col("y").alias("x"), _combined([("times", sigma / e), ("y", -c * sigma / e)]).alias("y"))
+        tau = 2 / sigma
+        for i in range(2, steps + 1):
+            new = 1 / (tau - sigma)
+            step = _times(lap, now, size, ["x", "y"])
+            now = step.select("node", F.col("y").alias("x"), _combined([("times", 2 * new / e), ("y", -2 * c * new / e), ("x", -sigma * new)]).alias("y"))
+            sigma = new
+            if i % 4 == 0:
+                now = cut(now)
+        products += steps
+        now = cut(now.select("node", "y"))
+    raise RuntimeError(f"{rounds} filters left residuals of {residuals[:d].max():.2g}")
 
 
 def gram(df: DataFrame, vector: str, d: int) -> np.ndarray:
@@ -132,27 +294,48 @@ def project(df: DataFrame, vector: str, matrix: np.ndarray, out: str = "projecte
     return df.withColumn(out, F.array(*columns))
 
 
-def _orthonormal(f: DataFrame, d: int) -> DataFrame:
-    """The same span with orthonormal columns, by the Gram matrix's eigenvectors."""
-    values, vectors = np.linalg.eigh(gram(f, "f", d))
-    scale = np.where(values > 1e-12 * max(1e-300, values.max()), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
-    return project(f, "f", vectors * scale, "f")
-
-
-def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v", key: str = "id", alpha: float = 2.0**-10, beta: float = 0.1, rounds: int = 20, tol: float = 1e-5, eigen_rounds: int = 60) -> tuple[np.ndarray, list[float]]:
-    """(A, changes): a projection (m by d) that follows the graph, by alternating directions.
-
-    F starts as the d smallest eigenvectors; where A is not 0, F moves towards X A and is made orthonormal again. A's
-    columns are solved in turn with the diagonal of X^T X, and a column lives only if its residual exceeds
-    beta / (2 alpha). F is always a sum F0 B + X C of fixed tables, so all rounds work with small Gram matrices:
-    X^T X, X^T F0 and F0^T F0 are one pass over the rows."""
-    f0 = smallest_eigenvectors(lap, d, alpha, eigen_rounds)
-    joined = rows.join(f0, rows[key] == f0["node"]).select(F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("x"))
+@dataclass
+class Projection:
+    """What learn_projection found: the matrix (m by d), the history of its rounds, why it stopped, and the graph's eigenvalues."""
+
+    matrix: np.ndarray
+    changes: list[float]
+    objectives: list[float]
+    stopped: str
+    values: np.ndarray
+
+
+def stop_reason(changes: Sequence[float], objectives: Sequence[float], tol: float) -> str:
+    """Why iterations stop after these relative changes and objectives; "" to go on. Stopped for a small change; for an objective
+    that fell by less than a ten-thousandth over five rounds; for three small changes in a row; for a fairly small one after twenty rounds."""
+    i = len(changes) - 1
+    if changes[-1] < tol:
+        return "converged"
+    if i >= 5 and (objectives[-5] - objectives[-1]) / (abs(objectives[-5]) + 1e-10) < 1e-4:
+        return "objective stands still"
+    if i >= 3 and max(changes[-3:]) < 10 * tol:
+        return "small changes"
+    if i >= 20 and changes[-1] < 50 * tol:
+        return "converged slowly"
+    return ""
+
+
+def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v", key: str = "id", alpha: float = 2.0**-10, beta: float = 0.1, rounds: int = 20, tol: float = 1e-5, **eigen) -> Projection:
+    """A projection (m by d) that follows the graph, by alternating directions.
+
+    F starts as the d smallest eigenvectors (see smallest_eigenvectors for `eigen`); where A is not 0, F moves towards X A and is made
+    orthonormal again. A's columns are solved in turn with the diagonal of X^T X, and a column lives only if its residual exceeds
+    beta / (2 alpha). F is always a sum F0 B + X C of fixed tables, so all rounds work with small matrices of inner products, of the tables
+    and of their products with the Laplacian, which are one pass each. Rounds end by `stop_reason`, not before the second."""
+    found = smallest_eigenvectors(lap, d, **eigen)
+    f0, d = found.vectors, len(found.values)
     m = len(rows.select(vector).first()[0])
-    g = gram(joined, "x", m + d)
+    joined = cut(rows.join(f0, rows[key] == f0["node"]).select("node", F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("y")))
+    both = gram(_times(lap, joined, m + d, ["y"]).select(F.concat("y", "times").alias("x")), "x", 2 * (m + d))
+    g, gl = both[: m + d, : m + d], both[: m + d, m + d :]
     xx, xf, ff = g[:m, :m], g[:m, m:], g[m:, m:]
     a, b, c = np.zeros((m, d)), np.eye(d), np.zeros((m, d))  # F = F0 b + X c
-    changes, cut = [], beta / (2 * alpha)
+    changes, objectives, why, limit = [], [], "", beta / (2 * alpha)
     for _ in range(rounds):
         old = b, c
         if a.any():
@@ -167,15 +350,17 @@ def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v",
         for j in range(d):
             r = target[:, j] if j == 0 else target[:, j] - xx @ a[:, j] + diag * a[:, j]
             norm = np.linalg.norm(r)
-            if norm > cut:
-                new[:, j] = (1 - cut / norm) * r / diag
+            if norm > limit:
+                new[:, j] = (1 - limit / norm) * r / diag
         a = new
-        db, dc = b - old[0], c - old[1]
-        moved = np.trace(db.T @ ff @ db) + 2 * np.trace(dc.T @ xf @ db) + np.trace(dc.T @ xx @ dc)
-        changes.append(float(np.sqrt(max(moved, 0)) / max(np.sqrt(d), 1e-10)))
-        if len(changes) > 1 and changes[-1] < tol:
+        whole = np.vstack([c, b])  # F in terms of X and F0
+        off = np.vstack([a - c, -b])
+        objectives.append(float(np.trace(whole.T @ gl @ whole) + alpha * np.trace(off.T @ g @ off) + beta * np.linalg.norm(a, axis=0).sum()))
+        moved = np.vstack([c - old[1], b - old[0]])
+        changes.append(float(np.sqrt(max(np.trace(moved.T @ g @ moved), 0)) / max(np.sqrt(d), 1e-10)))
+        if len(changes) > 1 and (why := stop_reason(changes, objectives, tol)):
             break
-    return a, changes
+    return Projection(a, changes, objectives, why or "rounds over", found.values)
 
 
 def reconstruction_error(df: DataFrame, vector: str, matrix: np.ndarray) -> DataFrame:

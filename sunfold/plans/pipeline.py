@@ -111,8 +111,9 @@ def _learnt(rows: DataFrame, folder: str, config: Config) -> tuple[DataFrame, di
         r = embed.reconstruction(out.filter("split = 'train'"), names, known.get("weights"), max(config.embedding, len(names)))
         r = cut(r.select(F.xxhash64("series_id", "ts", "row_id").alias("id"), F.col("r").alias("v")).orderBy("id").limit(config.projection_rows))
         lap = graph.laplacian(graph.similarity(graph.knn_edges(r, key="id", vector="v"), mode="union"))
-        a, _ = graph.learn_projection(r, lap, config.projection, alpha=config.projection_alpha)
-        known["projection"] = a.tolist()
+        found = graph.learn_projection(r, lap, config.projection, alpha=config.projection_alpha)
+        known["projection"] = found.matrix.tolist()
+        known["projection_history"] = {"changes": found.changes, "objectives": found.objectives, "stopped": found.stopped}
     return out, known
 
 

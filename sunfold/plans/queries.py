@@ -483,6 +483,21 @@ def sparsity_report(spark, d):
     return graph.sparsity(graph.knn_edges(x), x.count(), "d2").select("nodes", "nnz", "density", "mean_row", F.col("min_row").cast("long").alias("min_row"), "max_row")
 
 
+@query("""WITH n AS (SELECT count(*) AS n, CAST(floor(pow(count(*), 1.0::DOUBLE / 3) + 1e-9::DOUBLE) AS BIGINT) AS s FROM supplier),
+ v AS (SELECT 1 - (cos(2 * pi() * k / n) + cos(2 * pi() * k * s / n) + cos(2 * pi() * k * s * s / n)) / 3 AS value FROM n, range(0, (SELECT count(*) FROM supplier)) t(k))
+ SELECT CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS place, value, true AS orthonormal FROM v QUALIFY place <= 5""", "value", 6)
+def ring_eigenvalues(spark, d):
+    """The five smallest eigenvalues of a ring of all suppliers with chords of length s and s^2, s the cube root of their number,
+    whose spectrum is known, and whether their vectors are orthonormal."""
+    ring = table(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("i"))
+    n = ring.count()
+    s = int(n ** (1 / 3) + 1e-9)
+    to = F.explode(F.array(*(F.pmod(F.col("i") + F.lit(o), F.lit(n)) for o in (1, s, s * s, -1, -s, -s * s)))).cast("long").alias("dst")
+    found = graph.smallest_eigenvectors(graph.laplacian(ring.select(F.col("i").cast("long").alias("src"), to, F.lit(1.0).alias("w"))), 5)
+    whole = bool(np.abs(graph.gram(found.vectors, "f", 5) - np.eye(5)).max() < 1e-6)
+    return spark.createDataFrame([(i + 1, float(v), whole) for i, v in enumerate(found.values)], "place long, value double, orthonormal boolean")
+
+
 @query("SELECT vec_id, " + ", ".join(f"list_sum([e * cos(i * {j + 1}) for e, i in embedding::DOUBLE[]]) AS p{j}" for j in range(3)) + " FROM embeddings", "p0 p1 p2")
 def linear_projection(spark, d):
     x = _unit(spark, d)
@@ -690,7 +705,7 @@ def nca_weights(spark, d):
 def admm_mapping(spark, d):
     x = _unit(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     lap = graph.laplacian(graph.similarity(graph.knn_edges(x, key="id", vector="v"), mode="union"))
-    a, _ = graph.learn_projection(x, lap, 3, alpha=0.5, rounds=5, eigen_rounds=10)
+    a = graph.learn_projection(x, lap, 3, alpha=0.5).matrix
     return graph.project(x, "v", a).select("id", *(F.col("projected")[j].alias(f"f{j}") for j in range(3)))
 
 

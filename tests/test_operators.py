@@ -115,16 +115,17 @@ def test_laplacian_rows_and_eigenvectors(spark):
         m[a, b] = v
     d = np.array([2, 3, 3, 2]) ** 0.5
     assert np.allclose(m @ d, 0) and np.allclose(m, m.T)
-    f = {r["node"]: r["f"] for r in graph.smallest_eigenvectors(lap, 1, rounds=12).collect()}
+    found = graph.smallest_eigenvectors(lap, 1)
+    f = {r["node"]: r["f"] for r in found.vectors.collect()}
     v = np.array([f[i][0] for i in range(4)])
-    assert abs(v @ d) / np.linalg.norm(d) == pytest.approx(1, abs=1e-3)
+    assert abs(v @ d) / np.linalg.norm(d) == pytest.approx(1, abs=1e-6) and found.values == pytest.approx([0], abs=1e-9)
 
 
 def test_knn_is_exact(spark):
     x = np.random.default_rng(2).normal(size=(60, 5)).round(4)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in graph.knn_edges(df, 3, blocks=3).collect():
+    for r in graph.knn_edges(df, 3, block=20).collect():
         got.setdefault(r["src"], []).append((r["d2"], r["dst"]))
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)

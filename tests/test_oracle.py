@@ -6,7 +6,7 @@ import pytest
 from sunfold.plans import queries as registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"admm_mapping", "nca_weights"}  # covered by unit tests of their parts
+SLOW = {"nca_weights"}  # covered by unit tests of its parts
 
 
 @pytest.fixture(scope="module")
