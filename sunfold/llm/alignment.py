@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,8 @@ def _pieces(model: bytes) -> PieceBytes:
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ends, owner in a, owner in b, whether both end there) of the elementary intervals of two rising lists of ends."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # of two rising runs, which a stable sort merges
+    ends = ends[np.r_[np.ones(min(1, len(ends)), bool), ends[1:] != ends[:-1]]]  # their union
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     return ends, a, b, ends_a[a] == ends_b[b]
 
@@ -88,7 +90,7 @@ def _aligned(texts: list[str | None], bpe, pieces: PieceBytes, whole: bool) -> t
     ids_a, at_a = bpe.encode(texts, " ")
     lists = pieces.model.encode([t or "" for t in texts], num_threads=1)
     n_b = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids_b, at_b = np.fromiter((i for x in lists for i in x), np.int32, int(n_b.sum())), np.r_[0, np.cumsum(n_b)]
+    ids_b, at_b = np.fromiter(chain.from_iterable(lists), np.int32, int(n_b.sum())), np.r_[0, np.cumsum(n_b)]
     (bytes_a, start_a), (bytes_b, start_b) = (_bytes(m.table.take(pa.array(x))) for m, x in ((bpe, ids_a), (pieces, ids_b)))
     keep = np.zeros(len(texts), bool)
     for i, t in enumerate(texts):

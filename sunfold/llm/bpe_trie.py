@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +83,12 @@ class ByteBpe:
         for made, (at, x, y) in sorted(self._halves.items(), key=lambda h: h[1][0]):
             if at >= 0 and self.bytes_of[x] in self.built and self.bytes_of[y] in self.built and self._uncrossed(x, y, True):
                 self.built[self.bytes_of[made]] = made
-        ends: dict[int, set[int]] = {}
-        for s in self.built:
-            ends.setdefault(s[-1], set()).add(len(s))
-        self.lengths = [sorted(ends[b], reverse=True) for b in range(256)]  # of the tokens that end with each byte
+        self._longer: dict[bytes, list[int]] = {}  # by a token's last three bytes, the lengths above three, falling
+        for x in {(t[-3:], len(t)) for t in self.built if len(t) > 3}:
+            self._longer.setdefault(x[0], []).append(x[1])
+        for lengths in self._longer.values():
+            lengths.sort(reverse=True)
+        self._tails: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self.table = pa.array(self.bytes_of, pa.binary())
         self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.special = {a["content"]: a["id"] for a in added} if special else {}
@@ -144,9 +147,16 @@ class ByteBpe:
             return self._find(text)
         return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
+    def _tail(self, tail: bytes) -> tuple[tuple[int, int], ...]:
+        """What a prefix that ends in these three bytes, or is these fewer, may end in: lengths, falling, each with its token, or -1
+        if that depends on the bytes before."""
+        longer = [(n, -1) for n in self._longer.get(tail, ())] if len(tail) == 3 else []
+        known = self._tails[tail] = (*longer, *((n, self.built[tail[-n:]]) for n in range(len(tail), 0, -1) if tail[-n:] in self.built))
+        return known
+
     def traverse(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of each of the distinct, sorted words. The stack `last` has the last token of each prefix on the path from the trie's root."""
-        token, lengths, sizes, apart = self.built.get, self.lengths, self.sizes.tolist(), self._apart
+        token, tails, sizes, apart = self.built.get, self._tails, self.sizes.tolist(), self._apart
         before, last = b"", [-1]
         for word in words:
             shared, most = 0, min(len(word), len(before))
@@ -154,11 +164,13 @@ class ByteBpe:
                 shared += 1
             del last[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                for n in lengths[word[depth - 1]]:
-                    if n <= depth and (t := token(word[depth - n : depth])) is not None:
-                        if n == depth or apart.get(last[depth - n] << 32 | t) or self.stay_apart(last[depth - n], t):
-                            last.append(t)
-                            break
+                tail = word[depth - 3 if depth > 3 else 0 : depth]
+                for n, t in tails.get(tail) or self._tail(tail):
+                    if t < 0 and (n > depth or (t := token(word[depth - n : depth], -1)) < 0):
+                        continue
+                    if n == depth or apart.get(last[depth - n] << 32 | t) or self.stay_apart(last[depth - n], t):
+                        last.append(t)
+                        break
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
@@ -176,7 +188,7 @@ class ByteBpe:
         got = [*self.traverse([b for b, _ in plain]), *([self.special[w[0]]] for w in marks)]
         for w in (*(w for _, w in plain), *marks):
             self.number[w] = len(self.number)
-        self._flat = np.concatenate([self._flat, np.fromiter((i for x in got for i in x), np.int32)])
+        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(got), np.int32)])
         self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
 
     def encode(self, texts: list[str | None], lead: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +197,7 @@ class ByteBpe:
         if len(self.number) > _KNOWN:
             self.forget()
         words = [self.words(lead + t) if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
+        flat = list(chain.from_iterable(words))
         self._learn(flat)
         use = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         n = self._ends[use + 1] - self._ends[use]
