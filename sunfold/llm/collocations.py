@@ -28,6 +28,7 @@ from sunfold.runtime import cut, shuffle_partitions
 
 _WORDS, _TEXTS = 0, 1
 _SLICE = 1 << 20  # bytes of text that are numbered at once
+_BATCH = 1 << 16  # runs that are handed on at once
 _BUCKETS = 4096  # of words, that are given ids apart
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -54,19 +55,12 @@ def runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return hi[start], lo[start], np.diff(np.r_[start, len(hi)])
 
 
-def keys_of(ids: np.ndarray, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all n-grams of 2 to `longest` ids that no 0 interrupts."""
-    hi, lo = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    whole = ids != 0
-    for n in range(2, longest + 1):
-        m = len(ids) - n + 1
-        if m <= 0:
-            break
-        whole = whole[:m] & (ids[n - 1 :] != 0)
-        at = np.flatnonzero(whole)
-        hi.append(ids[at] << 32 | ids[at + 1])
-        lo.append((ids[at + 2] << 32 if n > 2 else np.zeros(len(at), np.int64)) | (ids[at + 3] if n > 3 else 0))
-    return np.concatenate(hi), np.concatenate(lo)
+def keys_of(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all n-grams of ids (2 to 4 of them) that no 0 interrupts."""
+    m = max(0, len(ids) - n + 1)
+    at = np.flatnonzero(np.logical_and.reduce([ids[j : j + m] != 0 for j in range(n)]))
+    part = [ids[at + j] if j < n else np.zeros(len(at), np.int64) for j in range(4)]
+    return part[0] << 32 | part[1], part[2] << 32 | part[3]
 
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -166,7 +160,7 @@ def _wide(c: str) -> str:
     return f"cast({c} as decimal(19, 0))"
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, inside: int = 80, block_mb: int = 16) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, inside: int = 80, block_mb: int = 8) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the `top` phrases of each language by score.
 
     Texts are lower-cased (A-Z) and split at `[.,;:!?\\x0A-\\x0D]` into pieces and these into words `[^\\x20\\x09]+`. A phrase of 2 to
@@ -204,8 +198,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                 seq = np.concatenate(seqs)
                 id_of = np.zeros(int(max(seq.max(), where.max())) + 1, np.int64)
                 id_of[where] = which
-                hi, lo, n = runs(*keys_of(id_of[seq], longest))
-                yield pa.record_batch([pa.array(hi), pa.array(lo), pa.array(n)], ["hi", "lo", "n"])
+                seq = id_of[seq]
+                for n in range(2, longest + 1):  # one length at a time, and in small batches, for less memory
+                    columns = runs(*keys_of(seq, n))
+                    for low in range(0, len(columns[0]), _BATCH):
+                        yield pa.record_batch([pa.array(c[low : low + _BATCH]) for c in columns], ["hi", "lo", "n"])
 
         for batch in batches:
             blocks, kinds = np.asarray(batch["block"]), np.asarray(batch["kind"])
