@@ -1,8 +1,10 @@
 """Collocations: phrases of two to four words that occur together more than their parts would.
 
 Words that are frequent enough have dictionary ids; everywhere else pieces break, since a phrase is no more frequent than its words.
-An n-gram is four ids of 32 bits, absent ones 0, in a key of 128 bits that is held as two numbers. A task radix-sorts the
-keys of a block of texts and counts runs; the runs are range-partitioned by key and added up there.
+An n-gram is four ids of 32 bits, absent ones 0, in a key of 128 bits that is held as two numbers. Every word gives one key, of the
+words from it on; sorted keys hold the shorter n-grams as runs of equal prefixes. A task radix-sorts the keys of a block of texts
+and counts runs; these are range-partitioned and sorted by key, and runs of two, three and four ids are counted in passing. A run that
+ends with its range may go on in the next, so its parts are added up; of all others only frequent ones leave the task.
 
 Texts are read once: a task packs a block of them as numbers of the block's own words, and names each word of the block once,
 with its count. Words are counted over blocks, and each block gets the ids of its words back. So a word or a phrase,
@@ -55,12 +57,50 @@ def runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return hi[start], lo[start], np.diff(np.r_[start, len(hi)])
 
 
-def keys_of(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all n-grams of ids (2 to 4 of them) that no 0 interrupts."""
-    m = max(0, len(ids) - n + 1)
-    at = np.flatnonzero(np.logical_and.reduce([ids[j : j + m] != 0 for j in range(n)]))
-    part = [ids[at + j] if j < n else np.zeros(len(at), np.int64) for j in range(4)]
-    return part[0] << 32 | part[1], part[2] << 32 | part[3]
+def keys_of(ids: np.ndarray, longest: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word that another follows: it and the words after it, `longest` at most, up to the first 0."""
+    m = max(0, len(ids) - 1)
+    ids = np.r_[ids, np.zeros(2, np.int64)]
+    at = np.flatnonzero((ids[:m] != 0) & (ids[1 : m + 1] != 0))
+    third = ids[at + 2] if longest > 2 else np.zeros(len(at), np.int64)
+    fourth = np.where(third != 0, ids[at + 3] if longest > 3 else 0, 0)
+    return ids[at] << 32 | ids[at + 1], third << 32 | fourth
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams that sorted keys (hi, lo, n) begin with: those of at least `least`, and, however few, those of a
+    partition's first and last key, which may have more elsewhere."""
+    masks = [0, ~((1 << 32) - 1), -1][: longest - 1]  # what two, three and four ids keep of lo
+    marks = [None, 32, 0]  # where lo has the last of them
+    open_: list[tuple[int, int, int, bool] | None] = [None] * len(masks)  # of each length the run that may go on, and whether it is the partition's first
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], ["hi", "lo", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hi, whole, n = (np.asarray(batch[c]) for c in ("hi", "lo", "n"))
+        out = []
+        for i, mask in enumerate(masks):
+            lo = whole & mask
+            start = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            x, y, total = hi[start], lo[start], np.add.reduceat(n, start)
+            edge = np.zeros(len(start), bool)
+            if open_[i] is None:
+                edge[0] = True
+            elif (x[0], y[0]) == open_[i][:2]:
+                total[0] += open_[i][2]
+                edge[0] = open_[i][3]
+            else:  # it has ended with the batch before
+                x, y, total, edge = np.r_[open_[i][0], x], np.r_[open_[i][1], y], np.r_[open_[i][2], total], np.r_[open_[i][3], edge]
+            open_[i] = (int(x[-1]), int(y[-1]), int(total[-1]), bool(edge[-1]))
+            keep = ((total >= least) | edge)[:-1] & (True if marks[i] is None else (y[:-1] >> marks[i] & 0xFFFFFFFF) != 0)
+            out.append((x[:-1][keep], y[:-1][keep], total[:-1][keep]))
+        yield rows(out)
+    last = [(np.array([x]), np.array([y]), np.array([n])) for i, (x, y, n, _) in enumerate(filter(None, open_)) if marks[i] is None or y >> marks[i] & 0xFFFFFFFF]
+    if last:
+        yield rows(last)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -198,11 +238,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                 seq = np.concatenate(seqs)
                 id_of = np.zeros(int(max(seq.max(), where.max())) + 1, np.int64)
                 id_of[where] = which
-                seq = id_of[seq]
-                for n in range(2, longest + 1):  # one length at a time, and in small batches, for less memory
-                    columns = runs(*keys_of(seq, n))
-                    for low in range(0, len(columns[0]), _BATCH):
-                        yield pa.record_batch([pa.array(c[low : low + _BATCH]) for c in columns], ["hi", "lo", "n"])
+                columns = runs(*keys_of(id_of[seq], longest))
+                for low in range(0, len(columns[0]), _BATCH):
+                    yield pa.record_batch([pa.array(c[low : low + _BATCH]) for c in columns], ["hi", "lo", "n"])
 
         for batch in batches:
             blocks, kinds = np.asarray(batch["block"]), np.asarray(batch["kind"])
@@ -220,7 +258,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
 
     dealt = answers.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind", "at")
     some = dealt.mapInArrow(count_runs, "hi long, lo long, n long")
-    found = cut(some.repartitionByRange(parts, "hi", "lo").groupBy("hi", "lo").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
+    sorted_ = some.repartitionByRange(parts, "hi", "lo").sortWithinPartitions("hi", "lo")
+    prefixes = sorted_.mapInArrow(lambda b: _prefixes(b, least, longest), "hi long, lo long, n long")
+    found = cut(prefixes.groupBy("hi", "lo").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
 
     ids = _ids(F.col("hi"), F.col("lo"))
     known = found.unionByName(words.select(F.shiftleft("id", 32).alias("hi"), F.lit(0).cast("long").alias("lo"), F.col("f").alias("a")))

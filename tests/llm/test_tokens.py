@@ -262,3 +262,24 @@ def test_radix_runs():
     x, y, n = collocations.runs(hi, lo)
     assert list(zip(x.tolist(), y.tolist(), n.tolist(), strict=True)) == sorted((a, b, c) for (a, b), c in Counter(zip(hi.tolist(), lo.tolist(), strict=True)).items())
     assert all(len(v) == 0 for v in collocations.runs(hi[:0], lo[:0]))
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_prefixes_of_sorted_keys(longest):
+    """Counts by batches of any size and over any cut into partitions, against counting n-grams."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(longest)
+    ids = rng.integers(0, 4, 3000)
+    want = Counter(tuple(ids[i : i + n]) for n in range(2, longest + 1) for i in range(len(ids) - n + 1) if all(ids[i : i + n]))
+    columns = collocations.runs(*collocations.keys_of(ids, longest))
+    for size, cuts in ((1, []), (7, [20, 21]), (1000, [1, len(columns[0]) // 2])):
+        got, kept = Counter(), 0
+        for part in np.split(np.arange(len(columns[0])), cuts):
+            batches = [pa.record_batch([pa.array(c[part[i : i + size]]) for c in columns], ["hi", "lo", "n"]) for i in range(0, len(part), size)]
+            for b in collocations._prefixes(iter(batches), 50, longest):
+                kept += b.num_rows
+                for x, y, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    got[tuple(v for v in (x >> 32, x & 0xFFFFFFFF, y >> 32, y & 0xFFFFFFFF) if v)] += n
+        assert {k: n for k, n in got.items() if n >= 50} == {tuple(map(int, k)): n for k, n in want.items() if n >= 50} and kept < 6 * (len(cuts) + 1) + len(want)
+    assert not list(collocations._prefixes(iter([]), 50, longest))
