@@ -24,9 +24,16 @@ _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i
 _AROUND = set("nav header footer aside form dialog menu article main section div ul ol table figure body details fieldset datalist option".split())
 _SIDE = set("nav footer aside form dialog menu fieldset datalist option".split())
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|recommended|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)(?:$|[\s_-])", re.I)
-_MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 _LAYOUT = re.compile(r"(?<![\w-])(?:has|with|without|no)[-_][\w-]+", re.I)  # names of a layout, not of a part
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")  # the words of a compound name
+# Words that say what a part is, wherever they stand in a name; words that say it only as a whole name, as its end or before one of _PLACES;
+# words that say it of an article too; and how names begin that are written in one word.
+_ANYWHERE = set("advert adverts advertisement advertising banner breadcrumb breadcrumbs comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notification overlay pager pagination popup promo promotion recommended related replies respond sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+_WHOLE = set("ad ads comment header masthead notice notices reply search share tags".split())
+_PLACES = set("area bar box block button buttons cloud container field form holder icons input item items links list panel row section slot space tools unit widget wrap wrapper".split())
+_OF_ARTICLES = set("ad ads advert advertisement comment comments promo related reply sponsored widget".split())
+_GLUED = re.compile(r"(?:comment(?:s|list|area|box|form|section|thread|block)|cookie|advert|newsletter|sidebar|breadcrumb|navbar|navmenu|footer|popup|modal|related(?:post|article|link)|social(?:bar|icon|link|media|share)|share(?:bar|box|button|icon|link|tool)|search(?:bar|box|form)|tag(?:cloud|list))[a-z]*|ads?(?:box|bar|slot|unit|block|wrap|wrapper|container|space|holder|banner|sense)?s?")
+_CONTENT = set("article content entry main post story text body hentry".split())
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert".split())
 
 _TAG = re.compile(r"</?([a-zA-Z][\w:-]*)")
@@ -100,15 +107,38 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     yield "text", page[at:], ""
 
 
+def _hints(name: str, article: bool, within: bool) -> bool:
+    """Whether a class name or an id says that its element is a side part. article: whether it is an article or the main part,
+    whose names also say what it is about; within: whether a main part encloses it, whose header is its title."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    if article:
+        return len(words) > 0 and (name.lower() in _OF_ARTICLES or (words[0] in ("comment", "reply") and len(words) == 2 and words[1] in _PLACES | {"body"}))
+    if _GLUED.fullmatch("".join(words)):
+        return True
+    for i, w in enumerate(words):
+        last = i == len(words) - 1
+        if w in _ANYWHERE or (w not in _WHOLE and _GLUED.fullmatch(w)):
+            return True
+        if w in ("header", "masthead"):
+            if last and not within and not (set(words[:i]) & _CONTENT):
+                return True
+        elif w in _WHOLE and (last or words[i + 1] in _PLACES):
+            return True
+    return False
+
+
 def _kind(tag: str, attrs: str, within: bool) -> tuple[bool, bool, bool]:
     """Whether an element is a side part by its tag or role, is hinted to be one by its names, and is a main part."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
-    names = _LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
+    names = _LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}").split()
     gone = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     role = found.get("role", "").lower()
     side = tag in _SIDE or role in _ROLES or gone or (tag == "header" and not within)
-    hinted = tag != "body" and bool(_HINT.search(names))
-    return side, hinted, not hinted and (tag in ("article", "main") or role == "main" or (tag in ("div", "section") and bool(_MAIN.search(names))))
+    article = tag in ("article", "main") or role in ("main", "article")
+    content = tag in ("div", "section", "td") and any((words := [w.lower() for w in _NAME.findall(n)]) and words[-1] in _CONTENT for n in names)
+    subject = article or (content and any(n.lower() in ("hentry", "post", "article", "entry", "story") for n in names))
+    hinted = tag != "body" and any(_hints(n, subject, within) for n in names)
+    return side, hinted, not hinted and (article or content)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
@@ -191,8 +221,10 @@ def _links(n: int) -> str:
 #: What a page is put together from: (before, after) around the main text, the main text, and what is not main text.
 SHELLS = (
     ("<article>", "</article>"), ("<main>", "</main>"), ("<div class=post>", "</div>"), ("<section class='content wide'><article>", "</article></section>"),
-    ("<div class='page with-sidebar'><main role=main>", "</main></div>"), ("<div><div>", "</div></div>"), ("", ""), ("<table><tr><td>", "</td></tr></table>"),
+    ("<div class='page with-sidebar'><main role=main>", "</main></div>"), ("<article class='post-12 post type-post hentry category-a tag-news'><header class=entry-header>", "</header></article>"), ("<div id=main-content class=story>", "</div>"),
+    ("<div><div>", "</div></div>"), ("", ""), ("<div class=wrap><div id=p7>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>"),
 )
+MARKED_SHELLS = 7  # of these, which say that they are the main part: links within them are its own
 BODIES = (
     f"<h1>{_prose(5)}</h1><p>{_prose(60)}</p><p>{_prose(4, 3)}</p><p>{_prose(25, 7)}</p>",
     f"<h1>{_prose(3, 2)}</h1><p>{_prose(12)} <a href=/x>{_prose(2)}</a> {_prose(20, 4)}</p><ul><li>{_prose(3)}</li><li>{_prose(9, 5)}</li></ul><p>{_prose(1)}</p><p>{_prose(44)}</p>",
@@ -201,13 +233,18 @@ BODIES = (
     f"<p>{_prose(3)}</p><p>{_prose(28)}</p><p>{_prose(1, 8)}</p><p>{_prose(28, 2)}</p><p>{_prose(3, 5)}</p>",
     f"<h1>{_prose(6, 4)}</h1><p>{_prose(11)}</p>",
     f"<h1>{_prose(4, 6)}</h1><p>{_prose(20)}</p><p><a href=/s>{_prose(5)}</a></p><p>{_prose(15)}</p><p>{_prose(2)}</p><p>{_prose(9)} <a href=/y>{_prose(8)}</a></p><p>{_prose(30)}</p>",
+    f"<p>{_prose(18)}</p><p><a href=/u>{_prose(3)}</a></p><p>{_prose(3)}</p><p>{_prose(70)}</p><p><a href=/v>{_prose(9)}</a></p><p>{_prose(14)}</p>",
+    f"<h1>{_prose(2)}</h1><p>{_prose(100)}</p><p><a href=/w>{_prose(7)}</a></p><p>{_prose(12)}</p><p>{_prose(5)}</p><p><a href=/z>{_prose(2)}</a></p><p>{_prose(64)}</p>",
+    f"<h1>{_prose(1)}</h1><p>{_prose(35)}</p><p><a href=/r>{_prose(4)}</a></p><p>{_prose(7)}</p><p>{_prose(120)}</p>",
 )
 MARKED = (
     f"<nav><ul>{_links(6)}</ul></nav>", f"<header><a href=/>{_prose(2)}</a><p>{_prose(12)}</p></header>", f"<aside><h3>{_prose(3)}</h3><p>{_prose(40)}</p><p>{_prose(2)}</p></aside>",
     f"<form><p>{_prose(4)}</p><label>{_prose(1)}</label><p>{_prose(30)}</p></form>", f"<footer><p>{_prose(35)}</p><p>{_prose(3)}</p></footer>", f"<div class=comments><h3>{_prose(1)}</h3><p>{_prose(50)}</p><p>{_prose(2)}</p><p>{_prose(18)}</p></div>",
     f"<div id=cookie-notice><p>{_prose(22)}</p></div>", f"<div class=ad>{_prose(9)}</div>", f"<div class=newsletter><p>{_prose(15)}</p></div>", f"<div class=related><p>{_prose(5)}</p><p>{_prose(26)}</p></div>", f"<div role=alert>{_prose(14)}</div>",
+    f"<ol class=commentlist><li><p>{_prose(24)}</p></li><li><p>{_prose(3)}</p></li></ol>", f"<div id=disqus_thread><p>{_prose(28)}</p></div>", f"<div class=cookieBar>{_prose(17)}</div>",
     f"<section id=comments><article class=comment><p>{_prose(31)}</p></article></section>", f"<footer>&copy; {_prose(20)}</footer>",
 )
+INNER = tuple(m for m in MARKED if not m.startswith("<header"))  # what may stand within a main part, whose header is its title
 UNMARKED = (f"<ul>{_links(5)}</ul>", f"<p><a href=/>{_prose(1)}</a> | <a href=/m>{_prose(3)}</a></p><p><a href=/t>{_prose(2)}</a></p>", f"<div><a href=/1>{_prose(5)}</a></div><div><a href=/2>{_prose(7)}</a></div><div><a href=/3>{_prose(4)}</a></div>")
 
 
@@ -218,9 +255,10 @@ def labelled_pages() -> list[list[tuple[str, int]]]:
     for i, (before, after) in enumerate(SHELLS):
         for j, body in enumerate(BODIES):
             side = lambda k, i=i, j=j: MARKED[(5 * i + 3 * j + k) % len(MARKED)]
+            inner = lambda k, i=i, j=j: INNER[(5 * i + 3 * j + k) % len(INNER)]
             links = UNMARKED[(i + j) % len(UNMARKED)]
-            page = [(side(0), 0), (links if j % 2 else "", 0), (side(1), 0), (before, 1), (body, 1), (side(2) if j % 3 else "", 0)]
-            page += [(body if j % 3 else "", 1), (side(3) if i % 2 else "", 0), (links if j in (1, 3) else "", 0), (after, 1), (side(4), 0), (side(6), 0), (links if j % 2 == 0 else "", 0)]
+            page = [(side(0), 0), (links if j % 2 else "", 0), (side(1), 0), (before, 1), (body, 1), (inner(2) if j % 3 else "", 0)]
+            page += [(body if j % 3 else "", 1), (inner(3) if i % 2 else "", 0), (links if j in (1, 3) else "", int(i < MARKED_SHELLS)), (after, 1), (side(4), 0), (side(6), 0), (links if j % 2 == 0 else "", 0)]
             out.append([(part, label) for part, label in page if part])
     return out
 
@@ -278,7 +316,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", main: str = "main_te
     tree = tree or train_tree(*labelled_blocks())
     columns = [c for c in pages.columns if c != main or c == html]
     at = columns.index(html)
-    plain = pages.select(*(pages[c].alias(f"c{i}") for i, c in enumerate(columns)))
+    plain = pages.select(*(pages[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)))
 
     def text_of(page: str | None) -> str:
         blocks = blocks_of(page)
