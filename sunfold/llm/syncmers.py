@@ -73,20 +73,24 @@ def fingerprint(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, n
 
 
 def encoded(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    """A fingerprint as text: base64 of hashes, then positions, little endian."""
-    return base64.b64encode(print_[0].astype("<u4").tobytes() + print_[1].astype("<u4").tobytes()).decode()
+    """A fingerprint as text: base64 of its hashes, four bytes each, little endian, then of the steps from each position to the next, a
+    byte each, as neighbouring anchors are at most k - s apart."""
+    steps = np.diff(print_[1].astype(np.int64), prepend=0)
+    return base64.b64encode(print_[0].astype("<u4").tobytes() + steps.astype(np.uint8).tobytes()).decode()
 
 
 def decoded(text: str) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(base64.b64decode(text), "<u4")
-    return both[: len(both) // 2], both[len(both) // 2 :]
+    raw = base64.b64decode(text)
+    n = len(raw) // 5
+    return np.frombuffer(raw[: 4 * n], "<u4"), np.cumsum(np.frombuffer(raw[4 * n :], np.uint8), dtype=np.uint32)
 
 
 def _in_order(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, exactly.
 
-    By the longest rising run over the places where elements match, or, where repeats make these too many, by one bit for
-    each element of b."""
+    By the longest rising run over the places where elements match, a microsecond each, or, where repeats make these too many, by one
+    bit for each element of b, which takes len(a) * len(b) / 1e10 seconds. What both begin or end with costs nothing, nor do elements that
+    only one has. So prose is cheap, and the worst case is long texts of very few letters that differ from the start."""
     n = min(len(a), len(b))
     other = np.flatnonzero(a[:n] != b[:n])
     head = int(other[0]) if len(other) else n
@@ -97,7 +101,7 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> int:
     p, q = np.sort(a), np.sort(b)
     x, y = (v[other[np.minimum(np.searchsorted(other, v), len(other) - 1)] == v].tolist() if len(other) else [] for v, other in ((a, q), (b, p)))
     left, right = Counter(x), Counter(y)
-    if sum(n * right[v] for v, n in left.items()) * 16 < len(x) * (len(y) + 1024):
+    if sum(n * right[v] for v, n in left.items()) * 4096 < len(x) * (len(y) + 65536):
         places = defaultdict(list)
         for i in range(len(y) - 1, -1, -1):
             places[y[i]].append(i)
@@ -172,6 +176,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Texts are shuffled once, into blocks of near keys, each with a copy of the row that follows it, and each block is
     read in order, so every fingerprint of a text is made once and no task holds more than two texts at a time.
     """
+    if not 0 < s <= k or k - s > 255:
+        raise ValueError("k exceeds s by 255 at most")
     blocks = _in_descending_order(docs, key, text)
     kind = docs.schema[key].dataType.simpleString()
     ordered = blocks.repartition(4 * shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block", F.desc("own"), F.desc_nulls_last("key"), "text")
