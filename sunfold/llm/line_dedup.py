@@ -46,7 +46,7 @@ def drop_boilerplate_lines(docs: DataFrame, host: str | Column = "source", text:
     names. An empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c != dropped or c == text]
-    pages = docs.select(F.struct(*(docs[c] for c in columns)).alias("__row"), (F.col(host) if isinstance(host, str) else host).cast("string").alias("__host"), F.col(text).alias("__text"))
+    pages = docs.select(F.struct(*(docs[f"`{c}`"] for c in columns)).alias("__row"), (F.col(host) if isinstance(host, str) else host).cast("string").alias("__host"), F.col(text).alias("__text"))
     light = pages.select("__host", F.array_distinct(F.transform(_lines("__text"), lambda x: F.trim(x))).alias("__lines"))
     totals = light.groupBy(F.col("__host").alias("__of")).agg(F.count("*").alias("__pages"))
     hashed = light.select("__host", F.explode("__lines").alias("__line")).filter("__line <> ''").groupBy("__host", F.xxhash64("__line").alias("__hash")).agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_pages)

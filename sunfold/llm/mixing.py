@@ -77,7 +77,7 @@ class Mix:
         spark = docs.sparkSession
         self.parts = shuffle_partitions(spark)
         size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-        self.rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(key, text).alias("order"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+        self.rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(key, text).alias("order"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
         self.rows = self.rows.withColumn("bucket", F.pmod("order", F.lit(4 * self.parts)))
         light = cut(self.rows.drop("row"))
         found = light.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()

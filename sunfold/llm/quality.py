@@ -54,10 +54,11 @@ def quality_grades(docs: DataFrame, ratings: DataFrame, grade: F.Column, grades:
     1, 2, ...) and selected: the odds of at least `at_least` are `odds` or more.
 
     Learns from rated rows that are not held out. `grade` is an expression over ratings, 0 to grades - 1; rows where it
-    is null are left out. What the grades are is the caller's; nothing but their order counts. Nulls count as empty texts.
-    Without ratings the odds are even. Repeated rows stay; carried columns may have any names but those of the result's
-    other columns; an empty table gives an empty result.
+    is null or none of these are left out. What the grades are is the caller's; nothing but their order counts. Nulls count as empty
+    texts. Without ratings the odds are even. Repeated rows stay; carried columns named like results are replaced, others have any
+    names; an empty table gives an empty result.
     """
+    grade = F.when(grade.between(0, grades - 1), grade)
     sample = labelled_sample(docs, ratings.filter(~held_out(F.col(key))), grade, key, text, most)
     found = telling_terms(sample, grades)
     model = train(*design(sample, found), len(found) + 1, grades)
@@ -66,6 +67,8 @@ def quality_grades(docs: DataFrame, ratings: DataFrame, grade: F.Column, grades:
         p = tails(model, x, first)
         return [p.sum(1), list(p)]
 
-    columns = [*(docs[c] for c in carry), held_out(docs[key])]
+    names = ("held_out", "expected_grade", "tails", "selected")
+    carry = [c for c in carry if c not in names]
+    columns = [*(docs[f"`{c}`"] for c in carry), held_out(docs[f"`{key}`"])]
     out = scored(docs, text, found, columns, "expected_grade double, tails array<double>", ["expected_grade", "tails"], score)
-    return out.toDF(*carry, "held_out", "expected_grade", "tails").withColumn("selected", F.col("tails")[at_least - 1] >= odds)
+    return out.withColumn("selected", F.col("tails")[at_least - 1] >= odds).toDF(*carry, *names)

@@ -43,7 +43,7 @@ def corpus_words(docs: DataFrame, text: str, most: int = 400) -> list[str]:
 def candidates(docs: DataFrame, text: str, path: str | None, carry: tuple[str, ...]) -> DataFrame:
     """The carried columns, at (number of the word), value, before (two words), after, path: one row for each candidate."""
     words = F.split(F.trim(F.regexp_replace(text, _SPACE, " ")), " ")
-    looks = docs.filter(F.col(text).rlike(_rough())).select(*(docs[c].alias(f"c{i}") for i, c in enumerate(carry)), (F.col(path).cast("string") if path else F.lit("")).alias("path"), words.alias("w"))
+    looks = docs.filter(F.col(text).rlike(_rough())).select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)), (F.col(path).cast("string") if path else F.lit("")).alias("path"), words.alias("w"))
 
     def near(i: Column, step: int) -> Column:
         return F.coalesce(F.get(F.col("w"), i + step), F.lit(""))

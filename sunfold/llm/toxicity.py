@@ -62,17 +62,20 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, factors: i
     return w, v
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE, share: float = SHARE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns of every row of docs, with held_out, score (0 to 1) and predicted (1 from a score of 0.5).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE, share: float = SHARE, carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """The carried columns of every row of docs, with held_out, score (0 to 1) and predicted (1 from a score of 0.5), or other `names`.
 
     Learns from labelled rows that are not held out, at most `most` of them. Nulls count as empty texts, which score by
     their shape and the intercept. Without usable labels every score is the share of label 1 among them, or 0.001.
-    Repeated rows stay; a null key is not held out. An empty table gives an empty result.
+    Repeated rows stay; a null key is not held out. Carried columns named like results are replaced, others have any names. An
+    empty table gives an empty result.
     """
     grade = F.when(F.col(label) > 0, 1).when(F.col(label).isNotNull(), 0)
     sample = labelled_sample(docs, labels.filter(~held_out(F.col(key))), grade, key, text, most)
     found = telling_terms(sample, 2, share=share)
     model = train(*design(sample, found), len(found) + 1)
-    columns = [*(docs[c] for c in carry), held_out(docs[key])]
+    carry = [c for c in carry if c not in names]
+    columns = [*(docs[f"`{c}`"] for c in carry), held_out(docs[f"`{key}`"])]
     out = scored(docs, text, found, columns, "score double", ["score"], lambda x, first: [_logistic(margins(model, x, first))])
-    return out.toDF(*carry, "held_out", "score").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return out.withColumn("predicted", predicted).toDF(*carry, *names)  # until here the carried columns have names of their own
