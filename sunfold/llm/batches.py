@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,3 +26,23 @@ def each_row(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The rows as Python values, one at a time, so that large values are not all held twice."""
     for i in range(batch.num_rows):
         yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system. A Python worker goes on to other tasks, and would hold what its largest one took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library of Linux
+    if trim:
+        trim(0)
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, which goes through a task's batches, and gives back its memory at the end."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run

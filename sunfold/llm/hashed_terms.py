@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunfold.llm.batches import slices
+from sunfold.llm.batches import frugal, slices
 from sunfold.runtime import cut
 
 BITS = 22
@@ -112,7 +112,7 @@ def telling_terms(sample: DataFrame, grades: int, least: int = 4, floor: float =
     for g, n in sample.groupBy("grade").count().collect():
         totals[g] = n
     every = sum(totals)
-    by = sample.select("text", "grade").mapInArrow(count, "term bigint, grade bigint, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(grades)), F.sum("n").alias("n"))
+    by = sample.select("text", "grade").mapInArrow(frugal(count), "term bigint, grade bigint, n bigint").groupBy("term").agg(*(F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(grades)), F.sum("n").alias("n"))
     keep = F.lit(False)
     for j in range(1, grades):
         upper = float(sum(totals[j:]))
@@ -188,4 +188,4 @@ def scored(docs: DataFrame, text: str, terms: np.ndarray, carry: Sequence, schem
 
     plain = docs.select(F.col(text).alias("text"), *(c.alias(s) for c, s in zip(carry, short, strict=True)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[1:])
-    return plain.mapInArrow(run, f"{kinds}, {schema}" if kinds else schema)
+    return plain.mapInArrow(frugal(run), f"{kinds}, {schema}" if kinds else schema)

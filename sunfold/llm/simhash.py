@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunfold.llm.batches import each_row
+from sunfold.llm.batches import each_row, frugal
 from sunfold.llm.components import connected_components
 from sunfold.runtime import cut, shuffle_partitions
 
@@ -245,7 +245,7 @@ def _frequencies(docs: DataFrame, text: str, words: int) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(n[at])], ["class", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(text).mapInArrow(frugal(run), "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(_CLASSES, np.int64)
     out[rows["class"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -279,7 +279,7 @@ def _not_apart(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     one, other = (sets.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
     near = (F.col("size_a") >= similarity * F.col("size_b") - 1e-6) & (F.col("size_b") >= similarity * F.col("size_a") - 1e-6)
     both = pairs.join(one, "a").join(other, "b").filter(near).select("a", "b", "size_a", "size_b", "parity_a", "parity_b")
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return both.mapInArrow(frugal(check), "a bigint, b bigint")
 
 
 def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
@@ -319,9 +319,9 @@ def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: s
                         out.append((hub, d))
             yield pa.record_batch([pa.array([v[i] for v in out], pa.int64()) for i in range(2)], ["a", "b"])
 
-    found = docs.select(F.pmod(F.xxhash64(key), F.lit(_BITS)).alias("at"), text).mapInArrow(made, "digest bigint, shingles binary").dropDuplicates(["digest"])
+    found = docs.select(F.pmod(F.xxhash64(key), F.lit(_BITS)).alias("at"), text).mapInArrow(frugal(made), "digest bigint, shingles binary").dropDuplicates(["digest"])
     met = need.join(found, "digest").select("hub", "share", "digest", "shingles").repartition(parts, "hub", "share").sortWithinPartitions("hub", "share", F.col("hub") != F.col("digest"))
-    return met.mapInArrow(check, "a bigint, b bigint")
+    return met.mapInArrow(frugal(check), "a bigint, b bigint")
 
 
 def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = _BLOCK) -> DataFrame:
@@ -408,10 +408,10 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
             pairs = np.unique(np.concatenate(held), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    prints = cut(docs.mapInArrow(describe, f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>"))
+    prints = cut(docs.mapInArrow(frugal(describe), f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>"))
     sets = prints.filter("parity is not null").select("node", "digest", "size", "parity").dropDuplicates(["digest"])
     points = prints.select("digest", "size", F.posexplode("first").alias("at", "point")).select("point", "digest", F.expr("shiftleft(size, 32) | at").alias("place"))
-    met = cut(points.repartition(parts, "point").sortWithinPartitions("point", "digest").mapInArrow(first_round, "a bigint, b bigint, point bigint, place bigint"))
+    met = cut(points.repartition(parts, "point").sortWithinPartitions("point", "digest").mapInArrow(frugal(first_round), "a bigint, b bigint, point bigint, place bigint"))
     links = _alike(docs, met.filter("b is not null").select("a", "b").distinct(), sets, key, text, words, similarity)
     # a key whose rows differ in text has several digests, which count as linked
     several = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z")
@@ -424,7 +424,7 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     each = rest.join(mixed, "point").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     pair = F.xxhash64("point", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
     dealt = each.select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
-    crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(second_round, "a bigint, b bigint").distinct())
+    crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(frugal(second_round), "a bigint, b bigint").distinct())
     if crossed.head(1):
         links = _alike(docs, crossed, sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
         found = connected_components(links).withColumnsRenamed({"node": "a"})
@@ -438,4 +438,4 @@ def one_of_each_cluster(docs: DataFrame, key: str = "doc_id", text: str = "text"
     clusters = near_duplicate_clusters(docs, key, text, **how)
     keep = clusters.filter(F.col(key) == F.col("cluster")).select(key)
     once = docs.join(keep, key, "left_semi").dropDuplicates([key])
-    return once.select(docs.columns).unionAll(docs.filter(F.col(key).isNull()))
+    return once.select([f"`{c}`" for c in docs.columns]).unionAll(docs.filter(F.col(key).isNull()))

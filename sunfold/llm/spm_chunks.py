@@ -19,11 +19,14 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sunfold.llm.batches import each_row, slices
+from sunfold.llm.batches import each_row, frugal, slices
+from sunfold.llm.packed import pack as _pack
+from sunfold.llm.packed import unpack as _unpack
 from sunfold.runtime import shuffle_partitions
 
 MARK = "▁"
@@ -58,17 +61,6 @@ def _segment(sp, chunks: list[str]) -> list[list[int]]:
     return out
 
 
-def _pack(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
-
-
 def _strings(values: list[str]) -> bytes:
     return _pack(pa.record_batch([pa.array(values, pa.string())], ["c"]))
 
@@ -81,20 +73,22 @@ def _content(texts: pa.Array) -> bytes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
-    """Consecutive rows with about `size` bytes of text. A block's name is a digest of its texts and of those of the task's
-    blocks before it, so that both passes over the documents, and any task that is run again, give it the same name, and
-    that blocks of one text over and over have different names."""
+    """Consecutive rows with about `size` bytes of text. A block's name is its partition's number with a digest of its texts and of
+    those of the partition's blocks before it, so that both passes over the documents, and any task that is run again, give it the same
+    name, and that blocks of one text over and over have different names, in one partition and in different ones."""
     rows, held, name = [], 0, xxhash.xxh3_128()
+    task = TaskContext.get()
+    part = task.partitionId() if task else 0  # in the union of both passes the packed texts come first, so numbers agree
     for batch in batches:
-        for part in slices(batch, text, size):
-            rows.append(part)
-            name.update(_content(part[text]))
-            held += part[text].nbytes
+        for piece in slices(batch, text, size):
+            rows.append(piece)
+            name.update(_content(piece[text]))
+            held += piece[text].nbytes
             if held >= size:
-                yield name.hexdigest(), rows
+                yield f"{part}-{name.hexdigest()}", rows
                 rows, held = [], 0
     if rows:
-        yield name.hexdigest(), rows
+        yield f"{part}-{name.hexdigest()}", rows
 
 
 def _parts_of(chunks: list[str], parts: int) -> np.ndarray:
@@ -207,9 +201,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
         if pieces:
             yield from finish(pieces, answers)
 
-    asked = plain.mapInArrow(ask, _ROW).repartition(parts, "seq").mapInArrow(segment, _ROW)
-    packed = plain.mapInArrow(pack, _ROW)
-    out = packed.unionAll(asked).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(join, schema)
+    asked = plain.mapInArrow(frugal(ask), _ROW).repartition(parts, "seq").mapInArrow(frugal(segment), _ROW)
+    packed = plain.mapInArrow(frugal(pack), _ROW)
+    out = packed.unionAll(asked).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(frugal(join), schema)
     return out.toDF(*docs.columns, ids, decoded)
 
 

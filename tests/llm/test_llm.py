@@ -54,6 +54,9 @@ def test_sentencepiece_of_one_text_over_and_over(spark):
     batch = pa.record_batch([pa.array(["a b c " * 100] * 1000)], ["c0"])
     names = [n for n, _ in spm_chunks._blocks(iter([batch] * 5), "c0", 50_000)]
     assert len(names) == len(set(names)) > 20 and names == [n for n, _ in spm_chunks._blocks(iter([batch] * 5), "c0", 50_000)]
+    docs = spark.createDataFrame([(i, "a b c " * 100) for i in range(64)], "doc_id long, text string").repartition(8)
+    got = docs.select("text").mapInPandas(lambda b: (__import__("pandas").DataFrame({"n": [n for n, _ in spm_chunks._blocks((pa.RecordBatch.from_pandas(x) for x in b), "text", 1 << 20)]}) for _ in [0]), "n string").collect()
+    assert len({r["n"] for r in got}) == len(got) == docs.rdd.getNumPartitions()  # equal partitions' blocks too
 
 
 def test_targets():
@@ -224,6 +227,20 @@ def test_syncmers_of_long_texts_are_whole():
         assert syncmers._in_order(x, y) == row[-1]
 
 
+def test_syncmer_likeness_of_few_letters_is_bounded():
+    """Texts whose anchors all repeat, thousands of times each."""
+    import time
+
+    rng = random.Random(5)
+    a, b = (syncmers.fingerprint("".join(rng.choice("ab") for _ in range(200_000))) for _ in range(2))
+    start = time.monotonic()
+    assert 0.1 < syncmers.likeness(a, b) < 0.5 and time.monotonic() - start < 10
+    for n in (0, 1, 12, 3000):
+        t = syncmers.fingerprint("".join(rng.choice("abc") for _ in range(n)))
+        again = syncmers.decoded(syncmers.encoded(t))
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(t, again, strict=True)) and len(syncmers.encoded(t)) <= 4 * -(-5 * len(t[0]) // 3)
+
+
 def _next_row(row, v, y):
     out = [0]
     for j, w in enumerate(y):
@@ -446,6 +463,22 @@ WORDS = ("word " * 20).strip()
         ("<p>x", ["x"]),
         (f'<p>{WORDS}</p><p title="a > b" class=c>Of \'it\' &lt;p&gt; &amp;amp;</p>', [WORDS, "Of 'it' <p> &amp;"]),
         ("<p>a < b and 1<2</p>", ["a < b and 1<2"]),
+        (f'<article class="post-12 post type-post status-publish hentry category-a tag-news"><h1>A</h1><p>{WORDS}</p></article>', ["A", WORDS]),
+        (f'<div class="post-12 post type-post hentry category-search tag-share"><h1>A</h1><p>{WORDS}</p></div><div class=sidebar><p>{WORDS} {WORDS}</p></div>', ["A", WORDS]),
+        (f"<article class=share-price><h1>A</h1><p>{WORDS}</p></article>", ["A", WORDS]),
+        (f"<article class=search-engines><h1>A</h1><p>{WORDS}</p></article>", ["A", WORDS]),
+        (f"<article class='post tags'><h1>A</h1><p>{WORDS}</p></article>", ["A", WORDS]),
+        (f"<article><header class=entry-header><h1>Title</h1></header><p>{WORDS}</p></article>", ["Title", WORDS]),
+        (f"<div class=article-header><h1>Title</h1></div><div class=article-body><p>{WORDS}</p></div><header class=site-header><p>{WORDS}</p></header>", ["Title", WORDS]),
+        (f"<article><p>{WORDS}</p><ul><li><a href=/1>One two</a></li><li><a href=/2>Three four</a></li><li><a href=/3>Five</a></li></ul><p><a href=/4>Six seven</a></p><p><a href=/5>Eight nine</a></p><p>{WORDS}</p></article><ul><li><a href=/6>Ten</a></li><li><a href=/7>Eleven</a></li></ul>", [WORDS, "One two", "Three four", "Five", "Six seven", "Eight nine", WORDS]),
+        (f"<article><p>{WORDS}</p></article><ol class=commentlist><li><p>{WORDS}</p></li></ol>", [WORDS]),
+        (f"<article><p>{WORDS}</p></article><div id=disqus_thread><p>{WORDS}</p></div>", [WORDS]),
+        (f"<div class=cookiebar>{WORDS}</div><article><p>{WORDS}</p></article>", [WORDS]),
+        (f"<article><p>{WORDS}</p><div class=adbox>{WORDS}</div><div class='share-buttons'>{WORDS}</div><p>{WORDS}</p></article>", [WORDS, WORDS]),
+        (f"<main id=mainContent><div class=postBody><h2>B</h2><p>{WORDS}</p></div><div class=relatedPosts><p>{WORDS}</p></div><div class=tagCloud>{WORDS}</div></main>", ["B", WORDS]),
+        (f"<div class=thread><div class='post' id=p1><p>{WORDS}</p></div><div class=post-replies><p>{WORDS}</p></div></div>", [WORDS]),
+        (f"<div class=c-article><div class=c-article__header><h1>N</h1></div><div class=c-article__body><p>{WORDS}</p></div><aside>{WORDS}</aside></div><div class=newsletter-signup>{WORDS}</div>", ["N", WORDS]),
+        (f"<article class='comment even depth-1'><p>{WORDS}</p></article><article><p>a b c</p></article>", ["a b c"]),
     ],
 )
 def test_html_cases(page, want):
@@ -621,3 +654,35 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, small)
     rows = out.collect()
     assert rows and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_pipeline_carries_columns_whatever_their_names(spark, small, tmp_path):
+    """Columns named like results and like names within stages, null keys and texts, repeated rows: every row that stays keeps its values."""
+    import corpus_pipeline
+
+    names = ["score", "held_out", "predicted", "lines_dropped", "ids", "decoded", "cluster", "digest", "row", "start", "k", "turn", "c0", "a.b", "n_tokens", "key", "at"]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    odd = spark.createDataFrame([(None, "some words that stay here for good", "en", "src1"), (None, None, None, None), (7_000_000, None, "en", None), (7_000_001, "one two three", "en", "src1"), (7_000_001, "one two three", "en", "src1")], "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    value = F.coalesce("doc_id", F.lit(-1)).cast("long")
+    docs = docs.withColumns({n: value * 10 + i for i, n in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        path = str(tmp_path / stage.__name__)
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        wrong = [F.count_if(F.col(f"`{n}`") != value * 10 + i) for i, n in enumerate(names)]
+        assert sum(docs.agg(*(w.alias(f"w{i}") for i, w in enumerate(wrong))).first()) == 0 and docs.count() > 100
+        if stage.__name__ != "mix_sources":
+            assert docs.filter("doc_id is null").count() == 2
+    assert corpus_pipeline.STAGES[4][1](spark, docs, small).columns == ["doc_id", "lang", "source", "text", "n_tokens", "ids"]
+
+
+def test_text_models_replace_columns_named_like_results(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} x", -1) for i in range(30)], "doc_id long, text string, score int").withColumns({n: F.lit("old") for n in ("held_out", "predicted", "tails", "selected")})
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), i % 5 - 1) for i in range(30)], "doc_id long, toxic int, stars int")
+    got = toxicity.toxicity_scores(docs, labels, carry=tuple(docs.columns))
+    assert sorted(got.columns) == sorted(docs.columns) and got.filter("score between 0 and 1 and predicted in (0, 1)").count() == 30
+    graded = quality.quality_grades(docs, labels, F.col("stars"), 3, carry=tuple(docs.columns))  # grades of -1 and 3 are none
+    assert graded.count() == 30 and graded.filter("size(tails) = 2 and expected_grade between 0 and 2 and score = -1").count() == 30
