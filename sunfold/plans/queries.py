@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sunfold.functions import weather as W
-from sunfold.operators import embed, evaluate, graph, missing, models, modes, quality, scale, smooth, split
+from sunfold.operators import adapt, embed, evaluate, graph, missing, models, modes, quality, recursive, scale, smooth, split
 from sunfold.operators.ordered import numbered
 from sunfold.plans.views import PRED, PV, PV_DIRTY, pred, pv, pv_dirty, table
 from sunfold.schema import MEASURES, WEATHER
@@ -492,7 +492,7 @@ def ring_eigenvalues(spark, d):
     ring = table(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("i"))
     n = ring.count()
     s = int(n ** (1 / 3) + 1e-9)
-    to = F.explode(F.array(*(F.pmod(F.col("i") + F.lit(o), F.lit(n)) for o in (1, s, s * s, -1, -s, -s * s)))).cast("long").alias("dst")
+    to = F.explode(F.array(*(F.pmod(F.col("i") + F.lit(o), F.lit(n)).cast("long") for o in (1, s, s * s, -1, -s, -s * s)))).alias("dst")
     found = graph.smallest_eigenvectors(graph.laplacian(ring.select(F.col("i").cast("long").alias("src"), to, F.lit(1.0).alias("w"))), 5)
     whole = bool(np.abs(graph.gram(found.vectors, "f", 5) - np.eye(5)).max() < 1e-6)
     return spark.createDataFrame([(i + 1, float(v), whole) for i, v in enumerate(found.values)], "place long, value double, orthonormal boolean")
@@ -675,6 +675,56 @@ def checkpoint_compare(spark, d):
     return evaluate.compare_runs(long.filter("weather = 0"), long.filter("weather = 1"))
 
 
+# --- what moves from batch to batch -------------------------------------------------------------------------------------
+
+_BATCHES = f"""{PRED}, b AS (SELECT series_id, (row_number() {_OVER} - 1) // 50 AS batch, weather, abs(prediction - target) AS e FROM pred),
+ e AS (SELECT series_id, batch, coalesce(avg(e) FILTER (WHERE weather = 0), 0) AS s, coalesce(avg(e) FILTER (WHERE weather = 1), 0) AS c, coalesce(avg(e) FILTER (WHERE weather = 2), 0) AS o, avg(e) AS error FROM b GROUP BY series_id, batch)"""
+
+
+@query(f"""WITH RECURSIVE {_BATCHES}, t AS (SELECT series_id, -1::BIGINT AS batch, 0.2::DOUBLE AS ci_low, 0.6::DOUBLE AS ci_high FROM e GROUP BY series_id
+ UNION ALL SELECT t.series_id, e.batch, least(0.25::DOUBLE, greatest(0.15::DOUBLE, ci_low + 0.005::DOUBLE * sign(s - c))), least(0.65::DOUBLE, greatest(0.55::DOUBLE, ci_high + 0.005::DOUBLE * sign(c - o))) FROM t JOIN e ON e.series_id = t.series_id AND e.batch = t.batch + 1)
+ SELECT series_id, batch, ci_low, ci_high, ci_low * 1.75::DOUBLE AS wsi_low, ci_high * 1.25::DOUBLE AS wsi_high FROM t WHERE batch >= 0""", "ci_low ci_high wsi_low wsi_high")
+def thresholds_over_time(spark, d):
+    got = adapt.adapted_thresholds(_batches(spark, d), order=("at",), block=64)
+    return got.select("series_id", "batch", "ci_low", "ci_high", "wsi_low", "wsi_high")
+
+
+@query(f"""WITH RECURSIVE {_BATCHES}, t AS (SELECT series_id, -1::BIGINT AS batch, 0.3::DOUBLE AS w FROM e GROUP BY series_id
+ UNION ALL SELECT t.series_id, e.batch, CASE WHEN error > 0.1 THEN least(0.9::DOUBLE, w + 0.01::DOUBLE * error) ELSE w END FROM t JOIN e ON e.series_id = t.series_id AND e.batch = t.batch + 1)
+ SELECT series_id, batch, 1 - w AS ci_weight, w AS wsi_weight FROM t WHERE batch >= 0""", "ci_weight wsi_weight")
+def fusion_over_time(spark, d):
+    return adapt.adapted_fusion(_batches(spark, d), order=("at",), block=64).select("series_id", "batch", "ci_weight", "wsi_weight")
+
+
+def _batches(spark, d) -> DataFrame:
+    return adapt.batch_errors(pred(spark, d), 50).withColumn("at", F.timestamp_seconds("batch"))
+
+
+def _forgotten(share: str) -> str:
+    return f"""WITH {PRED}, w AS (SELECT weather, target AS x, prediction AS y, pow({share}, 3 - row_id % 4) AS w FROM pred),
+ s AS (SELECT weather, sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM w GROUP BY weather)
+ SELECT weather, (n * xy - x * y) / (n * xx - x * x) AS slope, (y - x * (n * xy - x * y) / (n * xx - x * x)) / n AS intercept FROM s"""
+
+
+def _recursive(spark, d, forgetting: float) -> DataFrame:
+    x = pred(spark, d).withColumn("features", F.array("target"))
+    model = recursive.RecursiveLeastSquares(forgetting, penalty=0.0)
+    for batch in range(4):
+        model.update(x.filter(F.col("row_id") % 4 == batch), label="prediction")
+    return spark.createDataFrame([(s, float(w[1]), float(w[0])) for s, w in model.weights().items()], "weather int, slope double, intercept double")
+
+
+@query(_forgotten("1.0::DOUBLE"), "slope intercept", 6)
+def recursive_fit(spark, d):
+    """Weights learnt batch by batch are those of all rows at once."""
+    return _recursive(spark, d, 1.0)
+
+
+@query(_forgotten("0.5::DOUBLE"), "slope intercept", 6)
+def recursive_fit_that_forgets(spark, d):
+    return _recursive(spark, d, 0.5)
+
+
 # --- what SQL can't express: rows only ---------------------------------------------------------------------------------
 
 
