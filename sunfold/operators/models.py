@@ -113,13 +113,6 @@ def accepted(before: float, after: float, gain: float = 0.05) -> bool:
     return before > 0 and (before - after) / before >= gain
 
 
-def adapted_thresholds(low: float, high: float, gradient: float, rate: float = 0.005) -> dict[str, tuple[float, float]]:
-    """Thresholds of both indices moved against a gradient, within their bounds; those of the state index follow."""
-    low = min(0.25, max(0.15, low - rate * gradient))
-    high = min(0.65, max(0.55, high - rate * gradient))
-    return {"ci": (low, high), "wsi": (low * 1.75, high * 1.25)}
-
-
 def balanced_weights(raw: Sequence[float]) -> list[float]:
     """Softmax, within 0.2 and 0.8, adding up to 1."""
     e = [math.exp(v - max(raw)) for v in raw]

@@ -18,10 +18,14 @@ from pyspark.sql.streaming import StreamingQuery
 from sunfold.runtime import drop_path
 
 
-def class_sums(df: DataFrame, features: str = "features", label: str = "y", state: str = "weather") -> dict[int, np.ndarray]:
-    """For each class the sums of products of (1, features, label), a matrix; rows with a null among them are left out."""
+def class_sums(df: DataFrame, features: str = "features", label: str = "y", state: str = "weather", weight: Column | None = None) -> dict[int, np.ndarray]:
+    """For each class the sums of products of (1, features, label), a matrix, each row times its weight; rows with a null among them
+    are left out."""
     values = vector_to_array(features) if df.schema[features].dataType.typeName() == "vectorudt" else F.col(features).cast("array<double>")
-    rows = df.select(F.col(state).cast("int").alias("state"), F.concat(F.array(F.lit(1.0)), values, F.array(F.col(label).cast("double"))).alias("x")).filter("state is not null and not exists(x, v -> v is null or isnan(v))")
+    row = F.concat(F.array(F.lit(1.0)), values, F.array(F.col(label).cast("double")))
+    if weight is not None:
+        row = F.transform(row, lambda v: v * F.sqrt(weight))
+    rows = df.select(F.col(state).cast("int").alias("state"), row.alias("x")).filter("state is not null and not exists(x, v -> v is null or isnan(v))")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -59,6 +63,15 @@ class RecursiveLeastSquares:
             self.sums[s] = g + self.forgetting * self.sums[s] if s in self.sums else g
         self.updates += 1
 
+    def update_all(self, df: DataFrame, batch: str, batches: int, features: str = "features", label: str = "y", state: str = "weather") -> None:
+        """What `batches` updates by the rows with batch 0, 1, ... come to, in one pass: a row counts by how many batches follow its own."""
+        age = F.lit(batches - 1) - F.col(batch)
+        new = class_sums(df.filter(F.col(batch).between(0, batches - 1)), features, label, state, F.pow(F.lit(float(self.forgetting)), age))
+        # a class forgets in batches that have rows of it only; over many batches of all classes that is every one
+        for s, g in new.items():
+            self.sums[s] = g + self.forgetting**batches * self.sums[s] if s in self.sums else g
+        self.updates += batches
+
     def merge(self, other: RecursiveLeastSquares) -> None:
         """Learn what another has learnt from other rows."""
         for s, g in other.sums.items():

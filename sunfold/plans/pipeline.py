@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sunfold.functions import weather
-from sunfold.operators import embed, evaluate, graph, missing, models, modes, quality, scale, split
-from sunfold.operators.ordered import windowed
+from sunfold.operators import adapt, embed, evaluate, graph, missing, models, modes, quality, recursive, scale, split
+from sunfold.operators.ordered import numbered, windowed
 from sunfold.runtime import cut
 from sunfold.schema import MEASURES
 from sunfold.sources import sinks
@@ -38,6 +39,8 @@ class Config:
     projection_rows: int = 5000  # at most, of train rows, that the projection is learnt from
     projection_alpha: float = 0.5
     gain: float = 0.05  # that online learning must bring
+    updates: int = 100  # batches that it learns a fold's val rows in
+    forgetting: float = 0.99  # how much a batch counts against the one after it
     pressure_base: float = 1040.0
     weights: tuple[float, float] = (0.7, 0.3)
     folds: Sequence[tuple[int, int, int]] = field(default=((12, 3, 3), (15, 3, 3), (18, 3, 3), (21, 3, 3)))
@@ -176,11 +179,36 @@ def test(features: DataFrame, bank: Mapping, config: Config | None = None, which
     return evaluate.metrics_with_total(predictions(features, bank, config or Config(), which, known))
 
 
+def _in_time(batches: DataFrame) -> DataFrame:
+    return batches.withColumn("at", F.timestamp_seconds("batch"))
+
+
+def _corrected(rows: DataFrame, learner: recursive.RecursiveLeastSquares) -> DataFrame:
+    more = F.coalesce(learner.prediction(vector_to_array("features")), F.lit(0.0))
+    return rows.withColumn("prediction", F.col("prediction") + more)
+
+
+def _online(rows: DataFrame, config: Config, share: float = 0.8) -> tuple[recursive.RecursiveLeastSquares, bool]:
+    """A learner of what predictions leave of y in each series' first rows, in batches over time, and whether it betters the rest, by
+    the share `gain` of the mean absolute error."""
+    placed = numbered(rows.drop("rn"))
+    sizes = placed.groupBy(F.col("series_id").alias("__s")).agg(F.count("*").alias("__n"))
+    placed = placed.join(sizes, F.col("series_id").eqNullSafe(F.col("__s")))
+    at = F.col("rn") / (F.col("__n") * share)
+    placed = placed.withColumns({"batch": F.floor(at * config.updates).cast("int"), "left": F.col("y") - F.col("prediction")})
+    learner = recursive.RecursiveLeastSquares(config.forgetting, config.penalty)
+    learner.update_all(placed, "batch", config.updates, label="left")
+    check = placed.filter(F.col("batch") >= config.updates)
+    off = lambda df: df.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] or 0.0
+    return learner, models.accepted(off(check), off(_corrected(check, learner)), config.gain)
+
+
 def walk_forward(df: DataFrame, folder: str, config: Config | None = None) -> DataFrame:
     """Metrics by fold and state over expanding windows, before and after models learn from the fold's val rows (online).
 
     Rows are cleaned and labelled once for all folds. Each fold learns its own scaler, modes, weights and projection; its
-    models start from those of the fold before, and then learn from its val rows, which is kept if it betters them there."""
+    models start from those of the fold before. What they leave is then learnt from the first four fifths of its val rows, batch by batch,
+    and kept if it betters them on the last fifth, which it has not seen. Each fold also has the thresholds that its test rows' errors lead to."""
     config = config or Config()
     spark = df.sparkSession
     rows = weather.classify(clean(df, config), tuple(config.weights), pressure_base=config.pressure_base).drop("rn", "ge", "ci", "wsi")
@@ -197,11 +225,13 @@ def walk_forward(df: DataFrame, folder: str, config: Config | None = None) -> Da
         bank = models.train_bank(x.filter("split = 'train'"), kind=config.model, penalty=config.penalty, before=bank)
         if not bank:
             continue
-        recent = x.filter("split = 'val'")
-        online, _ = models.fine_tuned(bank, recent, recent, config.gain, kind=config.model, penalty=config.penalty)
-        models.save_bank(spark, online, f"{folder}/fold={fold}/models")
-        for name, b in (("start", bank), ("online", online)):
-            got = evaluate.metrics_with_total(models.predict(x.filter("split = 'test'").withColumn("target", F.col("y")), b))
+        models.save_bank(spark, bank, f"{folder}/fold={fold}/models")
+        learner, kept = _online(models.predict(x.filter("split = 'val'"), bank), config)
+        learner.save(spark, f"{folder}/fold={fold}/online")
+        found = models.predict(x.filter("split = 'test'").withColumn("target", F.col("y")), bank)
+        sinks.write_table(adapt.adapted_thresholds(_in_time(adapt.batch_errors(found)), order=("at",)).drop("at"), f"{folder}/fold={fold}/thresholds", [])
+        for name, rows in (("start", found), ("online", _corrected(found, learner) if kept else found)):
+            got = evaluate.metrics_with_total(rows)
             got = got.withColumns({"fold": F.lit(fold), "models": F.lit(name)})
             out = got if out is None else out.unionByName(got)
     if out is None:

@@ -489,8 +489,8 @@ def sparsity_report(spark, d):
 def ring_eigenvalues(spark, d):
     """The five smallest eigenvalues of a ring of all suppliers with chords of length s and s^2, s the cube root of their number,
     whose spectrum is known, and whether their vectors are orthonormal."""
-    ring = table(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("i"))
-    n = ring.count()
+    n = table(spark, d, "supplier").count()
+    ring = table(spark, d, "supplier").select(F.pmod("s_suppkey", F.lit(n)).alias("i"))
     s = int(n ** (1 / 3) + 1e-9)
     to = F.explode(F.array(*(F.pmod(F.col("i") + F.lit(o), F.lit(n)).cast("long") for o in (1, s, s * s, -1, -s, -s * s)))).alias("dst")
     found = graph.smallest_eigenvectors(graph.laplacian(ring.select(F.col("i").cast("long").alias("src"), to, F.lit(1.0).alias("w"))), 5)

@@ -81,6 +81,9 @@ def test_recursive_fit_equals_a_batch_fit(spark):
     off = df.filter("y is not null and weather is not null").select(F.max(F.abs(model.prediction(F.col("features")) - F.col("y")))).first()[0]
     assert off < 0.6
     assert df.filter("weather is null").select(model.prediction(F.col("features"))).first()[0] is None
+    once = recursive.RecursiveLeastSquares(0.5, 0.0)
+    once.update_all(df.withColumn("batch", F.col("i") % 3), "batch", 3)
+    assert all(once.weights()[s] == pytest.approx(w, abs=1e-9) for s, w in forgets.weights().items()) and once.updates == 3
     merged = recursive.RecursiveLeastSquares(penalty=0.0)
     merged.merge(model)
     merged.merge(other)
