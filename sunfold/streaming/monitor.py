@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sunfold.sources.logs import growing_lines
+
 
 def error_monitor(stream: DataFrame, key: str = "series_id", p: str = "prediction", t: str = "target", window: int = 100, recent: int = 20, mean_at: float = 0.1, std_at: float = 0.15, trend_at: float = 0.05, late_at: float = 0.08) -> DataFrame:
     """(key, n, mean, std, trend, level) for each key and micro-batch that has rows of it.
@@ -53,9 +55,8 @@ def online_learner(stream: DataFrame, learn: Callable[[DataFrame, int], None], c
 
 
 def training_log(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (file, epoch, loss) from lines of experiment logs as they grow by whole files."""
-    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").load(folder)
-    return parsed_log(lines.withColumn("file", F.col("_metadata.file_path")))
+    """A stream of (file, epoch, loss) from lines of experiment logs as they grow; each line is read once, when it has ended."""
+    return parsed_log(growing_lines(spark, folder))
 
 
 def parsed_log(lines: DataFrame) -> DataFrame:
