@@ -214,6 +214,8 @@ def walk_forward(df: DataFrame, folder: str, config: Config | None = None) -> Da
     rows = weather.classify(clean(df, config), tuple(config.weights), pressure_base=config.pressure_base).drop("rn", "ge", "ci", "wsi")
     folded = split.walk_forward(rows.withColumn("target", F.col("power")), config.folds)
     sinks.write_table(folded, f"{folder}/folds", ["fold", "split"])
+    parts = spark.read.parquet(f"{folder}/folds").groupBy("fold", "split").agg(F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"), F.count("*").alias("rows"))
+    sinks.write_params(spark, {"folds": [r.asDict() for r in parts.orderBy("fold", "first").collect()]}, f"{folder}/fold_info")  # three rows a fold
     out, bank = None, {}
     for fold in range(len(config.folds)):
         part = spark.read.parquet(f"{folder}/folds").filter(F.col("fold") == fold).drop("fold")

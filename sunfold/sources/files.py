@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sunfold.schema import ALIASES, MEASURES, TIME_NAMES
+from sunfold.sources.excel import read_excel
 
 _LOWER = {k.lower(): v for k, v in ALIASES.items()}
 
@@ -77,15 +78,17 @@ def _stem() -> Column:
 
 
 def read_station(spark: SparkSession, path: str) -> DataFrame:
-    """One station's file, or files of one layout: csv, txt or parquet, by suffix."""
+    """One station's file, or files of one layout: csv, txt, xlsx or parquet, by suffix."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix in ("csv", "txt"):
         raw = spark.read.option("header", True).csv(path)
     elif suffix == "parquet":
         raw = spark.read.parquet(path)
         raw = raw.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns))
-    elif suffix in ("xlsx", "xls"):
-        raise ValueError("Excel files need an Excel data source; convert them to CSV")
+    elif suffix == "xlsx":
+        raw = read_excel(spark, path)
+    elif suffix == "xls":
+        raise ValueError("workbooks of the old binary format can't be read; save them as .xlsx")
     else:
         raise ValueError(f"unsupported file type: {suffix}")
     named = raw if "station" in raw.columns else raw.select("*", _stem().alias("station"))

@@ -87,6 +87,9 @@ def test_bootstrap_counts_equal_rows(spark):
 def test_walk_forward(spark, plant, tmp_path):
     year = plant.withColumn("ts", F.expr("ts + make_dt_interval(int(pmod(row_id, 170)), 0, 0, 0)"))
     got = pipeline.walk_forward(year, str(tmp_path), pipeline.Config(folds=((2, 1, 1), (3, 1, 1)), modes=2, mode_rounds=10, embedding=6, length=2, weight_every=50))
+    info = pipeline.sinks.read_params(spark, f"{tmp_path}/fold_info")["folds"]
+    assert len(info) == 6 and all(r["rows"] > 0 and r["first"] <= r["last"] for r in info)
+    assert spark.read.parquet(f"{tmp_path}/fold=0/thresholds").filter("ci_low between 0.15 and 0.25 and ci_high between 0.55 and 0.65").count() > 0
     assert {(r["fold"], r["models"]) for r in got.collect()} == {(f, m) for f in (0, 1) for m in ("start", "online")}
 
 
