@@ -216,6 +216,12 @@ def _parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _short_parity(shingles: np.ndarray) -> list[int]:
+    """A parity over 256 places, as four numbers."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _folded(parity: bytes, size: int) -> int:
     """A parity of so many bytes, which is the set's own parity over fewer places."""
     n, v = len(parity), int.from_bytes(parity, "little")
@@ -356,13 +362,13 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
                     x = _shingle_set(t, words)
                     n, d = len(x), _digest(x)
                     if d in known:
-                        out.append((d, None, None, None))
+                        out.append((d, None, None, None, None))
                         continue
                     known.add(d)
                     first = x[np.argsort(counts[_class_of(x)], kind="stable")[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64)
-                    out.append((d, n, _parity(x), first))
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-                yield pa.record_batch([part[0], *columns], ["node", "digest", "size", "parity", "first"])
+                    out.append((d, n, _parity(x), first, _short_parity(x)))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)]
+                yield pa.record_batch([part[0], *columns], ["node", "digest", "size", "parity", "first", "short"])
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 2), np.int64)
@@ -387,16 +393,20 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
         yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1]), none(len(held)), none(len(held))], names)
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by pair of blocks, each of which is named; within it by side."""
+        """Rows are sorted by pair of blocks, each of which is named; within it by side. Of the pairs that differ in root only those
+        go on that places and short parities allow: sets differ in at least as many shingles as their parities in bits."""
         held: list[np.ndarray] = []
         n = 0
-        for start, _, digest, place, root, side in _runs(batches):
+        for start, _, digest, place, root, side, *short in _runs(batches):
+            bits, size = np.stack(short, 1).view(np.uint64), place >> 32
             for i, j in zip(start, np.r_[start[1:], len(root)], strict=True):
                 # within a block each row meets those behind it, else the rows of one side meet those of the other
                 middle = i + int(np.searchsorted(side[i:j], 1))
                 for at in range(i, j - 1 if middle == j else middle):
                     low = max(at + 1, middle) if middle < j else at + 1
                     b = np.flatnonzero((root[low:j] != root[at]) & _may_be_alike(place[at], place[low:j], similarity)) + low
+                    both = size[at] + size[b]
+                    b = b[(both - np.bitwise_count(bits[b] ^ bits[at]).sum(1, dtype=np.int64)) / 2 + 1e-6 >= similarity / (1 + similarity) * both]
                     if len(b):
                         held.append(np.stack([np.minimum(digest[at], digest[b]), np.maximum(digest[at], digest[b])], 1))
                         n += len(b)
@@ -408,7 +418,7 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
             pairs = np.unique(np.concatenate(held), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    prints = cut(docs.mapInArrow(frugal(describe), f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>"))
+    prints = cut(docs.mapInArrow(frugal(describe), f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>, short array<bigint>"))
     sets = prints.filter("parity is not null").select("node", "digest", "size", "parity").dropDuplicates(["digest"])
     points = prints.select("digest", "size", F.posexplode("first").alias("at", "point")).select("point", "digest", F.expr("shiftleft(size, 32) | at").alias("place"))
     met = cut(points.repartition(parts, "point").sortWithinPartitions("point", "digest").mapInArrow(frugal(first_round), "a bigint, b bigint, point bigint, place bigint"))
@@ -423,7 +433,8 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
     each = rest.join(mixed, "point").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     pair = F.xxhash64("point", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    dealt = each.select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"))
+    short = prints.filter("short is not null").select("digest", "short").dropDuplicates(["digest"])
+    dealt = each.join(short, "digest").select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"), *(F.col("short")[i].alias(f"short{i}") for i in range(4)))
     crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(frugal(second_round), "a bigint, b bigint").distinct())
     if crossed.head(1):
         links = _alike(docs, crossed, sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
