@@ -330,15 +330,16 @@ def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: s
     return met.mapInArrow(frugal(check), "a bigint, b bigint")
 
 
-def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = _BLOCK) -> DataFrame:
+def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, block: int = _BLOCK, most: int = 8) -> DataFrame:
     """(key, cluster) for each distinct key: documents whose sets of word shingles have a Jaccard similarity of at least `similarity` are linked,
     and a cluster is what links connect, named by its smallest key. Exact: no pair is lost and none is added.
 
     Shingles have one order for all texts, rare ones first. Of two sets that are alike, each has a shingle in common with
     the other among its first n - ceil(similarity * n) + 1, so only these are shuffled. The first that a pair has in
     common also bounds their overlap by what follows it. Pairs that meet are verified, by their parities and then on the
-    whole sets, in two rounds: first the star around the smallest of each bucket and the chain of neighbours, then every
-    other pair of the bucket whose members are not connected yet. A pair left out is connected already.
+    whole sets, in rounds: first the star around the smallest of each bucket and the chain of neighbours, then the other pairs
+    of the bucket whose members are not connected yet, at most `most` for each member, 64 times as many in the next round and
+    so on until a round leaves none. A pair left out is connected already.
 
     Texts are read again for each round, and only those that parities leave send their sets. How frequent a shingle is comes
     from counts of classes of shingles over all texts; it changes the work, not the result. Members of a bucket that are not
@@ -392,31 +393,41 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
                 yield pa.record_batch([pa.array(digest[more]), none(int(more.sum())), pa.array(point[more]), pa.array(place[more])], names)
         yield pa.record_batch([pa.array(held[:, 0]), pa.array(held[:, 1]), none(len(held)), none(len(held))], names)
 
-    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by pair of blocks, each of which is named; within it by side. Of the pairs that differ in root only those
-        go on that places and short parities allow: sets differ in at least as many shingles as their parities in bits."""
-        held: list[np.ndarray] = []
-        n = 0
-        for start, _, digest, place, root, side, *short in _runs(batches):
-            bits, size = np.stack(short, 1).view(np.uint64), place >> 32
-            for i, j in zip(start, np.r_[start[1:], len(root)], strict=True):
-                # within a block each row meets those behind it, else the rows of one side meet those of the other
-                middle = i + int(np.searchsorted(side[i:j], 1))
-                for at in range(i, j - 1 if middle == j else middle):
-                    low = max(at + 1, middle) if middle < j else at + 1
-                    b = np.flatnonzero((root[low:j] != root[at]) & _may_be_alike(place[at], place[low:j], similarity)) + low
-                    both = size[at] + size[b]
-                    b = b[(both - np.bitwise_count(bits[b] ^ bits[at]).sum(1, dtype=np.int64)) / 2 + 1e-6 >= similarity / (1 + similarity) * both]
-                    if len(b):
-                        held.append(np.stack([np.minimum(digest[at], digest[b]), np.maximum(digest[at], digest[b])], 1))
-                        n += len(b)
-                    if n > 500_000:
-                        pairs = np.unique(np.concatenate(held), axis=0)
-                        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-                        held, n = [], 0
-        if held:
-            pairs = np.unique(np.concatenate(held), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    def crossing(most: int):
+        """A round over rows sorted by pair of blocks, each of which is named; within it by side. Of the pairs that differ in root only
+        those go on that places and short parities allow: sets differ in at least as many shingles as their parities in bits. Each row
+        sends at most so many pairs, to different roots first; a row of nulls says that some were left for a further round."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+            n, left = 0, False
+            for start, _, digest, place, root, side, *short in _runs(batches):
+                bits, size = np.stack(short, 1).view(np.uint64), place >> 32
+                for i, j in zip(start, np.r_[start[1:], len(root)], strict=True):
+                    # within a block each row meets those behind it, else the rows of one side meet those of the other
+                    middle = i + int(np.searchsorted(side[i:j], 1))
+                    for at in range(i, j - 1 if middle == j else middle):
+                        low = max(at + 1, middle) if middle < j else at + 1
+                        b = np.flatnonzero((root[low:j] != root[at]) & _may_be_alike(place[at], place[low:j], similarity)) + low
+                        both = size[at] + size[b]
+                        b = b[(both - np.bitwise_count(bits[b] ^ bits[at]).sum(1, dtype=np.int64)) / 2 + 1e-6 >= similarity / (1 + similarity) * both]
+                        if len(b) > most:
+                            new = np.unique(root[b], return_index=True)[1]
+                            b, left = b[np.r_[new, np.setdiff1d(np.arange(len(b)), new)][:most]], True
+                        if len(b):
+                            held.append(np.stack([np.minimum(digest[at], digest[b]), np.maximum(digest[at], digest[b])], 1))
+                            n += len(b)
+                        if n > 500_000:
+                            pairs = np.unique(np.concatenate(held), axis=0)
+                            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                            held, n = [], 0
+            if held:
+                pairs = np.unique(np.concatenate(held), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            if left:
+                yield pa.record_batch([pa.nulls(1, pa.int64())] * 2, ["a", "b"])
+
+        return run
 
     prints = cut(docs.mapInArrow(frugal(describe), f"node {kind}, digest bigint, size bigint, parity binary, first array<bigint>, short array<bigint>"))
     sets = prints.filter("parity is not null").select("node", "digest", "size", "parity").dropDuplicates(["digest"])
@@ -427,18 +438,22 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
     several = prints.groupBy("node").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).filter("a <> z")
     links = links.unionAll(prints.join(several, "node").select("a", F.col("digest").alias("b")))
     found = cut(connected_components(links).withColumnsRenamed({"node": "a"}))
-    rest = met.filter("b is null").join(found, "a", "left").select("point", F.col("a").alias("digest"), "place", F.coalesce("root", "a").alias("root"))
-    rest = cut(rest)
-    mixed = rest.groupBy("point").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("point", "blocks")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    each = rest.join(mixed, "point").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    pair = F.xxhash64("point", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
     short = prints.filter("short is not null").select("digest", "short").dropDuplicates(["digest"])
-    dealt = each.join(short, "digest").select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"), *(F.col("short")[i].alias(f"short{i}") for i in range(4)))
-    crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(frugal(second_round), "a bigint, b bigint").distinct())
-    if crossed.head(1):
-        links = _alike(docs, crossed, sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
-        found = connected_components(links).withColumnsRenamed({"node": "a"})
+    while True:
+        rest = cut(met.filter("b is null").join(found, "a", "left").select("point", F.col("a").alias("digest"), "place", F.coalesce("root", "a").alias("root")))
+        mixed = rest.groupBy("point").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("point", "blocks")
+        own = F.pmod(F.xxhash64("digest"), F.col("blocks"))
+        each = rest.join(mixed, "point").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        pair = F.xxhash64("point", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+        dealt = each.join(short, "digest").select(pair, "digest", "place", "root", F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("bigint").alias("side"), *(F.col("short")[i].alias(f"short{i}") for i in range(4)))
+        crossed = cut(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(frugal(crossing(most)), "a bigint, b bigint").distinct())
+        if not crossed.head(1):
+            break
+        links = _alike(docs, crossed.filter("a is not null"), sets, key, text, words, similarity).unionAll(found.select("a", F.col("root").alias("b")))
+        found = cut(connected_components(links).withColumnsRenamed({"node": "a"}))
+        if not crossed.filter("a is null").head(1):
+            break
+        most *= 64
     rooted = cut(prints.select("node", "digest").join(found, prints["digest"] == found["a"], "left").select("node", F.coalesce("root", "digest").alias("root")).distinct())
     least = rooted.groupBy("root").agg(F.min("node").alias("cluster"))
     return rooted.join(least, "root").select(F.col("node").alias(key), "cluster")

@@ -628,16 +628,17 @@ def test_near_duplicate_clusters_equal_brute_force_at_the_threshold(spark):
     assert got == brute_clusters(rows)
 
 
-@pytest.mark.parametrize("block", [5, 4096])
-def test_near_duplicate_clusters_in_buckets_that_clusters_share(spark, block):
-    """Short texts of many clusters, in mixed order, that share most of their shingles with other clusters; large buckets in pairs of blocks."""
+@pytest.mark.parametrize(("block", "most"), [(5, 8), (4096, 8), (4096, 1)])
+def test_near_duplicate_clusters_in_buckets_that_clusters_share(spark, block, most):
+    """Short texts of many clusters, in mixed order, that share most of their shingles with other clusters; large buckets in pairs of
+    blocks, their pairs in several rounds."""
     rng = random.Random(11)
     begin = [f"b{i}" for i in range(11)]
     rows = []
     for i in range(400):
         words = begin + [f"c{rng.randrange(4)}" for _ in range(rng.randrange(3))] + [f"d{rng.randrange(12)}"] * rng.randrange(3)
         rows.append((i, " ".join(words[rng.randrange(4) :])))
-    got = dict(map(tuple, simhash.near_duplicate_clusters(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()))
+    got = dict(map(tuple, simhash.near_duplicate_clusters(spark.createDataFrame(rows, "doc_id long, text string"), block=block, most=most).collect()))
     assert got == brute_clusters(rows)
     assert 3 < len(set(got.values())) < 300
 
