@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -11,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sunfold.operators.ordered import SERIES, windowed
+from sunfold.operators.ordered import ROW, SERIES, numbered, windowed
 from sunfold.operators.quantiles import magnitude, quantiles
+from sunfold.runtime import cut
 
 EPS = 1e-8
 
@@ -81,12 +83,12 @@ def paired(a: DataFrame, b: DataFrame, on: Sequence[str], p: str = "prediction",
     return x.join(y, list(on)).select((F.col("__a") - F.col("__b")).alias("d"))
 
 
-def t_test(d: DataFrame) -> DataFrame:
-    """One row over differences d: n, t, p_value (two-sided), cohens_d (by the population deviation), significant (p < 0.05)."""
-    row = d.agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.stddev_pop("d").alias("pop"))
+def t_test(d: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Over differences d, a row (of each group): n, t, p_value (two-sided), cohens_d (by the population deviation), significant (p < 0.05)."""
+    row = d.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.stddev_pop("d").alias("pop"))
     t = F.try_divide(F.col("m"), F.col("s") / F.sqrt("n"))
     value = F.pandas_udf(lambda x, n: pd.Series([_t_p(a, b - 1) for a, b in zip(x, n, strict=True)]), "double")
-    out = row.select("n", t.alias("t"), F.try_divide("m", "pop").alias("cohens_d")).withColumn("p_value", value("t", "n"))
+    out = row.select(*by, "n", t.alias("t"), F.try_divide("m", "pop").alias("cohens_d")).withColumn("p_value", value("t", "n"))
     return out.withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
@@ -320,3 +322,31 @@ def against_baseline(df: DataFrame, baseline: int = 0, by: str = "weather", **na
     long = long.unpivot([by], [c for c in long.columns if c != by], "metric", "value")
     base = long.filter(F.col(by) == baseline).select("metric", F.col("value").alias("baseline"))  # a row for each metric
     return long.join(F.broadcast(base), "metric", "left").select(by, "metric", "value", "baseline", (F.try_divide(F.col("value") - F.col("baseline"), F.abs("baseline")) * 100).alias("change"))
+
+
+def significance_against(df: DataFrame, baseline: int = 0, states: Sequence[int] = (0, 1, 2), test: str = "paired_t", by: str = "weather", p: str = "prediction", t: str = "target", digits: int | None = None) -> DataFrame:
+    """(class, mae, baseline_mae, unpaired, and what the test gives) for each other class of `states` with rows: whether its
+    absolute errors differ from the baseline's. A positive difference is a greater error of the baseline.
+
+    A class's rows in order of time meet the baseline's by their place, as far as both go; `unpaired` counts the rest of the
+    longer, 0 for a proper paired test. Rows without an error don't count. digits: round differences, so that ties are ties.
+    Without rows of the baseline or of another class there is no row; without spread t and p_value are null."""
+    if test not in ("paired_t", "wilcoxon"):
+        raise ValueError(f"unknown test {test}")
+    e = df.select(F.col(by), "ts", ROW, F.abs(F.col(p) - F.col(t)).alias("e")).filter(F.col("e").isNotNull() & F.col(by).isin(*states))
+    placed = cut(numbered(e, by).select(by, "rn", "e"))
+    base = placed.filter(F.col(by) == baseline).select("rn", F.col("e").alias("base"))
+    other = placed.filter(F.col(by) != baseline)
+    gap = F.col("base") - F.col("e")
+    d = cut(other.join(base, "rn").select(by, "e", "base", (gap if digits is None else F.round(gap, digits) + 0.0).alias("d")))
+    sizes = other.groupBy(by).agg(F.count("*").alias("__own")).join(F.broadcast(base.agg(F.count("*").alias("__base"))), F.lit(True))
+    facts = d.groupBy(by).agg(F.avg("e").alias("mae"), F.avg("base").alias("baseline_mae")).join(sizes, by)
+    facts = facts.select(by, "mae", "baseline_mae", F.abs(F.col("__own") - F.col("__base")).alias("unpaired"))
+    if test == "paired_t":
+        found = t_test(d, (by,))
+    else:
+        each = [wilcoxon(d.filter(F.col(by) == s)).withColumn(by, F.lit(s).cast(d.schema[by].dataType)) for s in states if s != baseline]
+        if not each:
+            raise ValueError("no class but the baseline")
+        found = reduce(DataFrame.unionByName, each).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+    return facts.join(found, by)

@@ -669,6 +669,23 @@ def metrics_against_baseline(spark, d):
     return evaluate.against_baseline(pred(spark, d))
 
 
+_MET = f"""WITH {PRED}, e AS (SELECT weather, abs(prediction - target) AS e, row_number() OVER (PARTITION BY weather ORDER BY ts, row_id) AS k FROM pred WHERE prediction - target IS NOT NULL),
+ c AS (SELECT weather, count(*) AS c FROM e GROUP BY weather),
+ d AS (SELECT a.weather, a.e, b.e AS base, round(b.e - a.e, 6) + 0.0 AS d FROM e a JOIN e b ON a.k = b.k AND b.weather = 0 WHERE a.weather <> 0),
+ f AS (SELECT d.weather, avg(e) AS mae, avg(base) AS baseline_mae, any_value(abs(own.c - zero.c)) AS unpaired FROM d JOIN c own ON own.weather = d.weather JOIN c zero ON zero.weather = 0 GROUP BY d.weather)"""
+
+
+@query(_MET + " SELECT f.*, count(d) AS n, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, avg(d) / stddev_pop(d) AS cohens_d FROM f JOIN d USING (weather) GROUP BY ALL", "mae baseline_mae t cohens_d")
+def significance_ttest(spark, d):
+    """Errors of each weather state against the first's, paired by place in time."""
+    return evaluate.significance_against(pred(spark, d), digits=6).select("weather", "mae", "baseline_mae", "unpaired", "n", "t", "cohens_d")
+
+
+@query(_MET + ", r AS (SELECT weather, d, rank() OVER (PARTITION BY weather ORDER BY abs(d)) + (count(*) OVER (PARTITION BY weather, abs(d)) - 1) / 2.0::DOUBLE AS k FROM d WHERE d <> 0) SELECT f.*, count(*) AS n, least(sum(CASE WHEN d > 0 THEN k ELSE 0 END), sum(CASE WHEN d < 0 THEN k ELSE 0 END)) AS w FROM f JOIN r USING (weather) GROUP BY ALL", "mae baseline_mae w")
+def significance_wilcoxon(spark, d):
+    return evaluate.significance_against(pred(spark, d), test="wilcoxon", digits=6).select("weather", "mae", "baseline_mae", "unpaired", "n", "w")
+
+
 @query(_CLASS + " SELECT a.metric, a.value AS a, b.value AS b, b.value - a.value AS difference, coalesce((b.value - a.value) / CASE WHEN a.value <> 0 THEN abs(a.value) END * 100, 0) AS improvement FROM l a JOIN l b ON a.metric = b.metric AND a.weather = 0 AND b.weather = 1", "a b difference improvement", 9)
 def checkpoint_compare(spark, d):
     long = evaluate.metrics_long(pred(spark, d))
