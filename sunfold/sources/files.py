@@ -35,8 +35,8 @@ def time_column(names: Sequence[str]) -> str:
 def canonical(raw: DataFrame, station: Column | None = None, required: Sequence[str] = MEASURES) -> DataFrame:
     """raw, all text, as ts, station and numbers under canonical names and units; other columns are carried.
 
-    Unreadable numbers are null. Megawatts become kilowatts, also where a power column never exceeds 1.5; kilopascals become
-    hectopascals; irradiance falls back on total, direct and diffuse; humidity is held within 0 and 100. A required column
+    Unreadable numbers are null. Megawatts become kilowatts, also where a power column never exceeds 1.5; without either, power_kwh
+    is taken as it is; kilopascals become hectopascals; irradiance falls back on total, direct and diffuse; humidity is held within 0 and 100. A required column
     that is missing raises ValueError."""
     names = [re.sub(r"\s+", " ", c).strip() for c in raw.columns]
     df = raw.toDF(*names)
@@ -58,6 +58,9 @@ def canonical(raw: DataFrame, station: Column | None = None, required: Sequence[
         most = df.agg(F.max(held["power"])).first()[0]  # one number
         if most is not None and most <= 1.5:
             held["power"] = held["power"] * 1000
+    elif energy := next((c for c in rest if c.lower() == "power_kwh"), None):
+        held["power"] = number(energy)
+        rest.remove(energy)
     chain = [held.pop(c) for c in ("irradiance", "irradiance_total", "dni", "dhi") if c in held]
     if chain:
         held["irradiance"] = F.coalesce(*chain)
