@@ -74,3 +74,39 @@ def test_even_series_keep_their_highest_frequency():
     x = np.where(np.arange(64) % 2, -1.0, 1.0)
     u, w = modes.decompose(x, 2)
     assert w[-1] == pytest.approx(0.5) and np.linalg.norm(x - u.sum(0)) < 0.1 * np.linalg.norm(x)
+
+
+def test_rounds_on_moments_equal_rounds_on_the_spectrum():
+    """Hundreds of rounds, which no series of less than a band's width or with one tone upsets; a narrow and a wide filter, a quick multiplier."""
+    rng, t = np.random.default_rng(3), np.arange(4000)
+    for x, k, how in ((rng.exponential(size=4001), 4, {}), (np.sin(2 * np.pi * 0.05 * t), 2, {}), (rng.normal(size=5), 3, {}), (rng.normal(size=900), 3, {"alpha": 30.0}), (rng.exponential(size=900), 5, {"tau": 1.0})):
+        how = {"alpha": 2000.0, "tau": 0.1} | how
+        f, power, bands = np.arange(len(x) // 2 + 1) / len(x), np.abs(np.fft.rfft(x)) ** 2, modes._bands(how["alpha"])
+        some, found = modes.moments(power, f, bands)
+        whole = np.zeros((bands, found.shape[1]))
+        whole[some] = found
+        past, centres = modes.Rounds(*modes.nodes(whole, bands), k, **how).settle(1e-6, 500)
+        want, last = modes.Rounds(power, f, k, **how).settle(1e-6, 500)
+        assert len(past) == len(want) and np.abs(np.array(past) - want).max() < 1e-10 and np.abs(centres - last).max() < 1e-10
+
+
+def test_long_series_take_few_jobs(spark):
+    """However many rounds they need."""
+    df = frame(spark, {"a": np.random.default_rng(4).exponential(size=500)})
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rounds", "")
+    assert modes.centre_frequencies(df, modes=3, longest=100, tol=0.0, rounds=300).count() == 3
+    jobs = len(seen.getJobIdsForGroup("rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 60
+
+
+def test_modes_cover_rows_that_share_a_number(spark, tmp_path):
+    """Copied rows with one event_id, and a null series: the query counts each row once."""
+    from sunfold.plans import queries
+
+    rows = [(i % 40, T0 + dt.timedelta(minutes=i), 1, k, 5.0 + i % 7, '{"k": 1}') for k in ("a", None) for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["series_id"]: (r["n"], r["total"]) for r in queries.queries()["vmd_modes_cover"](spark, str(tmp_path)).collect()}
+    assert got == {k: (80, sum(5.0 + i % 7 for i in range(80))) for k in ("a", None)}
+    assert queries.queries()["vmd_diagnostics"](spark, str(tmp_path)).filter("relative_error < 1").count() == 2
