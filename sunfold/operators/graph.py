@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sunfold.runtime import cut, shuffle_partitions
@@ -200,30 +201,116 @@ class Eigen:
     products: int  # of the Laplacian with the vectors
 
 
-def _times(lap: DataFrame, now: DataFrame, d: int, kept: Sequence[str]) -> DataFrame:
-    """(node, kept, times): the arrays of `kept` and the Laplacian's product with the last of them, by one join and one aggregate. A
-    node's own arrays come through its diagonal entry."""
-    y = kept[-1]
-    met = lap.join(now, lap["dst"] == now["node"])
-    own = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
-    sums = [*(F.sum(own * F.col(c)[j]).alias(f"{c}{j}") for c in kept for j in range(d)), *(F.sum(F.col("l") * F.col(y)[j]).alias(f"times{j}") for j in range(d))]
-    got = met.groupBy("src").agg(*sums)
-    return got.select(F.col("src").alias("node"), *(F.array(*(F.col(f"{c}{j}") for j in range(d))).alias(c) for c in (*kept, "times")))
-
-
-def _combined(terms: Sequence[tuple[str, float]]) -> Column:
-    """A sum of arrays, each times a number."""
-    scaled = [F.transform(c, lambda v: v * F.lit(float(x))) for c, x in terms]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda u, v: u + v), scaled)
-
-
-def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int = 10, rounds: int = 40, more: int | None = None, seed: int = 42) -> Eigen:
+class _Blocks:
+    """A Laplacian in blocks of about `block` nodes by hash, to be multiplied with tables (block, y), y the rows of a matrix in bytes.
+
+    entries: for each two blocks with edges (block, to, rows, starts, columns, l), the edges that bring values from `block` to `to`. names:
+    (node, block, row). A product is a join of blocks and an aggregate by block; of a partial sum only rows with edges are sent."""
+
+    def __init__(self, lap: DataFrame, nodes: DataFrame, n: int, block: int = 1 << 16):
+        many = max(-(-n // block), min(shuffle_partitions(lap.sparkSession), -(-n // 4096)), 1)
+        at = F.pmod(F.xxhash64("node"), F.lit(many))
+        row = F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1
+        self.names = cut(nodes.withColumn("block", at).withColumn("row", row))
+        one, other = (self.names.select(F.col("node").alias(x), F.col("block").alias(f"{x}_block"), F.col("row").alias(f"{x}_row")) for x in ("src", "dst"))
+        named = lap.join(one, "src").join(other, "dst").select(F.col("dst_block").alias("block"), F.col("src_block").alias("to"), "src_row", "dst_row", "l")
+
+        def pack(table: pa.Table) -> pa.Table:
+            row, column, value = (np.asarray(table[c].combine_chunks()) for c in ("src_row", "dst_row", "l"))
+            order = np.lexsort((column, row))
+            row = row[order].astype(np.int32)
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            cells = [row[starts], starts.astype(np.int32), column[order].astype(np.int32), value[order]]
+            return pa.table([table["block"].slice(0, 1), table["to"].slice(0, 1), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "to", "rows", "starts", "columns", "l"])
+
+        self.entries = cut(named.groupBy("block", "to").applyInArrow(pack, "block long, to long, rows binary, starts binary, columns binary, l binary"))
+
+    def table(self, vectors: DataFrame) -> DataFrame:
+        """(block, y) of a table (node, y); nodes that it lacks are zeros."""
+
+        def pack(table: pa.Table) -> pa.Table:
+            rows = np.asarray(table["row"].combine_chunks())
+            y = table["y"].combine_chunks()
+            known = np.asarray(y.is_valid())
+            out = np.zeros((rows.max() + 1, len(y.flatten()) // max(1, known.sum())))
+            out[rows[known]] = np.asarray(y.flatten()).reshape(known.sum(), -1)
+            return pa.table([table["block"].slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["block", "y"])
+
+        return self.names.join(vectors, "node", "left").select("block", "row", "y").groupBy("block").applyInArrow(pack, "block long, y binary")
+
+    def times(self, now: DataFrame, d: int, made: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+        """(block, y, x) by made(product, y, x) of `now`, a table (block, y, x), x null or what y was before; y has d columns."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    to, *raw = (c[i] for c in batch.columns)
+                    rows, starts, columns, value, y = (np.frombuffer(r.as_buffer(), t) for r, t in zip(raw, (np.int32, np.int32, np.int32, float, float), strict=True))
+                    sums = np.add.reduceat(value[:, None] * y.reshape(-1, d)[columns], starts, axis=0)
+                    yield pa.record_batch([pa.array([to.as_py()]), pa.array([rows.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["block", "rows", "sums", "y", "x"])
+
+        def whole(table: pa.Table) -> pa.Table:
+            own = table.filter(pa.compute.is_valid(table["y"]))
+            y, x = (None if own[c].null_count else np.frombuffer(own[c][0].as_buffer(), float).reshape(-1, d) for c in ("y", "x"))
+            total = np.zeros_like(y)
+            rest = table.filter(pa.compute.is_valid(table["rows"]))
+            for rows, sums in zip(rest["rows"], rest["sums"], strict=True):
+                total[np.frombuffer(rows.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer(), float).reshape(-1, d)
+            return pa.table([own["block"], *(pa.array([None if v is None else np.ascontiguousarray(v).tobytes()], pa.binary()) for v in made(total, y, x))], names=["block", "y", "x"])
+
+        schema = "block long, rows binary, sums binary, y binary, x binary"
+        met = self.entries.join(now.select("block", "y"), "block").select("to", "rows", "starts", "columns", "l", "y").mapInArrow(part, schema)
+        none = F.lit(None).cast("binary")
+        own = now.select("block", none.alias("rows"), none.alias("sums"), "y", "x")
+        return met.unionAll(own).groupBy("block").applyInArrow(whole, "block long, y binary, x binary")
+
+    def mapped(self, now: DataFrame, d: int, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """(block, y, x): made(y), row by row, and null."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, y in zip(*batch.columns, strict=True):
+                    out = np.ascontiguousarray(made(np.frombuffer(y.as_buffer(), float).reshape(-1, d)))
+                    yield pa.record_batch([pa.array([block.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["block", "y", "x"])
+
+        return now.select("block", "y").mapInArrow(run, "block long, y binary, x binary")
+
+    def gram(self, now: DataFrame, d: int) -> np.ndarray:
+        """The sum of outer products of the rows of y."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((d, d))
+            for batch in batches:
+                for y in batch[0]:
+                    m = np.frombuffer(y.as_buffer(), float).reshape(-1, d)
+                    total += m.T @ m
+            yield pa.record_batch([pa.array(np.arange(d * d)), pa.array(total.ravel())], ["at", "x"])
+
+        sums = now.select("y").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
+        return sums["x"].to_numpy().reshape(d, d)
+
+    def rows(self, now: DataFrame, d: int, keep: int) -> DataFrame:
+        """(node, f), the first columns of y."""
+        kinds = "block long, row int, f array<double>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, y in zip(*batch.columns, strict=True):
+                    m = np.frombuffer(y.as_buffer(), float).reshape(-1, d)[:, :keep]
+                    for low in range(0, len(m), 8192):
+                        part = m[low : low + 8192]
+                        yield pa.record_batch([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(list(part), pa.list_(pa.float64()))], ["block", "row", "f"])
+
+        return self.names.join(now.select("block", "y").mapInArrow(run, kinds), ["block", "row"]).select("node", "f")
+
+
+def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int = 60, rounds: int = 40, more: int | None = None, seed: int = 42) -> Eigen:
     """The d eigenvectors of the Laplacian with the smallest eigenvalues, by subspace iteration under Chebyshev filters.
 
     Of a block of d + more vectors, small matrices of inner products give the best approximations within their span and how far
     these are from eigenvectors (Rayleigh-Ritz). Until the first d are within `tol`, a polynomial of the Laplacian that is small from the
-    block's largest value on and grows fast below it is applied. RuntimeError if `rounds` filters don't suffice. The vectors are a table,
-    a row for each node; a factor of the polynomial is a join with the edges and an aggregate, and only small matrices pass the driver.
+    block's largest value on and grows fast below it is applied. RuntimeError if `rounds` filters don't suffice. The vectors are a table
+    of blocks of nodes; a factor of the polynomial is a join with the blocks of edges and an aggregate, and only small matrices pass the driver.
     Where there are fewer than d nodes, there are as many vectors. Equal eigenvalues have any basis of their space."""
     lap = cut(lap)
     nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
@@ -232,44 +319,44 @@ def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int
     size = min(n, d + (max(4, d // 2) if more is None else more))
     if not d:
         return Eigen(nodes.select("node", F.array().cast("array<double>").alias("f")), np.empty(0), np.empty(0), 0)
-    now = nodes.select("node", F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(size))).alias("y"))
+    blocks = _Blocks(lap, nodes, n)
+    start = nodes.select("node", F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(size))).alias("y"))
+    now = blocks.table(start).withColumn("x", F.lit(None).cast("binary"))
     products = 0
     for round_ in range(rounds + 1):
-        both = cut(_times(lap, now, size, ["y"]).select("node", F.concat("y", "times").alias("x")))
+        both = cut(blocks.times(now, size, lambda p, y, x: (np.hstack([y, p]), None)))
         products += 1
-        g = gram(both, "x", 2 * size)
+        g = blocks.gram(both, 2 * size)
         length = np.sqrt(np.maximum(np.diag(g)[:size], 1e-300))
         scale, basis = np.linalg.eigh(g[:size, :size] / np.outer(length, length))
         basis = basis[:, scale > 1e-13] / np.sqrt(scale[scale > 1e-13]) / length[:, None]
         values, turn = np.linalg.eigh(basis.T @ g[:size, size:] @ basis)
         turn = basis @ turn
         off = np.einsum("ij,ij->j", turn, g[size:, size:] @ turn) - values**2
-        size = turn.shape[1]
-        both = both.select("node", F.slice("x", 1, len(turn)).alias("y"))
-        now = project(both, "y", turn, "f").select("node", F.col("f").alias("y"))
+        had, size = len(turn), turn.shape[1]
+        now = blocks.mapped(both, 2 * had, lambda y, had=had, turn=turn: y[:, :had] @ turn)
         residuals = np.sqrt(np.maximum(off, 0))
         if residuals[:d].max() <= tol or size == n:
-            return Eigen(cut(now.select("node", F.slice("y", 1, d).alias("f"))), np.maximum(values[:d], 0), residuals[:d], products)
+            return Eigen(cut(blocks.rows(now, size, d)), np.maximum(values[:d], 0), residuals[:d], products)
         if round_ == rounds:
             break
         high = 2.0 + 1e-9
-        low = max(float(values[-1]), float(values[d - 1]) * 0.9 + 0.1 * high, 1e-3)  # above the last one wanted, even if the whole block is as large
+        # from the block's largest value on; above the last one wanted, by a little of it only, since what lies between would grow too
+        low = min(max(float(values[-1]), float(values[d - 1]) * 1.1, 1e-6), 0.95 * high)
         e, c = (high - low) / 2, (high + low) / 2
         least = min(float(values[0]), low / 2)
         steps = max(1, min(degree, int(np.arccosh(1e5) / np.arccosh((c - least) / e))))  # or vectors become too much alike to be told apart
         sigma = e / (least - c)
-        step = _times(lap, now, size, ["y"])
-        now = step.select("node", F.col("y").alias("x"), _combined([("times", sigma / e), ("y", -c * sigma / e)]).alias("y"))
+        now = blocks.times(now, size, lambda p, y, x, u=sigma / e, c=c: (u * (p - c * y), y))
         tau = 2 / sigma
         for i in range(2, steps + 1):
             new = 1 / (tau - sigma)
-            step = _times(lap, now, size, ["x", "y"])
-            now = step.select("node", F.col("y").alias("x"), _combined([("times", 2 * new / e), ("y", -2 * c * new / e), ("x", -sigma * new)]).alias("y"))
+            now = blocks.times(now, size, lambda p, y, x, u=2 * new / e, v=sigma * new, c=c: (u * (p - c * y) - v * x, y))
             sigma = new
             if i % 4 == 0:
                 now = cut(now)
         products += steps
-        now = cut(now.select("node", "y"))
+        now = cut(now.select("block", "y", F.lit(None).cast("binary").alias("x")))
     raise RuntimeError(f"{rounds} filters left residuals of {residuals[:d].max():.2g}")
 
 
@@ -330,8 +417,10 @@ def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v",
     found = smallest_eigenvectors(lap, d, **eigen)
     f0, d = found.vectors, len(found.values)
     m = len(rows.select(vector).first()[0])
-    joined = cut(rows.join(f0, rows[key] == f0["node"]).select("node", F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("y")))
-    both = gram(_times(lap, joined, m + d, ["y"]).select(F.concat("y", "times").alias("x")), "x", 2 * (m + d))
+    lap = cut(lap)
+    blocks = _Blocks(lap, f0.select("node"), f0.count())
+    joined = blocks.table(rows.join(f0, rows[key] == f0["node"]).select("node", F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("y")))
+    both = blocks.gram(blocks.times(joined.withColumn("x", F.lit(None).cast("binary")), m + d, lambda p, y, x: (np.hstack([y, p]), None)), 2 * (m + d))
     g, gl = both[: m + d, : m + d], both[: m + d, m + d :]
     xx, xf, ff = g[:m, :m], g[:m, m:], g[m:, m:]
     a, b, c = np.zeros((m, d)), np.eye(d), np.zeros((m, d))  # F = F0 b + X c

@@ -14,6 +14,7 @@ from sunfold.functions import weather as W
 from sunfold.operators import adapt, embed, evaluate, graph, missing, models, modes, quality, recursive, scale, smooth, split
 from sunfold.operators.ordered import numbered
 from sunfold.plans.views import PRED, PV, PV_DIRTY, pred, pv, pv_dirty, table
+from sunfold.runtime import cut
 from sunfold.schema import MEASURES, WEATHER
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,9 +489,10 @@ def sparsity_report(spark, d):
  SELECT CAST(row_number() OVER (ORDER BY value) AS BIGINT) AS place, value, true AS orthonormal FROM v QUALIFY place <= 5""", "value", 6)
 def ring_eigenvalues(spark, d):
     """The five smallest eigenvalues of a ring of all suppliers with chords of length s and s^2, s the cube root of their number,
-    whose spectrum is known, and whether their vectors are orthonormal."""
-    n = table(spark, d, "supplier").count()
-    ring = table(spark, d, "supplier").select(F.pmod("s_suppkey", F.lit(n)).alias("i"))
+    whose spectrum is known, and whether their vectors are orthonormal. Keys may leave gaps: suppliers are numbered."""
+    numbers = table(spark, d, "supplier").select("s_suppkey").rdd.zipWithIndex().map(lambda r: (r[1],))
+    ring = cut(spark.createDataFrame(numbers, "i long"))
+    n = ring.count()
     s = int(n ** (1 / 3) + 1e-9)
     to = F.explode(F.array(*(F.pmod(F.col("i") + F.lit(o), F.lit(n)).cast("long") for o in (1, s, s * s, -1, -s, -s * s)))).alias("dst")
     found = graph.smallest_eigenvectors(graph.laplacian(ring.select(F.col("i").cast("long").alias("src"), to, F.lit(1.0).alias("w"))), 5)

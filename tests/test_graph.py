@@ -95,3 +95,15 @@ def test_neighbours_of_structured_vectors_meet_few_others(spark):
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.random(size=(n, 2)))], "vec_id long, embedding array<double>")
         share.append(graph.cells(df, 5).share)
     assert share[1] < 0.5 * share[0]
+
+
+def test_ring_of_suppliers_whose_keys_leave_gaps(spark, tmp_path):
+    """Values that lie close together at the low end, of suppliers whose keys are not one run."""
+    from sunfold.plans import queries
+
+    n, s = 1000, 10
+    spark.range(n).select((F.col("id") % 100 + F.expr("id div 100") * 1_000_000 + 1).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = queries.queries()["ring_eigenvalues"](spark, str(tmp_path)).sort("place").collect()
+    k = np.arange(n)
+    want = np.sort(1 - sum(np.cos(2 * np.pi * k * o / n) for o in (1, s, s * s)) / 3)[:5]
+    assert [r["value"] for r in got] == pytest.approx(want.tolist(), abs=2e-6) and all(r["orthonormal"] for r in got)
