@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sunfold.runtime import cut, shuffle_partitions
 
 
-BLOCK = 4096  # rows of a block, which meets others in one task
+BLOCK = 1 << 20  # values of a block of vectors; a task compares the rows of _OWN blocks with those of _OTHERS
+_OWN, _OTHERS = 4, 8
 PIVOTS = 1024  # at most, whose distances from each other are on the driver and in every task
 
 
@@ -99,68 +100,146 @@ def _blocks(sizes: np.ndarray, of: int) -> tuple[np.ndarray, np.ndarray]:
     return first, pieces
 
 
-def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int | None = None, pivots: int | None = None) -> DataFrame:
-    """(src, dst, d2, place): for each vector its k nearest others by squared distance, exactly; ties by id. Null vectors have none.
-
-    Rows are dealt to the cells of pivots and cells to blocks of at most `block` rows. A block meets only blocks with cells that may hold
-    neighbours (see `cells`), and of these only rows that may be some, in one task, which keeps the k best of each of its rows; the best of
-    all are then taken. How much that leaves out is up to the data: vectors without structure in many dimensions meet all others,
-    while in few dimensions the share that is met falls as rows grow."""
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"src {kind}, dst {kind}, d2 double"
-    found = cells(df, k, key, vector, pivots)
-    if found is None:
-        return df.sparkSession.createDataFrame([], schema + ", place long")
-    sc, n = df.sparkSession.sparkContext, int(found.sizes.sum())
+def _nearest(found: Cells, k: int, kind: str, block: int | None) -> DataFrame:
+    """(src, dst, d2): for each vector its k nearest others at least, by d2 and then by id, as `knn_edges` says."""
+    spark = found.rows.sparkSession
+    n, wide = int(found.sizes.sum()), len(found.rows.select("v").first()[0])
     order = np.argsort((found.must * found.sizes).sum(1), kind="stable")
-    own_first, own_pieces = _blocks(found.sizes[order], block or max(1, min(BLOCK, -(-n // max(1, int(shuffle_partitions(df.sparkSession) ** 0.5 * 1.5))))))
+    own_first, own_pieces = _blocks(found.sizes[order], block or max(1, min(max(256, BLOCK // max(1, wide)), -(-n // max(1, int(shuffle_partitions(spark) ** 0.5 * 1.5))))))
     first, pieces = np.zeros_like(own_first), np.ones_like(own_pieces)
     first[order], pieces[order] = own_first, own_pieces
     total = int((first + pieces).max())
+    groups = -(-total // _OWN)
+    parts = min(total, max(-(-total // _OTHERS), -(-2 * shuffle_partitions(spark) // groups)))
+    looks = np.zeros((groups, total), bool)  # whether a block has rows that a group of blocks must meet
     in_block = np.zeros((total, len(first)), bool)  # cells of a block
     for c in range(len(first)):
         in_block[first[c] : first[c] + pieces[c], c] = True
-    meets = [np.flatnonzero(in_block[:, found.must[c]].any(1)) for c in range(len(first))]  # blocks that a cell's rows look into
-    lowest = np.array([np.where(found.must[in_block[b]], found.least[in_block[b]], np.inf).min(0) for b in range(total)])  # by block and cell that is looked into
-    plan = sc.broadcast((found.least, found.must, first, pieces, meets, lowest))  # PIVOTS squared at most, and blocks by PIVOTS
+    for g in range(groups):
+        looks[g] = in_block[:, found.must[in_block[g * _OWN : (g + 1) * _OWN].any(0)].any(0)].any(1)
+    plan = spark.sparkContext.broadcast((found.least, found.must, first, pieces, looks))  # PIVOTS squared at most, and blocks by groups
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, _, first, pieces, meets, lowest = plan.value
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, _, first, pieces, _ = plan.value
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                cell, d = part["cell"].to_numpy(), part["d"].to_numpy()
-                own = first[cell] + (pd.util.hash_array(part["id"].to_numpy()) % pieces[cell].astype(np.uint64)).astype(np.int64)
-                looks = [meets[c] for c in cell]
-                seen = [np.flatnonzero(lowest[:, c] <= x) for c, x in zip(cell, d, strict=True)]
-                for side, others in ((0, looks), (1, seen)):
-                    sizes = [len(o) for o in others]
-                    if sum(sizes):
-                        out = part.loc[part.index.repeat(sizes)].assign(side=np.int32(side))
-                        a, o = np.repeat(own, sizes), np.concatenate(others).astype(np.int64)
-                        yield out.assign(a=a if side == 0 else o, b=o if side == 0 else a)
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            cell = b["cell"].to_numpy()
+            yield b.assign(block=first[cell] + (pd.util.hash_array(b["id"].to_numpy()) % pieces[cell].astype(np.uint64)).astype(np.int64))
+
+    def pack(table: pa.Table) -> pa.Table:
+        v = np.asarray(table["v"].combine_chunks().flatten())
+        cell, d = (np.asarray(table[c].combine_chunks()) for c in ("cell", "d"))
+        ids = pa.array([table["id"].to_pylist()], pa.list_(table["id"].type))
+        return pa.table([table["block"].slice(0, 1), ids, *(pa.array([x.tobytes()], pa.binary()) for x in (v, cell, d))], names=["block", "ids", "v", "cell", "d"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        looks = plan.value[-1]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, b = batch.slice(i, 1), batch["block"][i].as_py()
+                own = b // _OWN
+                to = [(own, p, 0) for p in np.unique(np.flatnonzero(looks[own]) % parts)] + [(g, b % parts, 1) for g in np.flatnonzero(looks[:, b])]
+                for g, p, side in to:
+                    yield pa.record_batch([pa.array([int(g)]), pa.array([int(p)]), pa.array([side], pa.int32()), *row.columns[1:]], ["own", "part", "side", "ids", "v", "cell", "d"])
+
+    def meet(table: pa.Table) -> pa.Table:
         least, must, *_ = plan.value
-        x, y = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
-        out = []
-        for c, own in x.groupby("cell"):
-            other = y["cell"].to_numpy()
-            near = y[must[c, other] & (y["d"].to_numpy() >= least[c, other])]
-            if not len(near):
-                continue
-            xi, yi, yv = own["id"].to_numpy(), near["id"].to_numpy(), np.stack(near["v"])
-            for at in range(0, len(own), 256):
-                d = _distances(np.stack(own["v"].iloc[at : at + 256]), yv)
-                d[xi[at : at + 256, None] == yi[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"src": np.repeat(xi[at : at + 256], best.shape[1]), "dst": yi[best].ravel(), "d2": np.take_along_axis(d, best, 1).ravel()}))
-        return pd.concat(out)[lambda f: np.isfinite(f["d2"])] if out else pd.DataFrame({"src": [], "dst": [], "d2": []})
-
-    dealt = found.rows.mapInPandas(deal, f"id {kind}, v array<double>, cell int, d double, side int, a long, b long")
-    some = dealt.groupBy("a", "b").applyInPandas(meet, schema)
-    place = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    return some.withColumn("place", place.cast("long")).filter(F.col("place") <= k)
+        kinds = table["ids"].type.value_type
+        if len(pa.compute.unique(table["side"])) < 2:  # blocks without rows
+            return pa.table([pa.array([], kinds), pa.array([], kinds), pa.array([], pa.float64())], names=["src", "dst", "d2"])
+        ids, v, cell, d = [], [], [], []
+        for side in (0, 1):
+            t = table.filter(pa.compute.equal(table["side"], side))
+            ids.append(np.asarray(t["ids"].combine_chunks().flatten()))
+            raw = lambda c, kind, t=t: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[c]])
+            v.append(raw("v", float).reshape(-1, wide))
+            cell.append(raw("cell", np.int32))
+            d.append(raw("d", float))
+        by_id = np.argsort(ids[1])
+        known, cell_y, d_y, y = ids[1][by_id], cell[1][by_id], d[1][by_id], v[1][by_id]  # a place in y is an id's rank
+        order = np.argsort(cell[0], kind="stable")
+        ids_x, cell_x, x = ids[0][order], cell[0][order], v[0][order]
+        self_ = np.minimum(np.searchsorted(known, ids_x), len(known) - 1)
+        self_ = np.where(known[self_] == ids_x, self_, -1)
+        xx, yy = (np.einsum("ij,ij->i", m, m) for m in (x, y))
+        wide_x, wide_y = np.c_[x, xx, np.ones(len(x))], np.c_[-2 * y, np.ones(len(y)), yy]  # whose products are squared distances
+        slack = 16 * (wide + 8) * np.finfo(float).eps * (xx.max() + yy.max())  # more than what products may be off by
+        best, at = np.full((len(x), k), np.inf), np.full((len(x), k), -1)
+        starts = np.flatnonzero(np.r_[True, cell_x[1:] != cell_x[:-1]])
+        for low, high in zip(starts, np.r_[starts[1:], len(x)], strict=True):
+            c = cell_x[low]
+            near = np.flatnonzero(must[c, cell_y] & (d_y >= least[c, cell_y]))
+            for j in range(0, len(near), 2048):
+                other = near[j : j + 2048]
+                z = wide_y[other].T
+                for i in range(low, high, 256):
+                    rows = slice(i, min(high, i + 256))
+                    about = wide_x[rows] @ z
+                    most = best[rows, -1]
+                    if np.isinf(most).any() and len(other) > k + 1:  # of every so-manieth row the k + 1 nearest, one of which may be the row itself
+                        some = about[:, :: max(1, min(4, len(other) // (4 * (k + 1))))]
+                        most = np.minimum(most, np.partition(some, k, axis=1)[:, k] + slack)
+                    r, o = np.nonzero(about <= (most + slack)[:, None])
+                    r, o = r + i, other[o]
+                    keep = self_[r] != o
+                    r, o = r[keep], o[keep]
+                    if not len(r):
+                        continue
+                    exact = np.zeros(len(r))
+                    for q in range(wide):
+                        exact += (x[r, q] - y[o, q]) ** 2
+                    had = np.unique(r)
+                    r, o, exact = np.r_[np.repeat(had, k), r], np.r_[at[had].ravel(), o], np.r_[best[had].ravel(), exact]
+                    by = np.lexsort((o, exact, r))
+                    r, o, exact = r[by], o[by], exact[by]
+                    new = np.searchsorted(r, had)
+                    take = new[:, None] + np.arange(k)  # each row has k entries at least, infinite ones last
+                    best[had], at[had] = exact[take], o[take]
+        r, p = np.nonzero(np.isfinite(best))
+        return pa.table([pa.array(ids_x[r], kinds), pa.array(known[at[r, p]], kinds), pa.array(best[r, p])], names=["src", "dst", "d2"])
+
+    placed = found.rows.mapInPandas(place, f"id {kind}, v array<double>, cell int, d double, block long")
+    packed = placed.groupBy("block").applyInArrow(pack, f"block long, ids array<{kind}>, v binary, cell binary, d binary")
+    dealt = packed.mapInArrow(deal, f"own long, part long, side int, ids array<{kind}>, v binary, cell binary, d binary")
+    return dealt.groupBy("own", "part").applyInArrow(meet, f"src {kind}, dst {kind}, d2 double")
+
+
+def _first(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """df with place: the first k rows of each group, found within shares of it first, so that no large group is in one task."""
+    salted = df.withColumn("__share", F.pmod(F.xxhash64(order[-1]), F.lit(64)))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    some = salted.withColumn("place", place(*by, "__share")).filter(F.col("place") <= k).drop("place", "__share")
+    return some.withColumn("place", place(*by)).filter(F.col("place") <= k)
+
+
+def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int | None = None, pivots: int | None = None) -> DataFrame:
+    """(src, dst, d2, place): for each vector its k nearest others by squared distance, exactly; ties by id. Null vectors have none.
+
+    Equal vectors are one point: the points' neighbours are found, and of a point's ids the first k + 1 can be neighbours. Points
+    are dealt to the cells of pivots, and cells to blocks. Blocks meet only those with cells that may hold neighbours (see `cells`),
+    and of these only rows that may be some. A task compares a few blocks with a few others, by products that leave out what is surely
+    farther than the k best so far; what they leave is measured exactly, and the best of all tasks are taken. How much the cells leave out is
+    up to the data: vectors without structure in many dimensions meet all others, while in few dimensions the share that is met
+    falls as rows grow."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = cut(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null"))
+    points = cut(rows.groupBy("v").agg(F.min("id").alias("point"), F.count("*").alias("n")))
+    found = cells(points, k, "point", "v", pivots)
+    if found is None:
+        return df.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, d2 double, place long")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")).cast("long")
+    near = _nearest(found, k, kind, block).withColumn("place", place).filter(F.col("place") <= k)
+    if points.filter("n > 1").isEmpty():
+        return near
+    near = cut(near)
+    copies = points.filter("n > 1").select("v", "point")
+    members = cut(rows.join(copies, "v", "left").select("id", F.coalesce("point", "id").alias("point")))
+    few = cut(_first(members, ["point"], ["id"], k + 1).select("point", "id"))
+    own = few.select(F.col("point").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d2"))
+    others = near.join(few, near["dst"] == few["point"]).select("src", F.col("id").alias("dst"), "d2")
+    best = own.unionAll(others).withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("d2", "dst"))).alias("best"))
+    others = F.slice(F.filter("best", lambda b: b["dst"] != F.col("id")), 1, k)
+    listed = members.join(best, members["point"] == best["src"]).select(F.col("id").alias("src"), F.posexplode(others).alias("at", "b"))
+    return listed.select("src", F.col("b.dst").alias("dst"), F.col("b.d2").alias("d2"), (F.col("at") + 1).cast("long").alias("place"))
 
 
 def similarity(edges: DataFrame, sigma: float = 1.0, mode: str = "mutual") -> DataFrame:

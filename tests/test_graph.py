@@ -107,3 +107,18 @@ def test_ring_of_suppliers_whose_keys_leave_gaps(spark, tmp_path):
     k = np.arange(n)
     want = np.sort(1 - sum(np.cos(2 * np.pi * k * o / n) for o in (1, s, s * s)) / 3)[:5]
     assert [r["value"] for r in got] == pytest.approx(want.tolist(), abs=2e-6) and all(r["orthonormal"] for r in got)
+
+
+def test_neighbours_among_large_groups_of_copies(spark):
+    """Copies count as neighbours by id, are compared once for each point, and may be more than a task compares; keys are strings."""
+    rng = np.random.default_rng(8)
+    x = np.r_[np.zeros((300, 3)), np.repeat(rng.normal(size=(4, 3)), 3, axis=0), rng.normal(size=(40, 3))]
+    names = [f"n{i:04}" for i in rng.permutation(len(x))]
+    df = spark.createDataFrame(list(zip(names, x.tolist(), strict=True)), "vec_id string, embedding array<double>")
+    got = {}
+    for r in graph.knn_edges(df, 5, block=16).collect():
+        got.setdefault(r["src"], []).append((r["place"], r["dst"]))
+    d = graph._distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    for i, name in enumerate(names):
+        assert sorted(got[name]) == [(p + 1, b) for p, (_, b) in enumerate(sorted(zip(d[i], names, strict=True))[:5])]
