@@ -153,6 +153,82 @@ def learn_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: i
     return w / w.sum() if np.isfinite(w).all() and w.sum() > 1e-8 else np.full(d, 1 / d)
 
 
+def _losses(far: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """neighbourhood_loss of many neighbourhoods of one size: far (many by d by n * n) has squared differences, y is many by n, w many by d."""
+    many, n = y.shape
+    dist = np.sqrt((w * w)[:, None, :] @ far).reshape(many, n, n)
+    k = np.exp(-dist)
+    live = k > 1e-10
+    np.maximum(k, 1e-10, out=k)
+    k[:, np.arange(n), np.arange(n)] = 0
+    total = k.sum(2) + 1e-8
+    guess = (k @ y[:, :, None])[:, :, 0] / total
+    r = y - guess
+    k *= live
+    k /= np.maximum(dist, 1e-12, out=dist)
+    k *= y[:, None, :] - guess[:, :, None]
+    k *= (np.sign(r) / (n * total))[:, :, None]
+    return np.abs(r).mean(1) + penalty * (w * w).sum(1), (far @ k.reshape(many, n * n, 1))[:, :, 0] * w + 2 * penalty * w
+
+
+def learn_many_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 100, memory: int = 5) -> np.ndarray:
+    """learn_weights of many neighbourhoods of one size at once (x many by n by d), each by the same steps."""
+    many, n, d = x.shape
+    y = (y - y.mean(1, keepdims=True)) / (y.std(1, keepdims=True) + 1e-8)
+    penalty = min(0.1, max(0.001, penalty))
+    far = np.stack([(x[:, :, None, j] - x[:, None, :, j]).reshape(many, n * n) ** 2 for j in range(d)], 1)
+    of = lambda i, w: _losses(far if len(i) == many else far[i], y[i], w, penalty)
+    dot = lambda a, b: np.einsum("bd,bd->b", a, b)
+    w = np.full((many, d), 1 / d)
+    loss, g = of(np.arange(many), w)
+    s, t = np.zeros((2, memory, many, d))  # the last steps, newest last; none are zeros
+    go = np.ones(many, bool)
+    for _ in range(rounds):
+        free = ~(((w <= 0) & (g > 0)) | ((w >= 1) & (g < 0)))
+        slope = np.where(free, g, 0)
+        go &= np.abs(slope).max(1) >= 1e-3
+        i = np.flatnonzero(go)
+        if not len(i):
+            break
+        q, hold = slope[i], []
+        curve = [dot(s[m, i], t[m, i]) for m in range(memory)]
+        over = [np.where(c > 0, 1 / np.where(c > 0, c, 1), 0) for c in curve]
+        for m in reversed(range(memory)):
+            a = dot(s[m, i], q) * over[m]
+            hold.append(a)
+            q = q - a[:, None] * t[m, i]
+        size = dot(t[-1, i], t[-1, i])
+        q = q * np.where(size > 0, curve[-1] / np.where(size > 0, size, 1), 1)[:, None]
+        for m, a in zip(range(memory), reversed(hold), strict=True):
+            q = q + s[m, i] * (a - dot(t[m, i], q) * over[m])[:, None]
+        q = np.where(free[i], q, 0)
+        q = np.where((dot(q, g[i]) <= 0)[:, None], slope[i], q)
+        left, step = np.arange(len(i)), 1.0
+        new, new_loss, new_g = w[i], loss[i], g[i]
+        for _ in range(30):
+            at = i[left]
+            tried = np.clip(w[at] - step * q[left], 0, 1)
+            found, found_g = of(at, tried)
+            good = found <= loss[at] - 1e-4 * dot(g[at], w[at] - tried)
+            new[left[good]], new_loss[left[good]], new_g[left[good]] = tried[good], found[good], found_g[good]
+            left = left[~good]
+            if not len(left):
+                break
+            step /= 2
+        go[i[left]] = False
+        moved, turned = new - w[i], new_g - g[i]
+        known = dot(moved, turned) > 1e-12
+        known[left] = False
+        at = i[known]
+        s[:-1, at], t[:-1, at] = s[1:, at], t[1:, at]
+        s[-1, at], t[-1, at] = moved[known], turned[known]
+        go[i] &= loss[i] - new_loss > 1e-5 * np.maximum(np.maximum(np.abs(loss[i]), np.abs(new_loss)), 1.0)
+        w[i], loss[i], g[i] = new, new_loss, new_g
+    total = w.sum(1, keepdims=True)
+    whole = np.isfinite(w).all(1, keepdims=True) & (total > 1e-8)
+    return np.where(whole, w / np.where(whole, total, 1), 1 / d)
+
+
 def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES, every: int = 1) -> DataFrame:
     """df's keys with rn and weights (array): learnt at each row from the last `length` rows (24 to 48), to tell the next row's
     label. every: only at each so-manieth row of a series."""
@@ -169,10 +245,18 @@ def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", l
 
     def learn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for v in batch:
-                m = np.asarray(v, float).reshape(-1, d + 1)
-                out.append(learn_weights(m[:, :d], m[:, d], penalty, rounds).tolist() if len(m) >= 3 else equal)
+            out, full = [equal] * len(batch), []
+            for i, v in enumerate(batch):
+                if len(v) == length * (d + 1):
+                    full.append(i)
+                elif len(v) >= 3 * (d + 1):
+                    m = np.asarray(v, float).reshape(-1, d + 1)
+                    out[i] = learn_weights(m[:, :d], m[:, d], penalty, rounds).tolist()
+            for low in range(0, len(full), 64):  # as many as stay in a core's cache
+                some = full[low : low + 64]
+                m = np.stack(batch.iloc[some].tolist()).astype(float).reshape(len(some), length, d + 1)
+                for i, w in zip(some, learn_many_weights(m[:, :, :d], m[:, :, d], penalty, rounds).tolist(), strict=True):
+                    out[i] = w
             yield pd.Series(out)
 
     learnt = F.pandas_udf(learn, "array<double>")

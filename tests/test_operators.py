@@ -239,3 +239,14 @@ def test_robust_scale_of_nulls(spark):
     df = frame(spark, [1.0, 2.0, 4.0, 8.0, float("nan")]).withColumn("none", F.lit(None).cast("double"))
     assert scale.fit(df, ["power", "none"], "robust") == {"power": (3.0, 3.25), "none": (None, 1.0)}
     assert scale.fit(df.limit(0), ["power"], "robust") == {"power": (None, 1.0)}
+
+
+def test_weights_of_many_neighbourhoods_are_those_of_each():
+    rng = np.random.default_rng(6)
+    x = rng.exponential(size=(200, 24, 3)) * [1, 5, 20]
+    y = rng.normal(size=(200, 24)) + x[:, :, 0]
+    y[3], x[4] = 1.0, 0.0  # nothing to learn
+    for rounds in (1, 3, 20):
+        many = embed.learn_many_weights(x, y, rounds=rounds)
+        each = np.array([embed.learn_weights(a, b, rounds=rounds) for a, b in zip(x, y, strict=True)])
+        assert np.quantile(np.abs(many - each).max(1), 0.98) < 1e-6 and np.abs(many.mean(0) - each.mean(0)).max() < 1e-3
