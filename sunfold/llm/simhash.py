@@ -460,8 +460,17 @@ def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def one_of_each_cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without near-duplicates: of each cluster the document with the smallest key stays, once. Rows without a key stay."""
-    clusters = near_duplicate_clusters(docs, key, text, **how)
-    keep = clusters.filter(F.col(key) == F.col("cluster")).select(key)
+    """docs without near-duplicates: of each cluster the document with the smallest key stays, once. Rows without a key stay.
+
+    A cluster is what two kinds of links connect: SimHash fingerprints within 3 bits, found by ball hashing (`near_duplicate_components`),
+    and sets of shingles that are alike (`near_duplicate_clusters`), which fingerprints may miss."""
+    keyed = docs.filter(F.col(key).isNotNull())
+    prints = near_duplicate_components(keyed, key, text).select(F.col(key).alias("__key"), "component_id").distinct()
+    clusters = near_duplicate_clusters(docs, key, text, **how).select(F.col(key).alias("__key"), "cluster")
+    both = cut(clusters.join(prints, "__key"))
+    roots = connected_components(both.select(F.col("cluster").alias("a"), F.col("component_id").alias("b")))
+    # a document is its own cluster's root unless links lead to a smaller key; roots are the smallest keys that can be reached
+    first = both.join(roots, both["cluster"] == roots["node"], "left").select("__key", F.coalesce("root", "cluster").alias("least"))
+    keep = first.groupBy("__key").agg(F.min("least").alias("least")).filter("__key = least").select(F.col("__key").alias(key))
     once = docs.join(keep, key, "left_semi").dropDuplicates([key])
     return once.select([f"`{c}`" for c in docs.columns]).unionAll(docs.filter(F.col(key).isNull()))

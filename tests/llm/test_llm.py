@@ -687,3 +687,18 @@ def test_text_models_replace_columns_named_like_results(spark):
     assert sorted(got.columns) == sorted(docs.columns) and got.filter("score between 0 and 1 and predicted in (0, 1)").count() == 30
     graded = quality.quality_grades(docs, labels, F.col("stars"), 3, carry=tuple(docs.columns))  # grades of -1 and 3 are none
     assert graded.count() == 30 and graded.filter("size(tails) = 2 and expected_grade between 0 and 2 and score = -1").count() == 30
+
+
+def test_pipeline_drops_what_ball_hashing_links(spark, small):
+    """Texts whose fingerprints are within 3 bits go also where their sets of shingles are less alike than 0.8; chains over both kinds of links."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    common = [f"w{rng.randrange(10**6)}" for _ in range(30)] * 40  # fingerprints count repeats, sets don't
+    some = lambda: [f"v{rng.randrange(10**6)}" for _ in range(12)]
+    texts = [" ".join(common), " ".join(common + some()), " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))]
+    rows = [(i + 10, t, "en", "s") for i, t in enumerate([*texts, texts[2] + " more", texts[1] + " more"])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()) == [10, 12]
