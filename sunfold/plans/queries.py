@@ -785,6 +785,7 @@ def bootstrap_ci(spark, d):
 def _modelled(spark, d):
     x = W.classify(pv(spark, d)).withColumn("y", F.col("power"))
     rows = models.vectors(x, ["irradiance", "temperature", "pressure", "humidity"])
+    rows = cut(rows.select("weather", "y", "features"))  # read by each state's training and by the predictions
     return rows, models.train_bank(rows)
 
 

@@ -250,3 +250,11 @@ def test_weights_of_many_neighbourhoods_are_those_of_each():
         many = embed.learn_many_weights(x, y, rounds=rounds)
         each = np.array([embed.learn_weights(a, b, rounds=rounds) for a, b in zip(x, y, strict=True)])
         assert np.quantile(np.abs(many - each).max(1), 0.98) < 1e-6 and np.abs(many.mean(0) - each.mean(0)).max() < 1e-3
+
+
+def test_models_are_trained_on_rows_that_are_made_once(spark, small):
+    """Every state's training and the predictions read the classified rows, not the tables."""
+    from sunfold.plans import queries
+
+    rows, bank = queries._modelled(spark, small)
+    assert rows.inputFiles() == [] and len(bank) == 3 and {"weather", "y", "features"} == set(rows.columns)
