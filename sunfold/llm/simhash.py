@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sunfold.llm.batches import each_row, frugal
 from sunfold.llm.components import connected_components
-from sunfold.runtime import cut, shuffle_partitions
+from sunfold.runtime import cut, shuffle_partitions, shuffles_dropped
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -251,7 +251,8 @@ def _frequencies(docs: DataFrame, text: str, words: int) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array(n[at])], ["class", "n"])
 
-    rows = docs.select(text).mapInArrow(frugal(run), "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    with shuffles_dropped(docs.sparkSession):
+        rows = docs.select(text).mapInArrow(frugal(run), "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(_CLASSES, np.int64)
     out[rows["class"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -299,7 +300,8 @@ def _alike(docs: DataFrame, pairs: DataFrame, sets: DataFrame, key: str, text: s
     dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
     need = dealt.select(F.col("b").alias("digest"), F.col("a").alias("hub"), "share").unionAll(dealt.select(F.col("a").alias("digest"), F.col("a").alias("hub"), "share").distinct())
     at = F.pmod(F.xxhash64("node"), F.lit(_BITS))
-    marks = need.select("digest").distinct().join(sets, "digest").groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits")).toArrow()
+    with shuffles_dropped(docs.sparkSession):
+        marks = need.select("digest").distinct().join(sets, "digest").groupBy(F.floor(at / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits")).toArrow()
     bitmap = np.zeros(_BITS // 32, np.int64)
     bitmap[marks["word"].to_numpy()] = marks["bits"].to_numpy()
 
