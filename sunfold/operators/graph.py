@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -281,14 +283,16 @@ class Eigen:
 
 
 class _Blocks:
-    """A Laplacian in blocks of about `block` nodes by hash, to be multiplied with tables (block, y), y the rows of a matrix in bytes.
+    """A Laplacian in blocks of about `block` nodes by hash, to be multiplied with matrices of a row for each node.
 
-    entries: for each two blocks with edges (block, to, rows, starts, columns, l), the edges that bring values from `block` to `to`. names:
-    (node, block, row). A product is a join of blocks and an aggregate by block; of a partial sum only rows with edges are sent."""
+    names: (node, block, row). edges: (block, (-1, to, rows, starts, columns, l)), for each two blocks with edges those that bring values
+    from `block` to `to`. A matrix is (block, (place, rows)), its place among the matrices that it meets. All are dealt by block alike and
+    kept, so that what a product shuffles are the sums that blocks send to each other, of rows with edges only."""
 
     def __init__(self, lap: DataFrame, nodes: DataFrame, n: int, block: int = 1 << 16):
-        many = max(-(-n // block), min(shuffle_partitions(lap.sparkSession), -(-n // 4096)), 1)
-        at = F.pmod(F.xxhash64("node"), F.lit(many))
+        self.spark, self.n = lap.sparkSession, n
+        self.many = max(-(-n // block), min(shuffle_partitions(self.spark), -(-n // 4096)), 1)
+        at = F.pmod(F.xxhash64("node"), F.lit(self.many))
         row = F.row_number().over(Window.partitionBy("block").orderBy("node")) - 1
         self.names = cut(nodes.withColumn("block", at).withColumn("row", row))
         one, other = (self.names.select(F.col("node").alias(x), F.col("block").alias(f"{x}_block"), F.col("row").alias(f"{x}_row")) for x in ("src", "dst"))
@@ -302,10 +306,23 @@ class _Blocks:
             cells = [row[starts], starts.astype(np.int32), column[order].astype(np.int32), value[order]]
             return pa.table([table["block"].slice(0, 1), table["to"].slice(0, 1), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=["block", "to", "rows", "starts", "columns", "l"])
 
-        self.entries = cut(named.groupBy("block", "to").applyInArrow(pack, "block long, to long, rows binary, starts binary, columns binary, l binary"))
+        entries = named.groupBy("block", "to").applyInArrow(pack, "block long, to long, rows binary, starts binary, columns binary, l binary")
+        kinds = (np.int32, np.int32, np.int32, float)
+        self.edges = self._kept(self._dealt(entries.rdd.map(lambda r: (r[0], (-1, r[1], *(np.frombuffer(x, t) for x, t in zip(r[2:], kinds, strict=True)))))))
 
-    def table(self, vectors: DataFrame) -> DataFrame:
-        """(block, y) of a table (node, y); nodes that it lacks are zeros."""
+    def _dealt(self, rdd: RDD) -> RDD:
+        return rdd.partitionBy(self.many).mapValues(lambda v: v)  # which are in batches as others are, or each union would make them anew
+
+    @staticmethod
+    def _kept(rdd: RDD) -> RDD:
+        return rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _meet(self, *of: RDD) -> RDD:
+        """(block, all that they have of it); they are dealt alike, so nothing is shuffled."""
+        return reduce(lambda a, b: a.union(b), of).groupByKey(self.many)
+
+    def table(self, vectors: DataFrame, place: int = 0) -> RDD:
+        """The matrix of a table (node, y); nodes that it lacks are zeros."""
 
         def pack(table: pa.Table) -> pa.Table:
             rows = np.asarray(table["row"].combine_chunks())
@@ -313,130 +330,147 @@ class _Blocks:
             known = np.asarray(y.is_valid())
             out = np.zeros((rows.max() + 1, len(y.flatten()) // max(1, known.sum())))
             out[rows[known]] = np.asarray(y.flatten()).reshape(known.sum(), -1)
-            return pa.table([table["block"].slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["block", "y"])
-
-        return self.names.join(vectors, "node", "left").select("block", "row", "y").groupBy("block").applyInArrow(pack, "block long, y binary")
-
-    def times(self, now: DataFrame, d: int, made: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-        """(block, y, x) by made(product, y, x) of `now`, a table (block, y, x), x null or what y was before; y has d columns."""
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    to, *raw = (c[i] for c in batch.columns)
-                    rows, starts, columns, value, y = (np.frombuffer(r.as_buffer(), t) for r, t in zip(raw, (np.int32, np.int32, np.int32, float, float), strict=True))
-                    sums = np.add.reduceat(value[:, None] * y.reshape(-1, d)[columns], starts, axis=0)
-                    yield pa.record_batch([pa.array([to.as_py()]), pa.array([rows.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["block", "rows", "sums", "y", "x"])
-
-        def whole(table: pa.Table) -> pa.Table:
-            own = table.filter(pa.compute.is_valid(table["y"]))
-            y, x = (None if own[c].null_count else np.frombuffer(own[c][0].as_buffer(), float).reshape(-1, d) for c in ("y", "x"))
-            total = np.zeros_like(y)
-            rest = table.filter(pa.compute.is_valid(table["rows"]))
-            for rows, sums in zip(rest["rows"], rest["sums"], strict=True):
-                total[np.frombuffer(rows.as_buffer(), np.int32)] += np.frombuffer(sums.as_buffer(), float).reshape(-1, d)
-            return pa.table([own["block"], *(pa.array([None if v is None else np.ascontiguousarray(v).tobytes()], pa.binary()) for v in made(total, y, x))], names=["block", "y", "x"])
-
-        schema = "block long, rows binary, sums binary, y binary, x binary"
-        met = self.entries.join(now.select("block", "y"), "block").select("to", "rows", "starts", "columns", "l", "y").mapInArrow(part, schema)
-        none = F.lit(None).cast("binary")
-        own = now.select("block", none.alias("rows"), none.alias("sums"), "y", "x")
-        return met.unionAll(own).groupBy("block").applyInArrow(whole, "block long, y binary, x binary")
-
-    def mapped(self, now: DataFrame, d: int, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        """(block, y, x): made(y), row by row, and null."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block, y in zip(*batch.columns, strict=True):
-                    out = np.ascontiguousarray(made(np.frombuffer(y.as_buffer(), float).reshape(-1, d)))
-                    yield pa.record_batch([pa.array([block.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["block", "y", "x"])
-
-        return now.select("block", "y").mapInArrow(run, "block long, y binary, x binary")
-
-    def gram(self, now: DataFrame, d: int) -> np.ndarray:
-        """The sum of outer products of the rows of y."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((d, d))
-            for batch in batches:
-                for y in batch[0]:
-                    m = np.frombuffer(y.as_buffer(), float).reshape(-1, d)
-                    total += m.T @ m
-            yield pa.record_batch([pa.array(np.arange(d * d)), pa.array(total.ravel())], ["at", "x"])
-
-        sums = now.select("y").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")
-        return sums["x"].to_numpy().reshape(d, d)
-
-    def rows(self, now: DataFrame, d: int, keep: int) -> DataFrame:
-        """(node, f), the first columns of y."""
+            return pa.table([table["block"].slice(0, 1), pa.array([out.tobytes()], pa.binary()), pa.array([len(out)])], names=["block", "y", "n"])
+
+        packed = self.names.join(vectors, "node", "left").select("block", "row", "y").groupBy("block").applyInArrow(pack, "block long, y binary, n long")
+        return self._kept(self._dealt(packed.rdd.map(lambda r: (r[0], (place, np.frombuffer(r[1]).reshape(r[2], -1))))))
+
+    def times(self, place: int, made: Callable[..., np.ndarray], *of: RDD) -> RDD:
+        """The matrix made(product, *of) by rows of the matrices `of`, whose places rise and whose last is multiplied."""
+
+        def part(found: tuple[int, Iterable[tuple]]) -> Iterator[tuple[int, tuple]]:
+            edges, own = [], None
+            for v in found[1]:
+                if v[0] < 0:
+                    edges.append(v[1:])
+                else:
+                    own = v[1]
+            for to, rows, starts, columns, value in edges:
+                sums = np.empty((len(rows), own.shape[1]))
+                for j in range(0, own.shape[1], 16):  # products of all edges are held for a few columns only
+                    sums[:, j : j + 16] = np.add.reduceat(value[:, None] * own[columns, j : j + 16], starts, axis=0)
+                yield to, (-1, rows, sums)
+
+        def whole(found: Iterable[tuple]) -> tuple[int, np.ndarray]:
+            sent, had = [], {}
+            for v in found:
+                if v[0] < 0:
+                    sent.append(v[1:])
+                else:
+                    had[v[0]] = v[1]
+            own = [had[k] for k in sorted(had)]
+            total = np.zeros_like(own[0])
+            for rows, sums in sent:
+                total[rows] += sums
+            return place, made(total, *own)
+
+        sums = self._dealt(self._meet(self.edges, of[-1]).flatMap(part))
+        return self._kept(self._meet(*of, sums).mapValues(whole))
+
+    def gram(self, *of: RDD) -> np.ndarray:
+        """The inner products of all columns, those of the least place first."""
+
+        def add(total: np.ndarray | float, found: tuple[int, Iterable[tuple]]) -> np.ndarray:
+            own = [y for _, y in sorted(found[1], key=lambda v: v[0])]
+            for low in range(0, len(own[0]), 8192):
+                m = np.hstack([y[low : low + 8192] for y in own])
+                total = total + m.T @ m
+            return total
+
+        return self._meet(*of).treeAggregate(0.0, add, lambda a, b: a + b)
+
+    def mixed(self, turn: np.ndarray, *of: RDD) -> RDD:
+        """The matrix of all columns, those of the least place first, times `turn`."""
+
+        def add(found: Iterable[tuple]) -> tuple[int, np.ndarray]:
+            own = [y for _, y in sorted(found, key=lambda v: v[0])]
+            at = np.cumsum([0, *(y.shape[1] for y in own)])
+            return 0, sum(y @ turn[low:high] for y, low, high in zip(own, at[:-1], at[1:], strict=True))
+
+        return self._kept(self._meet(*of).mapValues(add))
+
+    def rows(self, of: RDD) -> DataFrame:
+        """(node, f), the rows of a matrix."""
         kinds = "block long, row int, f array<double>"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block, y in zip(*batch.columns, strict=True):
-                    m = np.frombuffer(y.as_buffer(), float).reshape(-1, d)[:, :keep]
+                for block, y, d in zip(*batch.columns, strict=True):
+                    m = np.frombuffer(y.as_buffer(), float).reshape(-1, d.as_py())
                     for low in range(0, len(m), 8192):
                         part = m[low : low + 8192]
                         yield pa.record_batch([pa.array(np.full(len(part), block.as_py())), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(list(part), pa.list_(pa.float64()))], ["block", "row", "f"])
 
-        return self.names.join(now.select("block", "y").mapInArrow(run, kinds), ["block", "row"]).select("node", "f")
+        packed = self.spark.createDataFrame(of.map(lambda v: (v[0], bytearray(v[1][1].tobytes()), v[1][1].shape[1])), "block long, y binary, d long", verifySchema=False)
+        return self.names.join(packed.mapInArrow(run, kinds), ["block", "row"]).select("node", "f")
+
 
+def _ritz(g: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of columns Y and of L Y = (Y and more columns) m, by the inner products g of Y and more columns: the best approximations to
+    eigenvalues within the span of Y, the residuals, and what turns Y to the vectors."""
+    size = m.shape[1]
+    inner, with_l, both_l = g[:size, :size], g[:size] @ m, m.T @ g @ m
+    length = np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    scale, basis = np.linalg.eigh(inner / np.outer(length, length))
+    basis = basis[:, scale > 1e-13] / np.sqrt(scale[scale > 1e-13]) / length[:, None]
+    small = basis.T @ with_l @ basis
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    turn = basis @ turn
+    return values, np.sqrt(np.maximum(np.einsum("ij,ij->j", turn, both_l @ turn) - values**2, 0)), turn
 
-def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int = 60, rounds: int = 40, more: int | None = None, seed: int = 42) -> Eigen:
-    """The d eigenvectors of the Laplacian with the smallest eigenvalues, by subspace iteration under Chebyshev filters.
+
+def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int = 12, rounds: int = 200, more: int | None = None, seed: int = 42) -> Eigen:
+    """The d eigenvectors of the Laplacian with the smallest eigenvalues, by block Krylov spaces with restarts.
 
     Of a block of d + more vectors, small matrices of inner products give the best approximations within their span and how far
-    these are from eigenvectors (Rayleigh-Ritz). Until the first d are within `tol`, a polynomial of the Laplacian that is small from the
-    block's largest value on and grows fast below it is applied. RuntimeError if `rounds` filters don't suffice. The vectors are a table
-    of blocks of nodes; a factor of the polynomial is a join with the blocks of edges and an aggregate, and only small matrices pass the driver.
+    these are from eigenvectors (Rayleigh-Ritz). Until the first d are within `tol`, the block becomes the best approximations within the
+    span of its products with `degree` Chebyshev polynomials of the Laplacian, lowest first. RuntimeError if `rounds` of that don't suffice.
+    Matrices are dealt in blocks of nodes; a product is a shuffle of blocks' sums, and only small matrices pass the driver.
     Where there are fewer than d nodes, there are as many vectors. Equal eigenvalues have any basis of their space."""
     lap = cut(lap)
     nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
-    n = nodes.count()
+    blocks = _Blocks(lap, nodes, nodes.count())
+    try:
+        return _smallest(blocks, d, tol, degree, rounds, more, seed)
+    finally:
+        blocks.edges.unpersist()
+
+
+def _smallest(blocks: _Blocks, d: int, tol: float = 1e-5, degree: int = 12, rounds: int = 200, more: int | None = None, seed: int = 42) -> Eigen:
+    n, nodes = blocks.n, blocks.names.select("node")
     d = min(d, n)
-    size = min(n, d + (max(4, d // 2) if more is None else more))
+    size = min(n, d + (max(12, d // 2) if more is None else more))
     if not d:
         return Eigen(nodes.select("node", F.array().cast("array<double>").alias("f")), np.empty(0), np.empty(0), 0)
-    blocks = _Blocks(lap, nodes, n)
     start = nodes.select("node", F.array(*(F.sin(F.xxhash64(F.lit(seed + j), "node") % 100_003) for j in range(size))).alias("y"))
-    now = blocks.table(start).withColumn("x", F.lit(None).cast("binary"))
-    products = 0
+    made, products = [blocks.table(start)], 0
     for round_ in range(rounds + 1):
-        both = cut(blocks.times(now, size, lambda p, y, x: (np.hstack([y, p]), None)))
+        first = made[-1]
+        first.checkpoint()
+        now = [first, blocks.times(1, lambda p, y: p - y, first)]
+        g = blocks.gram(*now)
         products += 1
-        g = blocks.gram(both, 2 * size)
-        length = np.sqrt(np.maximum(np.diag(g)[:size], 1e-300))
-        scale, basis = np.linalg.eigh(g[:size, :size] / np.outer(length, length))
-        basis = basis[:, scale > 1e-13] / np.sqrt(scale[scale > 1e-13]) / length[:, None]
-        values, turn = np.linalg.eigh(basis.T @ g[:size, size:] @ basis)
-        turn = basis @ turn
-        off = np.einsum("ij,ij->j", turn, g[size:, size:] @ turn) - values**2
-        had, size = len(turn), turn.shape[1]
-        now = blocks.mapped(both, 2 * had, lambda y, had=had, turn=turn: y[:, :had] @ turn)
-        residuals = np.sqrt(np.maximum(off, 0))
+        for old in made[:-1]:
+            old.unpersist()
+        one, none = np.eye(size), np.zeros((size, size))
+        values, residuals, turn = _ritz(g, np.vstack([one, one]))
         if residuals[:d].max() <= tol or size == n:
-            return Eigen(cut(blocks.rows(now, size, d)), np.maximum(values[:d], 0), residuals[:d], products)
+            found = cut(blocks.rows(blocks.mixed(turn[:, :d], first)))
+            for old in now:
+                old.unpersist()
+            return Eigen(found, np.maximum(values[:d], 0), residuals[:d], products)
         if round_ == rounds:
             break
-        high = 2.0 + 1e-9
-        # from the block's largest value on; above the last one wanted, by a little of it only, since what lies between would grow too
-        low = min(max(float(values[-1]), float(values[d - 1]) * 1.1, 1e-6), 0.95 * high)
-        e, c = (high - low) / 2, (high + low) / 2
-        least = min(float(values[0]), low / 2)
-        steps = max(1, min(degree, int(np.arccosh(1e5) / np.arccosh((c - least) / e))))  # or vectors become too much alike to be told apart
-        sigma = e / (least - c)
-        now = blocks.times(now, size, lambda p, y, x, u=sigma / e, c=c: (u * (p - c * y), y))
-        tau = 2 / sigma
+        steps = max(2, min(degree, n // size))
         for i in range(2, steps + 1):
-            new = 1 / (tau - sigma)
-            now = blocks.times(now, size, lambda p, y, x, u=2 * new / e, v=sigma * new, c=c: (u * (p - c * y) - v * x, y))
-            sigma = new
-            if i % 4 == 0:
-                now = cut(now)
-        products += steps
-        now = cut(now.select("block", "y", F.lit(None).cast("binary").alias("x")))
-    raise RuntimeError(f"{rounds} filters left residuals of {residuals[:d].max():.2g}")
+            now.append(blocks.times(i, lambda p, x, y: 2 * (p - y) - x, now[i - 2], now[i - 1]))
+        products += steps - 1
+        # L times a polynomial is itself and half its neighbours, or itself and the next of the first one
+        shift = [[one if k == i or (k, i) == (1, 0) else one / 2 if abs(k - i) == 1 else none for i in range(steps)] for k in range(steps + 1)]
+        turn = _ritz(blocks.gram(*now), np.block(shift))[2][:, :size]
+        size = turn.shape[1]
+        made = [*now, blocks.mixed(turn, *now[:-1])]
+    raise RuntimeError(f"{rounds} rounds left residuals of {residuals[:d].max():.2g}")
 
 
 def gram(df: DataFrame, vector: str, d: int) -> np.ndarray:
@@ -493,13 +527,17 @@ def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v",
     orthonormal again. A's columns are solved in turn with the diagonal of X^T X, and a column lives only if its residual exceeds
     beta / (2 alpha). F is always a sum F0 B + X C of fixed tables, so all rounds work with small matrices of inner products, of the tables
     and of their products with the Laplacian, which are one pass each. Rounds end by `stop_reason`, not before the second."""
-    found = smallest_eigenvectors(lap, d, **eigen)
+    lap = cut(lap)
+    nodes = lap.filter("src = dst").select(F.col("src").alias("node"))
+    blocks = _Blocks(lap, nodes, nodes.count())
+    found = _smallest(blocks, d, **eigen)
     f0, d = found.vectors, len(found.values)
     m = len(rows.select(vector).first()[0])
-    lap = cut(lap)
-    blocks = _Blocks(lap, f0.select("node"), f0.count())
     joined = blocks.table(rows.join(f0, rows[key] == f0["node"]).select("node", F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("y")))
-    both = blocks.gram(blocks.times(joined.withColumn("x", F.lit(None).cast("binary")), m + d, lambda p, y, x: (np.hstack([y, p]), None)), 2 * (m + d))
+    product = blocks.times(1, lambda p, y: p, joined)
+    both = blocks.gram(joined, product)
+    for old in (joined, product, blocks.edges):
+        old.unpersist()
     g, gl = both[: m + d, : m + d], both[: m + d, m + d :]
     xx, xf, ff = g[:m, :m], g[:m, m:], g[m:, m:]
     a, b, c = np.zeros((m, d)), np.eye(d), np.zeros((m, d))  # F = F0 b + X c

@@ -109,6 +109,30 @@ def test_ring_of_suppliers_whose_keys_leave_gaps(spark, tmp_path):
     assert [r["value"] for r in got] == pytest.approx(want.tolist(), abs=2e-6) and all(r["orthonormal"] for r in got)
 
 
+def test_eigenvectors_near_the_bulk_take_few_products(spark, small):
+    """Vectors without structure, whose second and third values lie close to all others: products must not go by the hundred."""
+    x = spark.read.parquet(f"{small}/embeddings.parquet")
+    found = graph.smallest_eigenvectors(graph.laplacian(graph.similarity(graph.knn_edges(x), mode="union")), 3)
+    assert found.residuals.max() <= 1e-5 and found.products <= 60
+
+
+def test_projection_makes_its_graph_once(spark):
+    """Making the Laplacian may be most of the work: each of its rows is made once only, for eigenvectors and projection."""
+    edges = [(i, (i + o) % 30) for i in range(30) for o in (1, 4)]
+    g = spark.createDataFrame([(a, b, 1.0) for a, b in edges] + [(b, a, 1.0) for a, b in edges], "src long, dst long, w double")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    lap = graph.cut(graph.laplacian(g))
+    rows = spark.createDataFrame([(i, [float(np.sin(i * j)) for j in range(1, 5)]) for i in range(30)], "id long, v array<double>")
+    graph.learn_projection(rows, lap.mapInPandas(counted, lap.schema), 2, alpha=0.5, beta=0.01)
+    assert made.value == lap.count()
+
+
 def test_neighbours_among_large_groups_of_copies(spark):
     """Copies count as neighbours by id, are compared once for each point, and may be more than a task compares; keys are strings."""
     rng = np.random.default_rng(8)
