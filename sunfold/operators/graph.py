@@ -246,8 +246,9 @@ def knn_edges(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "em
 
 def similarity(edges: DataFrame, sigma: float = 1.0, mode: str = "mutual") -> DataFrame:
     """(src, dst, w) in both directions, w = exp(-d2 / (2 sigma^2)). mutual: edges that both ends have; union: the mean of both, 0 for a missing one."""
-    w = edges.select("src", "dst", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("w"))
-    both = w.unionAll(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("w").alias("s"))
+    ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("src", "dst"), ("dst", "src"))]
+    w = edges.select(F.explode(F.array(*ends)).alias("e"), F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("w"))  # a union would find neighbours twice
+    both = w.select("e.src", "e.dst", "w").groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("w").alias("s"))
     if mode == "mutual":
         return both.filter("n = 2").select("src", "dst", (F.col("s") / 2).alias("w"))
     if mode == "union":
@@ -317,6 +318,13 @@ class _Blocks:
     def _kept(rdd: RDD) -> RDD:
         return rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
+    @staticmethod
+    def drop(*of: RDD) -> None:
+        """Delete kept matrices and what was shuffled for them, which would stay until the driver happens to collect its garbage."""
+        for rdd in of:
+            rdd._jrdd.rdd().cleanShuffleDependencies(False)
+            rdd.unpersist()
+
     def _meet(self, *of: RDD) -> RDD:
         """(block, all that they have of it); they are dealt alike, so nothing is shuffled."""
         return reduce(lambda a, b: a.union(b), of).groupByKey(self.many)
@@ -433,7 +441,7 @@ def smallest_eigenvectors(lap: DataFrame, d: int, tol: float = 1e-5, degree: int
     try:
         return _smallest(blocks, d, tol, degree, rounds, more, seed)
     finally:
-        blocks.edges.unpersist()
+        blocks.drop(blocks.edges)
 
 
 def _smallest(blocks: _Blocks, d: int, tol: float = 1e-5, degree: int = 12, rounds: int = 200, more: int | None = None, seed: int = 42) -> Eigen:
@@ -450,14 +458,12 @@ def _smallest(blocks: _Blocks, d: int, tol: float = 1e-5, degree: int = 12, roun
         now = [first, blocks.times(1, lambda p, y: p - y, first)]
         g = blocks.gram(*now)
         products += 1
-        for old in made[:-1]:
-            old.unpersist()
+        blocks.drop(*made[:-1])
         one, none = np.eye(size), np.zeros((size, size))
         values, residuals, turn = _ritz(g, np.vstack([one, one]))
         if residuals[:d].max() <= tol or size == n:
             found = cut(blocks.rows(blocks.mixed(turn[:, :d], first)))
-            for old in now:
-                old.unpersist()
+            blocks.drop(*now)
             return Eigen(found, np.maximum(values[:d], 0), residuals[:d], products)
         if round_ == rounds:
             break
@@ -536,8 +542,7 @@ def learn_projection(rows: DataFrame, lap: DataFrame, d: int, vector: str = "v",
     joined = blocks.table(rows.join(f0, rows[key] == f0["node"]).select("node", F.concat(F.col(vector).cast("array<double>"), F.col("f")).alias("y")))
     product = blocks.times(1, lambda p, y: p, joined)
     both = blocks.gram(joined, product)
-    for old in (joined, product, blocks.edges):
-        old.unpersist()
+    blocks.drop(joined, product, blocks.edges)
     g, gl = both[: m + d, : m + d], both[: m + d, m + d :]
     xx, xf, ff = g[:m, :m], g[:m, m:], g[m:, m:]
     a, b, c = np.zeros((m, d)), np.eye(d), np.zeros((m, d))  # F = F0 b + X c
