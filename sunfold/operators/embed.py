@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sunfold.operators.ordered import SERIES, windowed
+from sunfold.operators.ordered import SERIES, dealt, windowed
 
 
 def mutual_information(df: DataFrame, column: str = "power", max_lag: int = 10, series: str = SERIES) -> DataFrame:
@@ -153,114 +153,138 @@ def learn_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: i
     return w / w.sum() if np.isfinite(w).all() and w.sum() > 1e-8 else np.full(d, 1 / d)
 
 
-def _losses(far: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """neighbourhood_loss of many neighbourhoods of one size: far (many by d by n * n) has squared differences, y is many by n, w many by d."""
-    many, n = y.shape
-    dist = np.sqrt((w * w)[:, None, :] @ far).reshape(many, n, n)
-    k = np.exp(-dist)
-    live = k > 1e-10
-    np.maximum(k, 1e-10, out=k)
-    k[:, np.arange(n), np.arange(n)] = 0
-    total = k.sum(2) + 1e-8
-    guess = (k @ y[:, :, None])[:, :, 0] / total
-    r = y - guess
-    k *= live
-    k /= np.maximum(dist, 1e-12, out=dist)
-    k *= y[:, None, :] - guess[:, :, None]
-    k *= (np.sign(r) / (n * total))[:, :, None]
-    return np.abs(r).mean(1) + penalty * (w * w).sum(1), (far @ k.reshape(many, n * n, 1))[:, :, 0] * w + 2 * penalty * w
-
-
 def learn_many_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 100, memory: int = 5) -> np.ndarray:
-    """learn_weights of many neighbourhoods of one size at once (x many by n by d), each by the same steps."""
+    """learn_weights of many neighbourhoods of one size (x many by n by d), each by the same steps.
+
+    As many go abreast as stay in a core's cache, each at its own step, and who is done makes room for the next, so that arrays are always
+    full. Distances are symmetric: there is one for each pair of rows, and sums over a row's pairs are products with the table of pairs'
+    ends. Steps that are not taken need no gradient."""
     many, n, d = x.shape
     y = (y - y.mean(1, keepdims=True)) / (y.std(1, keepdims=True) + 1e-8)
     penalty = min(0.1, max(0.001, penalty))
-    far = np.stack([(x[:, :, None, j] - x[:, None, :, j]).reshape(many, n * n) ** 2 for j in range(d)], 1)
-    of = lambda i, w: _losses(far if len(i) == many else far[i], y[i], w, penalty)
+    one, two = np.triu_indices(n, 1)
+    ends = np.zeros((len(one), n))
+    ends[np.arange(len(one)), one] = ends[np.arange(len(one)), two] = 1
+    pairs = np.ascontiguousarray(ends.T)
+    some = max(1, (1 << 15) // max(1, len(one)))
+    size = min(many, 2 * some)
+    who, follow, out = np.arange(size), size, np.full((many, d), 1 / d)
+    far, both, own = np.empty((size, d, len(one))), np.empty((size, len(one))), np.empty((size, n))
+    w, tried, q, g = np.empty((4, size, d))
+    loss, step, age, fails = np.empty(size), np.empty(size), np.empty(size, int), np.empty(size, int)
+    s, t = np.zeros((2, memory, size, d))  # the last steps, newest last; none are zeros
     dot = lambda a, b: np.einsum("bd,bd->b", a, b)
-    w = np.full((many, d), 1 / d)
-    loss, g = of(np.arange(many), w)
-    s, t = np.zeros((2, memory, many, d))  # the last steps, newest last; none are zeros
-    go = np.ones(many, bool)
-    for _ in range(rounds):
-        free = ~(((w <= 0) & (g > 0)) | ((w >= 1) & (g < 0)))
-        slope = np.where(free, g, 0)
-        go &= np.abs(slope).max(1) >= 1e-3
-        i = np.flatnonzero(go)
-        if not len(i):
-            break
-        q, hold = slope[i], []
-        curve = [dot(s[m, i], t[m, i]) for m in range(memory)]
+
+    def enter(at: np.ndarray) -> None:
+        new = who[at]
+        for k in range(d):
+            far[at, k] = (x[new][:, one, k] - x[new][:, two, k]) ** 2
+        own[at], both[at] = y[new], y[new][:, one] + y[new][:, two]
+        w[at], tried[at], q[at], g[at], loss[at], step[at], age[at], fails[at] = 1 / d, 1 / d, 0, 0, np.inf, 1, -1, 0
+        s[:, at], t[:, at] = 0, 0
+
+    def looked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """neighbourhood_loss where these try, which of them take the step, and the gradients of those."""
+        at = slice(at[0], at[-1] + 1) if at[-1] - at[0] == len(at) - 1 else at  # no copies
+        v, f, u, two_y = tried[at], far[at], own[at], both[at]
+        dist = ((v * v)[:, None, :] @ f)[:, 0]
+        np.sqrt(dist, out=dist)
+        k = np.negative(dist)
+        np.exp(k, out=k)
+        low = k <= 1e-10
+        np.maximum(k, 1e-10, out=k)
+        near = k @ ends
+        total = near + 1e-8
+        guess = ((k * two_y) @ ends - u * near) / total  # a pair gives either end the other's label
+        r = u - guess
+        found = np.abs(r).mean(1) + penalty * dot(v, v)
+        good = found <= loss[at] - 1e-4 * dot(g[at], w[at] - v)
+        v, f, u, two_y, k, dist = v[good], f[good], u[good], two_y[good], k[good], dist[good]
+        k *= ~low[good]
+        k /= np.maximum(dist, 1e-12, out=dist)
+        c = np.sign(r[good]) / (n * total[good])
+        k *= (c @ pairs) * two_y - (c * (u + guess[good])) @ pairs
+        return found, good, (f @ k[:, :, None])[:, :, 0] * v + 2 * penalty * v
+
+    i = np.arange(size)
+    enter(i)
+    while len(i):
+        seen = [looked(i[low : low + some]) for low in range(0, len(i), some)]
+        found, good, new_g = (np.concatenate(c) for c in zip(*seen, strict=True))
+        bad, go = i[~good], np.ones(size, bool)
+        fails[bad] += 1
+        step[bad] /= 2
+        go[bad] = fails[bad] < 30
+        at, found = i[good], found[good]
+        begun = age[at] >= 0
+        moved, turned = tried[at] - w[at], new_g - g[at]
+        go[at] = ~begun | (loss[at] - found > 1e-5 * np.maximum(np.maximum(np.abs(loss[at]), np.abs(found)), 1.0))
+        known = begun & (dot(moved, turned) > 1e-12)
+        put = at[known]
+        s[:-1, put], t[:-1, put] = s[1:, put], t[1:, put]
+        s[-1, put], t[-1, put] = moved[known], turned[known]
+        w[at], loss[at], g[at], step[at], fails[at] = tried[at], found, new_g, 1, 0
+        age[at] += 1
+        free = ~(((w[at] <= 0) & (new_g > 0)) | ((w[at] >= 1) & (new_g < 0)))
+        slope = np.where(free, new_g, 0)
+        go[at] &= (age[at] < rounds) & (np.abs(slope).max(1) >= 1e-3)
+        on = go[at]
+        at, free, slope = at[on], free[on], slope[on]
+        new_q, hold = slope, []
+        curve = [dot(s[m, at], t[m, at]) for m in range(memory)]
         over = [np.where(c > 0, 1 / np.where(c > 0, c, 1), 0) for c in curve]
         for m in reversed(range(memory)):
-            a = dot(s[m, i], q) * over[m]
+            a = dot(s[m, at], new_q) * over[m]
             hold.append(a)
-            q = q - a[:, None] * t[m, i]
-        size = dot(t[-1, i], t[-1, i])
-        q = q * np.where(size > 0, curve[-1] / np.where(size > 0, size, 1), 1)[:, None]
+            new_q = new_q - a[:, None] * t[m, at]
+        length = dot(t[-1, at], t[-1, at])
+        new_q = new_q * np.where(length > 0, curve[-1] / np.where(length > 0, length, 1), 1)[:, None]
         for m, a in zip(range(memory), reversed(hold), strict=True):
-            q = q + s[m, i] * (a - dot(t[m, i], q) * over[m])[:, None]
-        q = np.where(free[i], q, 0)
-        q = np.where((dot(q, g[i]) <= 0)[:, None], slope[i], q)
-        left, step = np.arange(len(i)), 1.0
-        new, new_loss, new_g = w[i], loss[i], g[i]
-        for _ in range(30):
-            at = i[left]
-            tried = np.clip(w[at] - step * q[left], 0, 1)
-            found, found_g = of(at, tried)
-            good = found <= loss[at] - 1e-4 * dot(g[at], w[at] - tried)
-            new[left[good]], new_loss[left[good]], new_g[left[good]] = tried[good], found[good], found_g[good]
-            left = left[~good]
-            if not len(left):
-                break
-            step /= 2
-        go[i[left]] = False
-        moved, turned = new - w[i], new_g - g[i]
-        known = dot(moved, turned) > 1e-12
-        known[left] = False
-        at = i[known]
-        s[:-1, at], t[:-1, at] = s[1:, at], t[1:, at]
-        s[-1, at], t[-1, at] = moved[known], turned[known]
-        go[i] &= loss[i] - new_loss > 1e-5 * np.maximum(np.maximum(np.abs(loss[i]), np.abs(new_loss)), 1.0)
-        w[i], loss[i], g[i] = new, new_loss, new_g
-    total = w.sum(1, keepdims=True)
-    whole = np.isfinite(w).all(1, keepdims=True) & (total > 1e-8)
-    return np.where(whole, w / np.where(whole, total, 1), 1 / d)
-
-
-def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES, every: int = 1) -> DataFrame:
+            new_q = new_q + s[m, at] * (a - dot(t[m, at], new_q) * over[m])[:, None]
+        new_q = np.where(free, new_q, 0)
+        q[at] = np.where((dot(new_q, g[at]) <= 0)[:, None], slope, new_q)
+        done = i[~go[i]]
+        out[who[done]] = w[done]
+        more = done[: many - follow]
+        who[more] = np.arange(follow, follow + len(more))
+        follow += len(more)
+        go[more] = True
+        i = i[go[i]]
+        tried[i] = np.clip(w[i] - step[i, None] * q[i], 0, 1)
+        enter(more)
+    total = out.sum(1, keepdims=True)
+    whole = np.isfinite(out).all(1, keepdims=True) & (total > 1e-8)
+    return np.where(whole, out / np.where(whole, total, 1), 1 / d)
+
+
+def local_weights(df: DataFrame, columns: Sequence[str], label: str = "power", length: int = 32, penalty: float = 0.01, rounds: int = 100, series: str = SERIES, every: int = 1, block: int = 1024) -> DataFrame:
     """df's keys with rn and weights (array): learnt at each row from the last `length` rows (24 to 48), to tell the next row's
-    label. every: only at each so-manieth row of a series."""
-    length = min(48, max(24, length))
-
-    def made(w):
-        row = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns), F.coalesce(F.lead(label).over(w), F.col(label)).cast("double"))
-        return {"__row": row}
-
-    rows = windowed(df, made, 0, 1, series)
-    rows = windowed(rows, lambda w: {"__near": F.flatten(F.collect_list("__row").over(w.rowsBetween(-(length - 1), 0)))}, length - 1, 0, series)
-    rows = rows.filter(F.col("rn") % every == 0) if every > 1 else rows
-    d, equal = len(columns), [1 / len(columns)] * len(columns)
-
-    def learn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out, full = [equal] * len(batch), []
-            for i, v in enumerate(batch):
-                if len(v) == length * (d + 1):
-                    full.append(i)
-                elif len(v) >= 3 * (d + 1):
-                    m = np.asarray(v, float).reshape(-1, d + 1)
-                    out[i] = learn_weights(m[:, :d], m[:, d], penalty, rounds).tolist()
-            for low in range(0, len(full), 64):  # as many as stay in a core's cache
-                some = full[low : low + 64]
-                m = np.stack(batch.iloc[some].tolist()).astype(float).reshape(len(some), length, d + 1)
-                for i, w in zip(some, learn_many_weights(m[:, :, :d], m[:, :, d], penalty, rounds).tolist(), strict=True):
-                    out[i] = w
-            yield pd.Series(out)
-
-    learnt = F.pandas_udf(learn, "array<double>")
-    return rows.select(series, "ts", "row_id", "rn", learnt("__near").alias("weights"))
+    label. every: only at each so-manieth row of a series. A task gets a block of rows and those that its neighbourhoods reach back to."""
+    length, d = min(48, max(24, length)), len(columns)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    keys = [*dict.fromkeys([series, "ts", "row_id"])]
+    features = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__x{k}") for k, c in enumerate(columns)]
+    rows = df.select(*keys, *(["rn"] if "rn" in df.columns else []), *features, F.col(label).cast("double").alias("__y"))
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        rn, own = (table[c].to_numpy() for c in ("rn", "__own"))
+        x = np.stack([table[f"__x{k}"].to_numpy() for k in range(d)], 1)
+        y, known = (c.to_numpy() for c in (table["__y"], table["__y"].is_valid()))
+        y = np.where(np.r_[known[1:], False], np.r_[y[1:], np.nan], y)  # the next row's, or without one the own
+        at = np.flatnonzero(own & (rn % every == 0))
+        out = np.full((len(at), d), 1 / d)
+        full = at >= length - 1
+        if full.any():
+            near = lambda v: np.lib.stride_tricks.sliding_window_view(v, length, 0)[at[full] - length + 1]
+            out[full] = learn_many_weights(near(x).transpose(0, 2, 1), near(y), penalty, rounds)
+        for i in np.flatnonzero(~full & (at >= 2)):  # a series' first rows
+            out[i] = learn_weights(x[: at[i] + 1], y[: at[i] + 1], penalty, rounds)
+        weights = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * d), pa.array(out.ravel()))
+        return table.select([*keys, "rn"]).take(at).append_column("weights", weights)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "rn long, weights array<double>"])
+    return dealt(rows, length - 1, 1, series, block=block).groupBy(series, "__block").applyInArrow(learn, schema)
 
 
 def mean_weights(weights: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -27,9 +27,9 @@ def numbered(df: DataFrame, series: str = SERIES, order: Sequence[str] = (TIME,
     return rows.withColumn(name, (F.col("__first") + F.col("__local")).cast("long")).drop("__day", "__n", "__s", "__d", "__first", "__local")
 
 
-def windowed(df: DataFrame, columns: Callable[[Window], Mapping[str, Column]], before: int, after: int = 0, series: str = SERIES, order: Sequence[str] = (TIME, ROW), block: int = 8192) -> DataFrame:
-    """df with columns(w), where w is a window over a series in order, with rn, whose frames reach at most `before` rows
-    back and `after` rows on. Rows at a block's ends are copied into its neighbours."""
+def dealt(df: DataFrame, before: int, after: int = 0, series: str = SERIES, order: Sequence[str] = (TIME, ROW), block: int = 8192) -> DataFrame:
+    """df with rn and __block, a number of consecutive rows of a series, to which the `before` rows before and the `after` rows after
+    it are copied; __own is false of those."""
     if before > block or after > block:
         raise ValueError(f"frames may reach {block} rows at most")
     rows = numbered(df, series, order) if "rn" not in df.columns else df
@@ -39,9 +39,14 @@ def windowed(df: DataFrame, columns: Callable[[Window], Mapping[str, Column]], b
         F.struct(F.when(F.col("rn") % block >= block - before, own + 1).alias("block"), F.lit(False).alias("own")),
         F.struct(F.when((F.col("rn") % block < after) & (own > 0), own - 1).alias("block"), F.lit(False).alias("own")),
     )
-    dealt = rows.withColumn("__to", F.explode(F.filter(place, lambda p: p["block"].isNotNull()))).withColumns({"__block": F.col("__to.block"), "__own": F.col("__to.own")}).drop("__to")
+    return rows.withColumn("__to", F.explode(F.filter(place, lambda p: p["block"].isNotNull()))).withColumns({"__block": F.col("__to.block"), "__own": F.col("__to.own")}).drop("__to")
+
+
+def windowed(df: DataFrame, columns: Callable[[Window], Mapping[str, Column]], before: int, after: int = 0, series: str = SERIES, order: Sequence[str] = (TIME, ROW), block: int = 8192) -> DataFrame:
+    """df with columns(w), where w is a window over a series in order, with rn, whose frames reach at most `before` rows
+    back and `after` rows on. Rows at a block's ends are copied into its neighbours."""
     w = Window.partitionBy(series, "__block").orderBy("rn")
-    return dealt.withColumns(dict(columns(w))).filter("__own").drop("__block", "__own")
+    return dealt(df, before, after, series, order, block).withColumns(dict(columns(w))).filter("__own").drop("__block", "__own")
 
 
 def carried(df: DataFrame, value: str, series: str = SERIES, order: Sequence[str] = (TIME, ROW), block: int = 8192) -> DataFrame:
