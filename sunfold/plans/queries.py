@@ -868,7 +868,7 @@ def bootstrap_ci_holds(spark, d):
 def nca_weights_add_up(spark, d):
     """Learnt weights lie between 0 and 1 and add up to 1."""
     names = ["power", "temperature", "humidity"]
-    got = embed.mean_weights(embed.local_weights(pv(spark, d), names, length=24, every=8), names)
+    got = embed.mean_weights(embed.local_weights(pv(spark, d), names, length=24), names)
     return got.agg(F.count("*").cast("int").alias("columns"), F.bool_and(F.col("weight").between(0, 1)).alias("bounded"), F.sum("weight").alias("total"))
 
 

@@ -278,3 +278,12 @@ def test_local_weights_of_blocks_are_those_of_each_row(spark):
             off.append(np.abs(np.array(got[k, i][1]) - want).max())
             assert got[k, i][0] == i
     assert np.quantile(off, 0.97) < 1e-6
+
+
+def test_weights_that_add_up_are_learnt_at_every_row(spark, small, monkeypatch):
+    from sunfold.plans import queries
+
+    seen, means = [], embed.mean_weights
+    monkeypatch.setattr(embed, "mean_weights", lambda weights, names: seen.append(weights) or means(weights, names))
+    queries.queries()["nca_weights_add_up"](spark, small)
+    assert seen[0].count() == spark.read.parquet(f"{small}/events.parquet").count()
