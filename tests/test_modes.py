@@ -110,3 +110,14 @@ def test_modes_cover_rows_that_share_a_number(spark, tmp_path):
     got = {r["series_id"]: (r["n"], r["total"]) for r in queries.queries()["vmd_modes_cover"](spark, str(tmp_path)).collect()}
     assert got == {k: (80, sum(5.0 + i % 7 for i in range(80))) for k in ("a", None)}
     assert queries.queries()["vmd_diagnostics"](spark, str(tmp_path)).filter("relative_error < 1").count() == 2
+
+
+def test_modes_cover_series_of_nothing(spark, tmp_path):
+    """A series without any value, one of zeros, one of a single row: nothing is left of them."""
+    from sunfold.plans import queries
+
+    rows = [(i, T0 + dt.timedelta(minutes=i), 1, k, v, '{"k": 1}') for k, v, n in (("none", None, 9), ("zeros", 0.0, 9), ("one", 5.0, 1)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in queries.queries()["vmd_modes_cover"](spark, str(tmp_path)).select("series_id", "n", "total", "near").collect()}
+    assert got == {("none", 9, None, True), ("zeros", 9, 0.0, True), ("one", 1, 5.0, True)}
+    assert {r["series_id"]: r["max_corr"] for r in queries.queries()["vmd_diagnostics"](spark, str(tmp_path)).collect()} == {"none": 0.0, "zeros": 0.0, "one": 0.0}
