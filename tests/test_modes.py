@@ -121,3 +121,15 @@ def test_modes_cover_series_of_nothing(spark, tmp_path):
     got = {tuple(r) for r in queries.queries()["vmd_modes_cover"](spark, str(tmp_path)).select("series_id", "n", "total", "near").collect()}
     assert got == {("none", 9, None, True), ("zeros", 9, 0.0, True), ("one", 1, 5.0, True)}
     assert {r["series_id"]: r["max_corr"] for r in queries.queries()["vmd_diagnostics"](spark, str(tmp_path)).collect()} == {"none": 0.0, "zeros": 0.0, "one": 0.0}
+
+
+def test_lengths_with_factors_plan_no_chirps(spark):
+    """A plan on the driver has the transforms that its series need, beside a prime length those by chirps too."""
+    x = np.random.default_rng(7).exponential(size=997).tolist()
+    for series, steps in (({"a": x[:960], "s": x[:20]}, 2), ({"a": x[:960], "b": x}, 8)):
+        df = modes.vmd(frame(spark, series), modes=2, rounds=5, longest=100, block=64)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == steps
+        got = {(r["series_id"], r["row_id"]): [r["imf1"], r["imf2"]] for r in df.collect()}
+        for k, v in series.items():
+            u, _ = modes.decompose(np.array(v), 2, rounds=5)
+            assert np.abs(np.array([got[k, i] for i in range(len(v))]).T - u).max() < 1e-9
